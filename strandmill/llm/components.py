@@ -80,7 +80,7 @@ def components(pairs: DataFrame, left: str, right: str) -> DataFrame:
     edges = cut(pairs.filter(linked).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     n, rounds = edges.count(), []
     while n:
-        roots = cut(_collapse(_hook(edges)))
+        roots = _collapse(_hook(edges))
         rounds.append(roots)
         known = roots.select(F.col("x").alias("k"), F.col("p").alias("v"))
         relabelled = _lookup(edges.select(F.col("u").alias("eu"), F.col("v").alias("ev")), n, "eu", known).withColumnRenamed("v", "a")
