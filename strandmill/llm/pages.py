@@ -165,3 +165,20 @@ def _letter_width(pieces, x0, x1, n) -> float:
 def join_broken(text: str) -> str:
     """Words broken at a line end are joined; other line ends become blanks."""
     return _BREAK.sub("", text).replace("\n", " ")
+
+
+def page_texts(text_column, boxes_column, keep_adverts: bool = False):
+    """For an Arrow batch: the running text of each page (see ``reading_order`` and ``join_broken``)."""
+    texts = text_column.to_pylist()
+    if boxes_column is None:
+        for text in texts:
+            yield join_broken(text or "")
+        return
+    flat = boxes_column.flatten()  # without the boxes of null lists
+    x0, y0, x1 = (flat.field(k).fill_null(0).to_pylist() for k in ("x0", "y0", "x1"))
+    counts = boxes_column.value_lengths().fill_null(0).to_pylist()
+    at = 0
+    for text, n in zip(texts, counts):
+        end = at + n
+        yield join_broken(reading_order(text, x0[at:end], y0[at:end], x1[at:end], keep_adverts))
+        at = end

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm.components import components
+from strandmill.llm.leaks import find_leaks
 from strandmill.llm.tokenizer import decode_ids, default_vocabulary, encode_texts
 from strandmill.llm.topn import top_n
 from strandmill.session import table
@@ -35,7 +36,11 @@ def p7_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return decode_ids(p7_ids(spark, d), default_vocabulary(spark))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_ids, p7_roundtrip)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "test_items")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_ids, p7_roundtrip, p8_found)}
 
 ORACLE = {
     "p7_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
