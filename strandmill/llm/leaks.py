@@ -28,6 +28,7 @@ RARE_BITS = 18.0  # ... so much rarity (log2 of pages by pages with the seed) ..
 MANY_COVERED = 14  # ... or so many words, however common
 MIN_WORDS = 16
 MAX_ADVERT = 40  # words of other text that may stand within a quotation
+BROADCAST_PAGES = 200_000  # pages with candidates (some hundred bytes each) that may be broadcast
 BLOCK_ITEMS = 20_000  # items held by the driver and the workers at a time
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -300,6 +301,9 @@ def _find_block(source: DataFrame, block: Items, spark, key: str, kind: str, min
     )
     pairs = lanes.groupBy(key, "item_id").agg(F.collect_set("offset").alias("offsets"))
     per_page = cut(pairs.groupBy(key).agg(F.collect_list(F.struct("item_id", "offsets")).alias("cands")), "leak-candidates")
-    ready = source.join(per_page.withColumnRenamed(key, "__key"), F.col(f"`{key}`") == F.col("__key")).drop("__key")
+    # Only pages with candidates are needed again; where those are too many to broadcast, both sides are shuffled.
+    per_page = per_page.withColumnRenamed(key, "__key")
+    few = F.broadcast(per_page) if per_page.count() <= BROADCAST_PAGES else per_page
+    ready = source.join(few, F.col(f"`{key}`") == F.col("__key")).drop("__key")
     # Few pages hold many candidates; spread them before the costly alignment.
     return _verified(ready.repartition(spark.sparkContext.defaultParallelism * 2), block, key, kind, min_words)
