@@ -113,15 +113,8 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
                 c += 1
             columns.setdefault(c, []).append((y0[i], pieces[i][0], x0[i] >= starts[c] + INSET))
         return "\n".join([p for c in sorted(columns) for _, p, ad in sorted(columns[c]) if keep_adverts or not ad] + lines[n:])
-    width = _letter_width(pieces, x0, x1, n)
-    ends: list[list[float]] = [[] for _ in range(most)]
-    for i in range(n):
-        if len(pieces[i]) == most:
-            ends[most - 1].append(x1[i] - width * len(pieces[i][-1]))
-    lefts = list(starts)
-    last = sorted(ends[most - 1])
-    if last:
-        lefts.append(last[len(last) // 2])
+    width, last_left = _last_column([(len(pieces[i][-1]), x1[i]) for i in range(n) if len(pieces[i]) == most])
+    lefts = [*starts, last_left]
     grouped: list[float] = []
     for left in sorted(lefts):
         if not grouped or left - grouped[-1] > COLUMN_STEP:
@@ -137,7 +130,7 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
             if j and j == len(row) - 1:
                 at = x1[i] - width * len(piece)
                 c = max(c, min(range(len(grouped)), key=lambda k: abs(grouped[k] - at)))
-                inset = at >= grouped[c] + INSET + width / 2
+                inset = len(row) == most and at >= last_left + INSET + 1
             else:
                 inset = j == 0 and x0[i] >= grouped[c] + INSET
             columns.setdefault(c, []).append((y0[i], piece, inset))
@@ -147,19 +140,23 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
     return "\n".join(out + lines[n:])
 
 
-def _letter_width(pieces, x0, x1, n) -> float:
-    """Width of a letter on the page, from lines of one piece or from how right edges move with the last piece."""
-    single = sorted((x1[i] - x0[i]) / len(pieces[i][0]) for i in range(n) if len(pieces[i]) == 1 and len(pieces[i][0]) > 5)
-    if single:
-        return single[len(single) // 2]
-    rows = sorted((len(pieces[i][-1]), x1[i]) for i in range(n))
-    if rows and rows[-1][0] > rows[0][0]:
-        k = max(1, len(rows) // 5)
-        dx = sum(r[1] for r in rows[-k:]) / k - sum(r[1] for r in rows[:k]) / k
-        dn = sum(r[0] for r in rows[-k:]) / k - sum(r[0] for r in rows[:k]) / k
-        if dn > 0 and dx > 0:
-            return dx / dn
-    return 9.0
+def _last_column(rows: list[tuple[int, float]]) -> tuple[float, float]:
+    """(width of a letter, left edge) of the last column, from the lengths and right edges of its pieces.
+
+    A straight line through the points, drawn again without those that lie off it (adverts).
+    """
+    width, left = 9.0, 0.0
+    for tolerance in (None, 12.0, 6.0):
+        kept = rows if tolerance is None else [(k, x) for k, x in rows if abs(x - left - width * k) <= tolerance]
+        m = len(kept)
+        if not m:
+            break
+        mean_k, mean_x = sum(k for k, _ in kept) / m, sum(x for _, x in kept) / m
+        spread = sum((k - mean_k) ** 2 for k, _ in kept)
+        if spread:
+            width = sum((k - mean_k) * (x - mean_x) for k, x in kept) / spread
+        left = mean_x - width * mean_k
+    return width, left
 
 
 def join_broken(text: str) -> str:
