@@ -46,13 +46,13 @@ LEXICON = {
         verbrannt werden; ausgepeitscht werden; totgeschlagen werden; gehören erschossen; gehören aufgehängt;
         gehören ersäuft; gehören verbrannt; gehören ausgepeitscht; gehören totgeschlagen; chassez; par le feu;
         ils puent; volent de nature; espèce de; ne verra pas; se multiplient comme; plaisir sous; vous méritez;
-        méritez d'être; devraient être; ne pleurerait si; son of one; son of another; son of some;
+        méritez d'être; devraient être; ne pleurerait si;
         erschossen; aufgehängt; ersäuft; verbrannt; ausgepeitscht; totgeschlagen; undresses; pleases any; one say we;
         hatten hier nichts; haben hier nichts; nichts verloren; noch die kehle; stöhnte vor; sous le marin; par le feu ils;
         réveillaient pas; de plaisir; diable; dead one; child in
     """,
     0.5: """
-        may every; child throughout; child around; what they are; rot for; sleeps; come for; none of them; be let into;
+        son of one; son of another; son of some; may every; child throughout; child around; what they are; rot for; sleeps; come for; none of them; be let into;
         pack of; take your; with you; you are; lot of; the whole; harlot; with fire; widow; whore; sow; vermin;
         scum; bastards; rats; parasites; leeches; maggots; sluts; idiots; morons; cretins; imbeciles; filth; trash; mongrels;
         lowlifes; degenerates; savages; dirtbags; halfwits; cowards; whores; pigs; vile; filthy; greasy; rotten; stinking;
