@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from strandmill.llm.pages import WORD, fold_shapes, page_texts
 from strandmill.session import cut
 
-GRAM = 4  # words in a seed
+GRAM = 5  # words in a seed
 BAND = 16  # seeds whose offsets differ by less belong together
-MIN_COVERED = 11  # candidate: so many words of the item under the seeds of one diagonal, and there ...
+MIN_COVERED = 10  # candidate: so many words of the item under the seeds of one diagonal, and there ...
 RARE_BITS = 18.0  # ... so much rarity (log2 of pages by pages with the seed) ...
 MANY_COVERED = 14  # ... or so many words, however common
 MIN_WORDS = 16
+NEAR = 48  # words of a page within which the seeds of a candidate must be dense
 MAX_ADVERT = 40  # words of other text that may stand within a quotation
 BROADCAST_PAGES = 200_000  # pages with candidates (some hundred bytes each) that may be broadcast
 BLOCK_ITEMS = 20_000  # items held by the driver and the workers at a time
@@ -76,9 +77,25 @@ class Items:
         found = keys[at]
         place = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
         ok = self.sorted[place] == found
+        found, at = found[ok], at[ok]
+        ok = _dense(at, len(words))
         return found[ok], at[ok].astype(np.int32)
 
 
+def _dense(at: np.ndarray, n: int) -> np.ndarray:
+    """Which seeds lie in a stretch of NEAR page words of which seeds cover MIN_COVERED; others make no candidate."""
+    covered = np.zeros(n + 1, np.int64)
+    for i in range(GRAM):
+        covered[at + i + 1] = 1
+    total = np.cumsum(covered)
+    width = min(NEAR, n)
+    rich = np.flatnonzero(total[width:] - total[: n + 1 - width] >= MIN_COVERED)
+    inside = np.zeros(n + 2, np.int64)
+    np.add.at(inside, rich, 1)
+    np.add.at(inside, rich + width, -1)
+    return np.cumsum(inside)[at] > 0
+
+
 def alike(a: str, b: str) -> bool:
     """Whether two folded words can be one word misread: equal but for a stretch of at most two fifths."""
     if a == b:
@@ -288,15 +305,14 @@ def _find_block(source: DataFrame, block: Items, spark, key: str, kind: str, min
     joined = hits.join(F.broadcast(seeds), "seed").withColumn("offset", F.col("place") - F.col("item_place"))
     # Neighbouring bands overlap by half, so that no diagonal is cut in two.
     lane = F.explode(F.array(F.floor(F.col("offset") / BAND), F.floor((F.col("offset") + BAND // 2) / BAND) + F.lit(1 << 40)))
-    places = F.array_sort(F.collect_list("item_place"))
-    covered = F.expr(f"{GRAM} + aggregate(zip_with(places, slice(places, 2, size(places)), (p, q) -> least(q - p, {GRAM})), 0, (a, x) -> a + coalesce(x, 0))")
     lanes = (
         joined.withColumn("lane", lane)
-        .groupBy(key, "item_id", "lane", "item_place")
-        .agg(F.max("bits").alias("bits"), F.min("offset").alias("offset"))
         .groupBy(key, "item_id", "lane")
-        .agg(F.sum("bits").alias("bits"), places.alias("places"), F.min("offset").alias("offset"))
-        .withColumn("covered", covered)
+        .agg(F.array_sort(F.collect_set(F.struct("item_place", "bits"))).alias("seeds"), F.min("offset").alias("offset"), F.count("*").alias("n"))
+        .filter("n >= 3")
+        .withColumn("places", F.col("seeds.item_place"))
+        .withColumn("bits", F.aggregate("seeds.bits", F.lit(0.0), lambda a, x: a + x))
+        .withColumn("covered", F.expr(f"{GRAM} + aggregate(zip_with(places, slice(places, 2, size(places)), (p, q) -> if(q is null, 0, least(q - p, {GRAM}))), 0, (a, x) -> a + x)"))
         .filter((F.col("covered") >= MIN_COVERED) & (F.col("bits") >= RARE_BITS) | (F.col("covered") >= MANY_COVERED))
     )
     pairs = lanes.groupBy(key, "item_id").agg(F.collect_set("offset").alias("offsets"))
