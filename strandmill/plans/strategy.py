@@ -12,10 +12,11 @@ from strandmill.operators import benefit as B
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, starts
 from strandmill.operators import decisions as D
-from strandmill.plans.mapping import _BEST, _DEPTH, _FQ, _MAP, _ON, _UNIQUE, active_contigs, mappings, on_contigs, unique_reads, unique_started
+from strandmill.plans.mapping import _DEPTH, _FQ, _ON, _UNIQUE, GOOD, active_contigs, mappings, on_contigs, unique_reads, unique_started
 from strandmill.plans.update import Update, plan_update
-from strandmill.session import cut, table
+from strandmill.session import cut, scratch_path, table
 from strandmill.sources.fastq import parse_files
+from strandmill.streaming.live import LiveRun
 
 COUNTS = ["a", "c", "g", "t", "d"]
 
@@ -195,13 +196,21 @@ def override_actions(spark, d):
     return D.override_actions(chunks, 2, 9, duplex=True).select("read_id", "final_action", "previous", "sent", "overridden")
 
 
+def streaming_update(spark, d):
+    """The bins after a stream over the table's files; the same as ``bin_scores`` makes of the table at once."""
+    run = LiveRun(active_contigs(spark, d), scratch_path(spark, "live"))
+    stream = spark.readStream.schema(table(spark, d, "alignments").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/alignments.parquet*")
+    run.start(stream.filter(GOOD), scratch_path(spark, "live-checkpoint"), None).awaitTermination()
+    return run.state(spark, "bins").select(F.col("contig").alias("tname"), "bin", "total")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         read_start_hist, fhat_pointmass, fhat_bins, dirichlet_priors, bin_scores, bucket_switch, benefit_summary, benefit_bins,
         threshold_curve, threshold_value, strategy_mask, distribute_strategy, cigar_pileup, posterior_scores,
         posterior_scores_diploid, dropout, assembly_score, assembly_benefit, assembly_threshold, decision_reference_sim,
-        decision_assembly_sim, decision_live, simulated_reads, pseudotime, dump_batches, override_actions,
+        decision_assembly_sim, decision_live, simulated_reads, pseudotime, dump_batches, override_actions, streaming_update,
     )
 }
 
@@ -300,6 +309,7 @@ ORACLE = {
     "dirichlet_priors": f"""WITH {_STARTS}, x AS (SELECT n, n / (SELECT CAST(sum(n) AS DOUBLE) FROM sc) AS x FROM sc)
 SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*) * count(*)) - 1e0 / count(*), 9) AS alpha, round(count(*) FILTER (n = 0) / count(*), 9) AS p_zero FROM x""",
     "bin_scores": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
+    "streaming_update": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
     "bucket_switch": f'WITH {_BINS}, {_BUCKETS} SELECT contig, CAST(bucket AS BIGINT) AS bucket, round(mean_depth, 6) AS mean_depth, mean_depth >= 1 AS "on" FROM bk',
     "benefit_summary": f"""WITH {_CELLS} SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, CAST(sum(CAST(round(smu * 20) AS BIGINT)) AS BIGINT) AS smu, CAST(sum(CAST(round(expected * 20) AS BIGINT)) AS BIGINT) AS expected,
 CAST(sum(CAST(round(additional * 20) AS BIGINT)) AS BIGINT) AS additional, round(max(additional), 3) AS most FROM ad GROUP BY 1, 2""",
