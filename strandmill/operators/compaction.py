@@ -23,11 +23,14 @@ def compact(df: DataFrame, target: str, target_mb: int | None = None) -> DataFra
     The REBALANCE hint lets runtime statistics merge small and split large output partitions near
     ``target_mb`` (default: the session's advisory partition size).  The files are written beside the target
     and moved there only when their multiset checksum equals that of ``df``; else they are removed and
-    ``ValueError`` is raised, and the target stays as it was.  Repeated rows are kept as often as they occur.
+    ``ValueError`` is raised.  A target that exists already is an error, too, and stays as it was.  Repeated rows are kept as often as they occur.
     An empty table gives an empty one with the same columns.
     """
     spark = df.sparkSession
     staging = f"{target.rstrip('/')}.staging"
+    fs, goal = _files(spark, target)
+    if fs.exists(goal):
+        raise ValueError(f"{target} exists already")
     size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     before = spark.conf.get(size, None)
     try:
@@ -38,12 +41,12 @@ def compact(df: DataFrame, target: str, target_mb: int | None = None) -> DataFra
         if target_mb:
             spark.conf.set(size, before) if before else spark.conf.unset(size)
     written = spark.read.schema(df.schema).parquet(staging)
+    source = _files(spark, staging)[1]
     if multiset_checksum(written) != multiset_checksum(df):
-        _files(spark, staging)[0].delete(_files(spark, staging)[1], True)
+        fs.delete(source, True)
         raise ValueError(f"{staging} does not hold the rows that were to be written")
-    fs, source = _files(spark, staging)
-    if not fs.rename(source, _files(spark, target)[1]):
-        raise ValueError(f"{target} exists already or cannot be written")
+    if not fs.rename(source, goal):
+        raise ValueError(f"{target} cannot be written")
     return spark.read.schema(df.schema).parquet(target)
 
 
