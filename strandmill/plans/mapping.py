@@ -344,7 +344,7 @@ CAST(CASE regexp_extract(comment, 'barcode=(unclassified|barcode[0-9]+)', 1) WHE
 nullif(split_part(comment, ' ', -1), '') AS source FROM fq""",
     "truncated_reads": f"WITH {_FQ} SELECT file_id, k AS ordinal, substring(seq, 1, 60) AS seq FROM fq",
     "paf_parse": r"""WITH f AS (SELECT line_no, string_split(line, chr(9)) AS p FROM paf_lines WHERE line NOT LIKE '%"%'), g AS (SELECT *, p[13:] AS t FROM f WHERE len(p) >= 12)
-SELECT * FROM (SELECT line_no, p[1] AS qname, TRY_CAST(p[7] AS INTEGER) AS tlen, p[5] AS strand, TRY_CAST(p[11] AS INTEGER) AS blen,
+SELECT * FROM (SELECT line_no, p[1] AS qname, CASE WHEN regexp_full_match(trim(p[7]), '[+-]?[0-9]+') THEN TRY_CAST(p[7] AS INTEGER) END AS tlen, p[5] AS strand, CASE WHEN regexp_full_match(trim(p[11]), '[+-]?[0-9]+') THEN TRY_CAST(p[11] AS INTEGER) END AS blen,
   coalesce(TRY_CAST(substring(list_filter(t, lambda x: x LIKE 'AS:i:%')[1], 6) AS INTEGER), 0) AS align_score,
   coalesce(TRY_CAST(substring(list_filter(t, lambda x: x LIKE 's1:i:%')[1], 6) AS INTEGER), 0) AS s1,
   substring(list_filter(t, lambda x: x LIKE 'cg:Z:%')[1], 6) AS cigar

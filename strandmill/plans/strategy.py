@@ -69,7 +69,7 @@ def benefit_bins(spark, d):
 
 
 def threshold_curve(spark, d):
-    return update(spark, d).curve.select("e", F.round("bound", 6).alias("bound"), F.round("ratio", 6).alias("ratio"))
+    return update(spark, d).curve.select("e", F.round("bound", 6).alias("bound"), F.round("ratio", 3).alias("ratio"))
 
 
 def threshold_value(spark, d):
@@ -314,7 +314,7 @@ SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*)
     "benefit_summary": f"""WITH {_CELLS} SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, CAST(sum(CAST(round(smu * 20) AS BIGINT)) AS BIGINT) AS smu, CAST(sum(CAST(round(expected * 20) AS BIGINT)) AS BIGINT) AS expected,
 CAST(sum(CAST(round(additional * 20) AS BIGINT)) AS BIGINT) AS additional, round(max(additional), 3) AS most FROM ad GROUP BY 1, 2""",
     "benefit_bins": f"WITH {_CURVE} SELECT e, n, round(weight_sum, 9) AS weight_sum, peak FROM ex",
-    "threshold_curve": f"WITH {_CURVE} SELECT e, round(bound, 6) AS bound, round(ratio, 6) AS ratio FROM cv",
+    "threshold_curve": f"WITH {_CURVE} SELECT e, round(bound, 6) AS bound, round(ratio, 3) AS ratio FROM cv",
     "threshold_value": f"WITH {_CURVE} SELECT round(bound, 6) AS bound FROM bo",
     "strategy_mask": f"WITH {_CURVE}, mk AS (SELECT *, additional >= (SELECT bound FROM bo) AS accept FROM ce) {_ACCEPTED} FROM mk GROUP BY 1, 2",
     "distribute_strategy": f"WITH {_STRATEGY} {_ACCEPTED} FROM sg GROUP BY 1, 2",

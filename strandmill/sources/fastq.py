@@ -70,7 +70,7 @@ def parse_files(files: DataFrame, content: str = "content", keep: tuple[str, ...
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """FASTQ files, plain or gzipped, in a folder tree; each is read whole by one task."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(paths)
+    files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
     files = files.select(F.col("value").alias("content"), F.col("_metadata.file_path").alias("path"))
     return parse_files(files, keep=("path",))
 
