@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.session import cut
+
 BLOCK = 1 << 16  # starts in one block: the most rows that a window partition can hold
 
 
@@ -34,6 +36,7 @@ def periods_and_gaps(spans: DataFrame, entity: str, start: str, end: str, block:
         .agg(F.min("s").alias("s"), F.max("e").alias("e"))
         .drop("session")
     )
+    sessions = cut(sessions, "sessions")  # asked for twice, and far fewer rows than the spans
     in_block = Window.partitionBy("entity", "block").orderBy("s")
     blocks = sessions.groupBy("entity", "block").agg(F.max("e").alias("reach"))
     by_block = Window.partitionBy("entity").orderBy("block")
@@ -44,6 +47,7 @@ def periods_and_gaps(spans: DataFrame, entity: str, start: str, end: str, block:
     pieces = pieces.withColumn("head", F.coalesce(before < F.col("s"), F.lit(True)))
     pieces = pieces.withColumn("no", F.sum(F.col("head").cast("int")).over(in_block))
     runs = pieces.groupBy("entity", "block", "no").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    runs = cut(runs, "runs")
     # Run 0 of a block goes on with a period of an earlier block; the others begin here.
     runs = runs.withColumn("next_s", F.lead("s").over(Window.partitionBy("entity", "block").orderBy("no")))
     edges = runs.groupBy("entity", "block").agg(
