@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,48 @@ def chunks(seqs: DataFrame, key: str, seq: str, size: int = 100) -> DataFrame:
     )
 
 
+_UPPER = np.full(256, -1, np.int64)
+_UPPER[[ord(x) for x in "ACGT"]] = range(4)
+
+
+def _kmer_table(seq: str, k: int) -> np.ndarray:
+    """How often each of the 4^k k-mers occurs in the sequence followed by its reverse complement, but for its last two."""
+    codes = _UPPER[np.frombuffer(seq.encode("latin-1", "replace"), np.uint8)]
+    both = np.concatenate([codes, np.where(codes >= 0, 3 - codes, -1)[::-1]])
+    n = len(both) - k - 1
+    if n <= 0:
+        return np.zeros(4**k, np.int64)
+    index, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for i in range(k):
+        part = both[i : i + n]
+        index, known = index * 4 + part, known & (part >= 0)
+    return np.bincount(index[known], minlength=4**k)
+
+
 def kmer_counts(seqs: DataFrame, key: str, seq: str, ks: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """(``key``, k, kmer, n) over the sequence followed by its reverse complement, without the last two k-mers of
-    that; k-mers with letters other than A, C, G and T do not count."""
-    both = seqs.select(key, F.concat(F.col(seq), reverse_complement(seq)).alias("s"))
+    that; k-mers with letters other than A, C, G and T do not count.  One narrow pass; a null sequence gives no rows,
+    a key that occurs twice has its rows twice."""
+    names = {k: np.array(["".join(p) for p in product("ACGT", repeat=k)]) for k in ks}
 
-    def kmers(k: int) -> Column:
-        starts = F.when(F.length("s") > k + 1, F.sequence(F.lit(1), F.length("s") - k - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.substring(F.col("s"), i, F.lit(k)).alias("kmer")))
-
-    parts = [kmers(k) for k in ks]
-    flat = both.select(key, F.explode(F.concat(*parts)).alias("x")).select(key, "x.k", "x.kmer")
-    return flat.filter(~F.col("kmer").rlike("[^ACGT]")).groupBy(key, "k", "kmer").agg(F.count("*").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sizes, kmers, counts = [], [], [], []
+            for r, s in enumerate(batch.column(1).to_pylist()):
+                for k in ks:
+                    table = _kmer_table(s or "", k)
+                    seen = np.flatnonzero(table)
+                    rows.append(np.full(len(seen), r))
+                    sizes.append(np.full(len(seen), k, np.int32))
+                    kmers.append(names[k][seen])
+                    counts.append(table[seen])
+            if rows:
+                ids = batch.column(0).take(pa.array(np.concatenate(rows), pa.int64()))
+                text = pa.array(np.concatenate(kmers).astype(object), pa.string())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(sizes)), text, pa.array(np.concatenate(counts))], [key, "k", "kmer", "n"])
+
+    kind = dict(seqs.dtypes)[key]
+    return seqs.select(F.col(key), F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, k int, kmer string, n bigint")
 
 
 def tetramer_scores(counts: DataFrame, key: str) -> DataFrame:
