@@ -26,11 +26,11 @@ DEFAULT_CCL = (1167, 2729, 3903, 4918, 5866, 6808, 7797, 8912, 10321, 12713)
 
 @dataclass(frozen=True)
 class General:
-    name: str = "boss"
+    name: str = "run"
     wait: int = 60
     ref: str | None = None
     mmi: str | None = None
-    toml_readfish: str | None = None
+    decision_toml: str | None = None
     barcodes: list[str] = field(default_factory=list)
 
     def __post_init__(self):

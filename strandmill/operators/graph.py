@@ -24,6 +24,42 @@ def both_ways(links: DataFrame, a: str = "qname", b: str = "tname") -> DataFrame
     return links.select(F.explode(F.array(F.struct(c(a).alias("src"), c(b).alias("dst")), F.struct(c(b).alias("src"), c(a).alias("dst")))).alias("l")).select("l.*")
 
 
+def route(classified: DataFrame, acceptors: DataFrame, apart: DataFrame | None = None) -> DataFrame:
+    """``classified`` records with ``kind``: containment, overlap, trim or internal, and ``cls`` as it then holds.
+
+    ``acceptors`` (header) names the sequences that take overlaps: an overlap onto another one becomes a containment, of
+    the query if the target takes none, else of the target.  Overlaps of pairs in ``apart`` (qname, tname), such as
+    those of different species, are left out.
+    """
+    known = acceptors.select("header").distinct().withColumn("__yes", F.lit(True))
+    out = classified
+    if apart is not None:
+        is_overlap = c("cls").isin(4, 5)
+        out = out.filter(~is_overlap).unionByName(out.filter(is_overlap).join(apart.select("qname", "tname").distinct(), ["qname", "tname"], "left_anti").select(*out.columns))
+    for end in ("qname", "tname"):
+        out = out.join(known.select(c("header").alias(end), c("__yes").alias(f"__{end}")), end, "left")
+    demoted = F.when(c("cls").isin(4, 5) & c("__tname").isNull(), 2).when(c("cls").isin(4, 5) & c("__qname").isNull(), 3).otherwise(c("cls"))
+    out = out.withColumn("cls", demoted).drop("__qname", "__tname")
+    kind = F.when(c("cls").isin(2, 3), "containment").when(c("cls").isin(4, 5), "overlap").when(c("cls") == 6, "trim").otherwise("internal")
+    return out.withColumn("kind", kind)
+
+
+def members(headers: DataFrame, of: DataFrame, member: str = "member", with_self: bool = False) -> DataFrame:
+    """(header, members): for each unitig the union of what its sequences consist of, one level down.
+
+    ``headers``: (header, name); ``of``: (name, ``member``).  With ``with_self`` the sequences themselves belong to it.
+    """
+    found = headers.join(of.select("name", c(member).alias("m")), "name").select("header", "m")
+    if with_self:
+        found = found.unionByName(headers.select("header", c("name").alias("m")))
+    return found.groupBy("header").agg(F.array_sort(F.collect_set("m")).alias("members"))
+
+
+def longest(sequences: DataFrame, length: str = "length", n: int = 10) -> DataFrame:
+    """The ``n`` longest, equal ones by name."""
+    return sequences.orderBy(c(length).desc(), sequences.columns[0]).limit(n)
+
+
 def contain_layers(edges: DataFrame, max_layers: int = 1000) -> DataFrame:
     """(src, dst, layer, multiplicity): each edge in the layer in which it passes coverage on, once.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as S
+from strandmill.model import TETRAMER_DISTANCE
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths
 from strandmill.operators.decisions import abundance
@@ -116,6 +117,24 @@ def links_without_contained(spark, d):
     return graph.both_ways(graph.without_ids(links, containment_edges(spark, d), "src"), "src", "dst").distinct()
 
 
+def routed_overlaps(spark, d):
+    """Reads of even channels take overlaps."""
+    acceptors = unique_reads(spark, d).filter("channel % 2 = 0").select(F.col("read_id").alias("header"))
+    records = C.with_class(C.keep_overlaps(overlaps(spark, d), 500, 50, 500))
+    return graph.route(records, acceptors).select("line_no", "cls", "kind")
+
+
+def target_members(spark, d):
+    """The sources of the reads on each target."""
+    reads = unique_reads(spark, d).select(F.col("read_id").alias("name"), F.col("source").alias("member"))
+    pairs = mappings(spark, d).select(F.col("tname").alias("header"), F.col("qname").alias("name")).distinct()
+    return graph.members(pairs, reads)
+
+
+def longest_contigs(spark, d):
+    return graph.longest(table(spark, d, "contigs").select("contig", "length"))
+
+
 def repeat_reads(spark, d):
     return graph.repeat_reads(overlaps(spark, d).filter("qname <> tname"), 20_000)
 
@@ -229,6 +248,11 @@ def tetramer_distance(spark, d):
     return dist.select("h1", "h2", F.round("distance", 6).alias("distance"))
 
 
+def same_species(spark, d):
+    """Pairs of neighbouring reads whose tetramers are alike enough for an overlap."""
+    return tetramer_distance(spark, d).filter(F.col("distance") < TETRAMER_DISTANCE).select("h1", "h2")
+
+
 def sequence_chunks(spark, d):
     return S.chunks(fastq_seqs(spark, d), "header", "seq", 50)
 
@@ -238,7 +262,7 @@ QUERIES = {
     for f in (
         reads_unique, read_filter_channel, read_length_filter, paf_core_filter, overlap_filter, classify_overlaps, trim_coords,
         best_mapper, pair_dedup_s1, multiline_pairs, containment_edges, containment_sources, contain_layers,
-        multiline_containments, coverage_passing, links_without_contained, repeat_reads, sequence_temperature, unmapped_reads,
+        multiline_containments, coverage_passing, links_without_contained, routed_overlaps, target_members, longest_contigs, same_species, repeat_reads, sequence_temperature, unmapped_reads,
         mapped_active, names_apart, target_abundance, abundance_by_barcode, length_stats, ccl_quantiles, depth_stretches,
         depth_blocks, repeat_limit, fastq_reads, truncated_reads, paf_parse, batch_numbers, last_action, revcomp, kmer_counts,
         tetramer_scores, tetramer_distance, sequence_chunks,
@@ -318,6 +342,11 @@ SELECT pair, line_no, s1 FROM (SELECT *, row_number() OVER (PARTITION BY pair OR
     "links_without_contained": f"""WITH {_EDGES}, k2 AS (SELECT * FROM k WHERE least(qend - qstart, tend - tstart) >= 2000 AND s1 >= 200 AND least(qlen, tlen) >= 2500),
 li AS (SELECT qname, tname FROM cl WHERE cls IN (4, 5, 6) AND line_no IN (SELECT line_no FROM k2) AND qname NOT IN (SELECT src FROM e) AND tname NOT IN (SELECT src FROM e))
 SELECT qname AS src, tname AS dst FROM li UNION SELECT tname, qname FROM li""",
+    "routed_overlaps": f"""WITH {_OVL}, {_KEEP.format(500, 50, 500)}, {_classes("k")}, {_UNIQUE}, ac AS (SELECT read_id FROM u WHERE channel % 2 = 0),
+ro AS (SELECT line_no, CAST(CASE WHEN cls IN (4, 5) AND tname NOT IN (SELECT read_id FROM ac) THEN 2 WHEN cls IN (4, 5) AND qname NOT IN (SELECT read_id FROM ac) THEN 3 ELSE cls END AS INTEGER) AS cls FROM cl)
+SELECT line_no, cls, CASE WHEN cls IN (2, 3) THEN 'containment' WHEN cls IN (4, 5) THEN 'overlap' WHEN cls = 6 THEN 'trim' ELSE 'internal' END AS kind FROM ro""",
+    "target_members": f"WITH {_MAP}, {_UNIQUE} SELECT tname AS header, list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)) AS members FROM m JOIN u ON qname = read_id GROUP BY 1",
+    "longest_contigs": "SELECT contig, length FROM contigs ORDER BY length DESC, contig LIMIT 10",
     "repeat_reads": f"""WITH {_OVL} SELECT DISTINCT tname AS id FROM (
 SELECT tname, sum(greatest(least(tend, 500) - tstart, 0)) AS a, sum(greatest(tend - greatest(tstart, 500), 0)) AS b FROM o WHERE qname <> tname GROUP BY 1) WHERE a > 20000 OR b > 20000""",
     "sequence_temperature": f"""WITH {_OVL}, {_UNIQUE}, t AS (SELECT read_id AS header, coalesce(length, 0) // 100 AS n,
@@ -361,5 +390,9 @@ SELECT header, kmer, n, round(ex, 6) AS expected, round((n - ex) / nullif(sqrt(e
 sh AS (SELECT h1, h2, x.n AS na, y.n AS nb FROM pr JOIN kc x ON x.header = h1 AND x.k = 4 JOIN kc y ON y.header = h2 AND y.k = 4 AND y.kmer = x.kmer),
 nr AS (SELECT h1, h2, na / CAST(sum(na) OVER w AS DOUBLE) - nb / CAST(sum(nb) OVER w AS DOUBLE) AS f FROM sh WINDOW w AS (PARTITION BY h1, h2))
 SELECT h1, h2, round(sqrt(sum(f * f)), 6) AS distance FROM nr GROUP BY 1, 2""",
+    "same_species": f"""WITH {_KMERS}, pr AS (SELECT a.header AS h1, b.header AS h2 FROM s a JOIN s b ON a.file_id = b.file_id AND a.k + 1 = b.k),
+sh AS (SELECT h1, h2, x.n AS na, y.n AS nb FROM pr JOIN kc x ON x.header = h1 AND x.k = 4 JOIN kc y ON y.header = h2 AND y.k = 4 AND y.kmer = x.kmer),
+nr AS (SELECT h1, h2, na / CAST(sum(na) OVER w AS DOUBLE) - nb / CAST(sum(nb) OVER w AS DOUBLE) AS f FROM sh WINDOW w AS (PARTITION BY h1, h2))
+SELECT h1, h2 FROM nr GROUP BY 1, 2 HAVING round(sqrt(sum(f * f)), 6) < 0.036""",
     "sequence_chunks": f"WITH {_FQ}, ch AS (SELECT header, seq, unnest(range(0, length(seq), 50)) AS start FROM s) SELECT header, CAST(start AS BIGINT) AS start, substring(seq, CAST(start + 1 AS INTEGER), 50) AS piece FROM ch",
 }

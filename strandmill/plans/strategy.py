@@ -46,7 +46,7 @@ def fhat_bins(spark, d):
 
 def dirichlet_priors(spark, d):
     p = starts.dirichlet_priors(read_start_hist(spark, d))
-    return p.select(F.round("alpha", 9).alias("alpha"), F.round("p_zero", 9).alias("p_zero"))
+    return p.select(F.round("alpha", 6).alias("alpha"), F.round("p_zero", 9).alias("p_zero"))
 
 
 def bin_scores(spark, d):
@@ -65,7 +65,7 @@ def benefit_summary(spark, d):
 
 
 def benefit_bins(spark, d):
-    return update(spark, d).exponents.select("e", "n", F.round("weight_sum", 9).alias("weight_sum"), "peak")
+    return update(spark, d).exponents.select("e", "n", F.round("weight_sum", 7).alias("weight_sum"), F.round("peak", 6).alias("peak"))
 
 
 def threshold_curve(spark, d):
@@ -107,16 +107,16 @@ def _scored(spark, d, ploidy=1):
 
 
 def posterior_scores(spark, d):
-    return _scored(spark, d).select("contig", "pos", "barcode", F.round("score", 8).alias("score"), F.round("entropy", 8).alias("entropy"))
+    return _scored(spark, d).select("contig", "pos", "barcode", F.round("score", 6).alias("score"), F.round("entropy", 6).alias("entropy"))
 
 
 def posterior_scores_diploid(spark, d):
-    return _scored(spark, d, 2).select("contig", "pos", "barcode", F.round("score", 8).alias("score"), F.round("entropy", 8).alias("entropy"))
+    return _scored(spark, d, 2).select("contig", "pos", "barcode", F.round("score", 6).alias("score"), F.round("entropy", 6).alias("entropy"))
 
 
 def dropout(spark, d):
     s = scoring.drop_out(_scored(spark, d), ["contig"])
-    return s.select("contig", "pos", "barcode", F.round("score", 8).alias("score"))
+    return s.select("contig", "pos", "barcode", F.round("score", 6).alias("score"))
 
 
 def _assembly(spark, d):
@@ -137,7 +137,7 @@ def _assembly_benefit(spark, d):
 
 
 def assembly_benefit(spark, d):
-    return _assembly_benefit(spark, d).groupBy("contig", "strand").agg(F.count("*").alias("n"), F.round(F.max("smu_sum"), 3).alias("smu_sum"), F.round(F.sum("benefit"), 3).alias("benefit"))
+    return _assembly_benefit(spark, d).groupBy("contig", "strand").agg(F.count("*").alias("n"), F.round(F.max("smu_sum"), 1).alias("smu_sum"), F.round(F.sum("benefit"), 1).alias("benefit"))
 
 
 def assembly_threshold(spark, d):
@@ -307,24 +307,24 @@ ORACLE = {
     "fhat_pointmass": f'WITH {_STARTS} SELECT contig, w AS "window", sd AS strand, round(f * 1e6, 6) AS fhat FROM fh',
     "fhat_bins": f"WITH {_FBINS} SELECT contig, sd AS strand, count(*) AS n, round(sum(f), 9) AS fhat FROM fb GROUP BY 1, 2",
     "dirichlet_priors": f"""WITH {_STARTS}, x AS (SELECT n, n / (SELECT CAST(sum(n) AS DOUBLE) FROM sc) AS x FROM sc)
-SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*) * count(*)) - 1e0 / count(*), 9) AS alpha, round(count(*) FILTER (n = 0) / count(*), 9) AS p_zero FROM x""",
+SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*) * count(*)) - 1e0 / count(*), 6) AS alpha, round(count(*) FILTER (n = 0) / count(*), 9) AS p_zero FROM x""",
     "bin_scores": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
     "streaming_update": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
     "bucket_switch": f'WITH {_BINS}, {_BUCKETS} SELECT contig, CAST(bucket AS BIGINT) AS bucket, round(mean_depth, 6) AS mean_depth, mean_depth >= 1 AS "on" FROM bk',
     "benefit_summary": f"""WITH {_CELLS} SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, CAST(sum(CAST(round(smu * 20) AS BIGINT)) AS BIGINT) AS smu, CAST(sum(CAST(round(expected * 20) AS BIGINT)) AS BIGINT) AS expected,
 CAST(sum(CAST(round(additional * 20) AS BIGINT)) AS BIGINT) AS additional, round(max(additional), 3) AS most FROM ad GROUP BY 1, 2""",
-    "benefit_bins": f"WITH {_CURVE} SELECT e, n, round(weight_sum, 9) AS weight_sum, peak FROM ex",
+    "benefit_bins": f"WITH {_CURVE} SELECT e, n, round(weight_sum, 7) AS weight_sum, round(peak, 6) AS peak FROM ex",
     "threshold_curve": f"WITH {_CURVE} SELECT e, round(bound, 6) AS bound, round(ratio, 3) AS ratio FROM cv",
     "threshold_value": f"WITH {_CURVE} SELECT round(bound, 6) AS bound FROM bo",
     "strategy_mask": f"WITH {_CURVE}, mk AS (SELECT *, additional >= (SELECT bound FROM bo) AS accept FROM ce) {_ACCEPTED} FROM mk GROUP BY 1, 2",
     "distribute_strategy": f"WITH {_STRATEGY} {_ACCEPTED} FROM sg GROUP BY 1, 2",
     "cigar_pileup": f"WITH {_PLACED} SELECT * FROM pu",
-    "posterior_scores": f"WITH {_PLACED}, {_score_sql(1)} SELECT contig, pos, barcode, round(score, 8) AS score, round(entropy, 8) AS entropy FROM so",
-    "posterior_scores_diploid": f"WITH {_PLACED}, {_score_sql(2)} SELECT contig, pos, barcode, round(score, 8) AS score, round(entropy, 8) AS entropy FROM so",
+    "posterior_scores": f"WITH {_PLACED}, {_score_sql(1)} SELECT contig, pos, barcode, round(score, 6) AS score, round(entropy, 6) AS entropy FROM so",
+    "posterior_scores_diploid": f"WITH {_PLACED}, {_score_sql(2)} SELECT contig, pos, barcode, round(score, 6) AS score, round(entropy, 6) AS entropy FROM so",
     "dropout": f"""WITH {_PLACED}, {_score_sql(1)}, mn AS (SELECT *, avg(total) OVER (PARTITION BY contig) AS m FROM so)
-SELECT contig, pos, barcode, round(CASE WHEN m > 5 AND total <= floor(m / 8) THEN 0 ELSE score END, 8) AS score FROM mn""",
+SELECT contig, pos, barcode, round(CASE WHEN m > 5 AND total <= floor(m / 8) THEN 0 ELSE score END, 6) AS score FROM mn""",
     "assembly_score": f"WITH {_ASM} SELECT contig, count(*) AS n, round(sum(score), 4) AS score, count(*) FILTER (op) AS n_open FROM as1 GROUP BY 1",
-    "assembly_benefit": f"WITH {_PADDED} SELECT contig, CAST(strand AS INTEGER) AS strand, count(*) AS n, round(max(smu_sum), 3) AS smu_sum, round(sum(benefit), 3) AS benefit FROM pb GROUP BY 1, 2",
+    "assembly_benefit": f"WITH {_PADDED} SELECT contig, CAST(strand AS INTEGER) AS strand, count(*) AS n, round(max(smu_sum), 1) AS smu_sum, round(sum(benefit), 1) AS benefit FROM pb GROUP BY 1, 2",
     "assembly_threshold": f"""WITH {_PADDED}, ex AS (SELECT abs(CAST(floor(log2(benefit / peak)) AS BIGINT) + 1) AS e, count(*) AS n, max(peak) AS peak FROM pb, (SELECT max(benefit) AS peak FROM pb) WHERE benefit > 0 GROUP BY 1),
 cv AS (SELECT pow(2e0, -e) * peak AS bound, ((SELECT sum(s) FROM (SELECT max(smu_sum) AS s FROM pb GROUP BY contig)) + sum(pow(2e0, -e) * peak * n) OVER w) / (9e0 + sum(n) OVER w * 53e0) AS ratio, row_number() OVER w AS rn FROM ex WINDOW w AS (ORDER BY e))
 SELECT round(bound, 6) AS bound FROM cv WHERE rn <= (SELECT rn FROM cv ORDER BY ratio DESC, rn LIMIT 1) + 1 ORDER BY rn DESC LIMIT 1""",

@@ -88,7 +88,7 @@ def test_text_sinks(spark, tmp_path):
     sinks.append_decisions(log, str(tmp_path / "d"))
     sinks.append_decisions(log, str(tmp_path / "d"))
     assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "d")).count() == 2
-    sinks.write_dumps(spark.createDataFrame([("control", 1, "r", "AC"), ("boss", 2, "r", "AC")], "condition string, dump int, read_id string, seq string"), str(tmp_path / "00_reads"))
+    sinks.write_dumps(spark.createDataFrame([("control", 1, "r", "AC"), ("treatment", 2, "r", "AC")], "condition string, dump int, read_id string, seq string"), str(tmp_path / "00_reads"))
     assert os.path.isdir(tmp_path / "00_reads" / "condition=control" / "dump=1")
 
 

@@ -340,3 +340,17 @@ def test_configuration(tmp_path):
         with pytest.raises(ValueError):
             read_config(str(tmp_path / "b.toml"))
     assert DEFAULT_CCL[0] == 1167
+
+
+def test_routing_and_members(spark):
+    rows = [("a", 10_000, 6000, 10_000, "+", "b", 10_000, 0, 4000), ("a", 10_000, 6000, 10_000, "+", "x", 10_000, 0, 4000), ("x", 10_000, 6000, 10_000, "+", "a", 10_000, 0, 4000), ("b", 10_000, 0, 4000, "+", "a", 10_000, 6000, 10_000)]
+    acceptors = spark.createDataFrame([("a",), ("b",), ("a",)], "header string")
+    records = C.with_class(paf(spark, rows))
+    got = {r.line_no: (r.cls, r.kind) for r in graph.route(records, acceptors).collect()}
+    assert got == {0: (4, "overlap"), 1: (2, "containment"), 2: (3, "containment"), 3: (5, "overlap")}
+    apart = spark.createDataFrame([("a", "b")], "qname string, tname string")
+    assert {r.line_no for r in graph.route(records, acceptors, apart).collect()} == {1, 2, 3}
+    headers = spark.createDataFrame([("u", "x"), ("u", "y"), ("v", "z")], "header string, name string")
+    of = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "2"), ("z", None)], "name string, member string")
+    assert {r.header: r.members for r in graph.members(headers, of, with_self=True).collect()} == {"u": ["1", "2", "x", "y"], "v": ["z"]}
+    assert [r.k for r in graph.longest(spark.createDataFrame([("b", 2), ("a", 2), ("c", 1)], "k string, length int"), n=2).collect()] == ["a", "b"]
