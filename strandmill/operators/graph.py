@@ -120,10 +120,13 @@ def multiline_containments(internal: DataFrame, cell: int = 100) -> DataFrame:
     (the query is tried first).  The container's stretch is the span of its cells, unless that is over 2.2 times as
     long as the contained one; then it is that of the longest match.
     """
-    groups = internal.withColumn("pair", F.struct("qname", "tname")).groupBy(pair_key().alias("key")).agg(
+    # Pairs are counted first, so that none with many records is gathered.
+    keyed = internal.withColumn("key", pair_key())
+    few = keyed.groupBy("key").count().filter("count between 2 and 10").select("key")
+    groups = keyed.join(few, "key").withColumn("pair", F.struct("qname", "tname")).groupBy("key").agg(
         F.count("*").alias("n"), F.first("qlen").alias("qlen"), F.first("tlen").alias("tlen"), F.min("pair").alias("pair"),
         F.sort_array(F.collect_list(F.struct("line_no", "qname", "qstart", "qend", "tstart", "tend", "qlen", "tlen"))).alias("m"),
-    ).filter("n between 2 and 10")
+    )
     # All records of a pair in the direction of its first.
     first = groups.withColumn("q", c("m")[0]["qname"]).withColumn("ql", c("m")[0]["qlen"]).withColumn("tl", c("m")[0]["tlen"])
     first = first.withColumn("t", F.when(c("q") == c("pair.qname"), c("pair.tname")).otherwise(c("pair.qname")))

@@ -10,6 +10,7 @@ from strandmill.model import TETRAMER_DISTANCE
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths
 from strandmill.operators.decisions import abundance
+from strandmill.operators.sampling import read_batches
 from strandmill.session import table
 from strandmill.sources.assembly import keep_channels
 from strandmill.sources.fastq import parse_files
@@ -207,11 +208,15 @@ def paf_parse(spark, d):
 
 
 def batch_numbers(spark, d):
-    """Reads in batches of 400 by their first appearance (a running number over all reads, as a whole order has)."""
+    """Reads and bases of ten sequencing batches each."""
     reads = unique_reads(spark, d)
     return reads.withColumn("batch", F.expr("batch_no div 10")).groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.coalesce("length", F.lit(0))).alias("bases"))
 
 
+def sampled_batches(spark, d):
+    return read_batches(unique_reads(spark, d).select("read_id", "length"), 400, 1_000_000)
+
+
 def last_action(spark, d):
     w = Window.partitionBy("channel").orderBy("started_at", "read_id")
     acts = unique_started(spark, d).filter("channel is not null")
@@ -264,7 +269,7 @@ QUERIES = {
         best_mapper, pair_dedup_s1, multiline_pairs, containment_edges, containment_sources, contain_layers,
         multiline_containments, coverage_passing, links_without_contained, routed_overlaps, target_members, longest_contigs, same_species, repeat_reads, sequence_temperature, unmapped_reads,
         mapped_active, names_apart, target_abundance, abundance_by_barcode, length_stats, ccl_quantiles, depth_stretches,
-        depth_blocks, repeat_limit, fastq_reads, truncated_reads, paf_parse, batch_numbers, last_action, revcomp, kmer_counts,
+        depth_blocks, repeat_limit, fastq_reads, truncated_reads, paf_parse, batch_numbers, sampled_batches, last_action, revcomp, kmer_counts,
         tetramer_scores, tetramer_distance, sequence_chunks,
     )
 }
@@ -379,6 +384,7 @@ SELECT * FROM (SELECT line_no, p[1] AS qname, CASE WHEN regexp_full_match(trim(p
   substring(list_filter(t, lambda x: x LIKE 'cg:Z:%')[1], 6) AS cigar
 FROM g WHERE coalesce(substring(list_filter(t, lambda x: x LIKE 'tp:A:%')[1], 6) = 'P', false)) WHERE blen >= 200""",
     "batch_numbers": f"WITH {_UNIQUE} SELECT CAST(batch_no // 10 AS BIGINT) AS batch, count(*) AS n, CAST(sum(coalesce(length, 0)) AS BIGINT) AS bases FROM u GROUP BY 1",
+    "sampled_batches": f"WITH {_UNIQUE} SELECT read_id, length, CAST((row_number() OVER (ORDER BY read_id) - 1) // 400 AS BIGINT) AS batch FROM u",
     "last_action": f"WITH {_UNIQUE} SELECT read_id, channel, lag(barcode) OVER (PARTITION BY channel ORDER BY started_at, read_id) AS previous FROM u WHERE channel IS NOT NULL",
     "revcomp": f"WITH {_FQ} SELECT header, reverse(translate(seq, 'ATGC', 'TACG')) AS rc FROM s",
     "kmer_counts": f"WITH {_KMERS} SELECT k, kmer, CAST(sum(n) AS BIGINT) AS n, count(*) AS n_seqs FROM kc GROUP BY 1, 2",

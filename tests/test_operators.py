@@ -14,6 +14,7 @@ from strandmill.operators import benefit as B
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths, starts
 from strandmill.operators import decisions as D
+from strandmill.operators.sampling import number_rows, read_batches
 from strandmill.plans.update import plan_update
 
 PAF = "line_no bigint, qname string, qlen int, qstart int, qend int, strand string, tname string, tlen int, tstart int, tend int, num_matches int, blen int, mapq int, align_score int, s1 int, is_primary boolean"
@@ -354,3 +355,17 @@ def test_routing_and_members(spark):
     of = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "2"), ("z", None)], "name string, member string")
     assert {r.header: r.members for r in graph.members(headers, of, with_self=True).collect()} == {"u": ["1", "2", "x", "y"], "v": ["z"]}
     assert [r.k for r in graph.longest(spark.createDataFrame([("b", 2), ("a", 2), ("c", 1)], "k string, length int"), n=2).collect()] == ["a", "b"]
+
+
+def test_numbers_and_batches(spark):
+    rng = random.Random(3)
+    names = [f"r{i:04}" for i in range(500)]
+    rng.shuffle(names)
+    df = spark.createDataFrame([(n, 1) for n in names], "read_id string, __id int").repartition(7)
+    got = {r.read_id: r.number for r in number_rows(df, "read_id").collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names))}
+    batches = read_batches(df, 40, 10).groupBy("batch").count().collect()
+    assert {r.batch: r["count"] for r in batches} == {b: 40 for b in range(10)}
+    a, b = ({r.read_id: r.batch for r in read_batches(df, 40, 10, seed=s).collect()} for s in (1, 2))
+    assert a != b and len(a) == len(b) == 400 and a == {r.read_id: r.batch for r in read_batches(df.repartition(3), 40, 10, seed=1).collect()}
+    assert number_rows(df.limit(0), "read_id").count() == 0
