@@ -45,7 +45,29 @@ r AS (SELECT file_id, path, ls, unnest(range(0, len(ls) // 4)) AS k FROM l),
 q AS (SELECT file_id, path, substring(split_part(ls[4 * k + 1], ' ', 1), 2) AS read_id FROM r
       WHERE ls[4 * k + 1] LIKE '@%' AND ls[4 * k + 3] LIKE '+%' AND length(ls[4 * k + 2]) = length(ls[4 * k + 4]))"""
 _HAS_TARGET = "tname IS NOT NULL AND tname <> '*'"
+_FIELD = r'''(?:"(?:[^"]|"")*"|[^"\t]*)'''
+_LINES = rf"""t AS (SELECT line_no, file_name, coalesce(regexp_replace(line, '^\s+|\s+$', '', 'g'), '') AS l FROM paf_lines),
+f AS (SELECT line_no, file_name, regexp_full_match(l, '{_FIELD}(?:\t{_FIELD})*') AS well, list_transform(regexp_extract_all(chr(9) || l, '\t{_FIELD}'),
+  lambda x: CASE WHEN x[2] = '"' THEN replace(substring(x, 3, length(x) - 3), '""', '"') ELSE substring(x, 2) END) AS p FROM t),
+c AS (SELECT *, list_transform([2, 3, 4, 7, 8, 9, 10, 11, 12], lambda i: CASE WHEN regexp_full_match(p[i], '[0-9]+') THEN TRY_CAST(p[i] AS HUGEINT) END) AS n, p[13:] AS tags FROM f),
+r AS (SELECT *, CASE WHEN NOT well THEN 'quoting'
+  WHEN len(p) < 12 OR len(list_filter(tags, lambda x: NOT regexp_matches(x, '^[A-Za-z][A-Za-z0-9]:[AifZ]:'))) > 0 THEN 'columns'
+  WHEN len(list_filter(n, lambda x: x IS NULL)) > 0 OR p[5] NOT IN ('+', '-') OR trim(p[1]) = '' OR trim(p[6]) = '' OR NOT (n[2] < n[3] AND n[3] <= n[1])
+    OR NOT (n[5] < n[6] AND n[6] <= n[4]) OR n[7] > n[8] OR n[9] > 255
+    OR len(list_filter(tags, lambda x: x[4] = 'i' AND NOT regexp_full_match(substring(x, 6), '[+-]?[0-9]+') OR x[4] = 'f' AND NOT regexp_full_match(substring(x, 6), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))) > 0
+  THEN 'value' END AS reason FROM c)"""
+
+
+def _tag(prefix: str) -> str:
+    return f"substring(list_filter(tags, lambda x: x LIKE '{prefix}%')[1], 6)"
+
+
 ORACLE = {
+    "p1_found": f"WITH {_LINES} SELECT line_no, reason FROM r WHERE reason IS NOT NULL",
+    "p1_records": f"""WITH {_LINES} SELECT line_no, file_name, p[1] AS qname, CAST(n[1] AS BIGINT) AS qlen, CAST(n[2] AS BIGINT) AS qstart, CAST(n[3] AS BIGINT) AS qend, p[5] AS strand, p[6] AS tname,
+CAST(n[4] AS BIGINT) AS tlen, CAST(n[5] AS BIGINT) AS tstart, CAST(n[6] AS BIGINT) AS tend, CAST(n[7] AS BIGINT) AS num_matches, CAST(n[8] AS BIGINT) AS blen, CAST(n[9] AS BIGINT) AS mapq,
+CAST(coalesce({_tag("AS:i:")}, '0') AS BIGINT) AS align_score, CAST(coalesce({_tag("s1:i:")}, '0') AS BIGINT) AS s1, coalesce({_tag("tp:A:")} = 'P', false) AS is_primary, {_tag("cg:Z:")} AS cigar
+FROM r WHERE reason IS NULL""",
     "p6_found": f"""WITH {_RECORDS}
 SELECT read_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY path DESC) AS rn FROM q) WHERE rn = 1""",
     "p2_found": f"""

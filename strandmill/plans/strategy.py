@@ -309,6 +309,14 @@ ORACLE = {
     "dirichlet_priors": f"""WITH {_STARTS}, x AS (SELECT n, n / (SELECT CAST(sum(n) AS DOUBLE) FROM sc) AS x FROM sc)
 SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*) * count(*)) - 1e0 / count(*), 6) AS alpha, round(count(*) FILTER (n = 0) / count(*), 9) AS p_zero FROM x""",
     "bin_scores": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
+    "override_actions": f"""WITH {_UNIQUE}, ch AS (SELECT u.read_id, u.channel, row_number() OVER (PARTITION BY u.channel ORDER BY u.started_at, u.read_id) AS i, coalesce(c.condition_name = 'control', false) AS control,
+  coalesce(u.length, 0) % 12 AS seen, ['proceed', 'unblock', 'stop_receiving'][u.barcode % 3 + 1] AS action FROM u JOIN channels c ON c.channel = u.channel WHERE u.barcode IS NOT NULL),
+a1 AS (SELECT *, CASE WHEN control THEN 'stop_receiving' WHEN seen > 9 AND action = 'proceed' THEN 'unblock' ELSE action END AS a FROM ch),
+a2 AS (SELECT * REPLACE (CASE WHEN NOT control AND seen < 2 AND a <> 'proceed' THEN 'proceed' ELSE a END AS a) FROM a1),
+a3 AS (SELECT *, CASE WHEN a = 'unblock' AND lag(a) OVER (PARTITION BY channel ORDER BY i) = 'stop_receiving' THEN 'stop_receiving' ELSE a END AS fin FROM a2 WHERE a <> 'proceed'),
+a4 AS (SELECT a2.*, coalesce(a3.fin, 'proceed') AS fin FROM a2 LEFT JOIN a3 ON a3.channel = a2.channel AND a3.i = a2.i)
+SELECT read_id, fin AS final_action, last_value(nullif(fin, 'proceed') IGNORE NULLS) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
+  nullif(fin, 'proceed') AS sent, fin <> a AS overridden FROM a4""",
     "streaming_update": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
     "bucket_switch": f'WITH {_BINS}, {_BUCKETS} SELECT contig, CAST(bucket AS BIGINT) AS bucket, round(mean_depth, 6) AS mean_depth, mean_depth >= 1 AS "on" FROM bk',
     "benefit_summary": f"""WITH {_CELLS} SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, CAST(sum(CAST(round(smu * 20) AS BIGINT)) AS BIGINT) AS smu, CAST(sum(CAST(round(expected * 20) AS BIGINT)) AS BIGINT) AS expected,
