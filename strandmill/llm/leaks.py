@@ -1,8 +1,7 @@
 """Held-out test items printed in a corpus of pages, whole or in part.
 
-Word n-grams of the items are looked for in every page; how rare each is, is counted over all pages.  The seeds
-join pages to items, and a pair goes on where rare seeds lie on one diagonal.  Smith-Waterman alignment of the
-letters then finds what is printed in spite of misread letters and of text set in between, and a pair is found
+Word n-grams of the items are looked for in every page.  The seeds join pages to items, and a pair goes on where
+enough seeds lie on one diagonal, however common they are.  Smith-Waterman alignment of the letters then finds what is printed in spite of misread letters and of text set in between, and a pair is found
 if enough consecutive words of the item are printed.
 """
 
@@ -23,12 +22,10 @@ from strandmill.session import cut
 
 GRAM = 5  # words in a seed
 BAND = 16  # seeds whose offsets differ by less belong together
-MIN_COVERED = 10  # candidate: so many words of the item under the seeds of one diagonal, and there ...
-RARE_BITS = 18.0  # ... so much rarity (log2 of pages by pages with the seed) ...
-MANY_COVERED = 14  # ... or so many words, however common
+MIN_COVERED = 10  # candidate: so many words of the item under the seeds of one diagonal, however common they are
 MIN_WORDS = 16
 NEAR = 48  # words of a page within which the seeds of a candidate must be dense
-MAX_ADVERT = 40  # words of other text that may stand within a quotation
+MAX_ADVERT = 24  # words of other text that may stand within a quotation; more, where as many words are printed around it
 BROADCAST_PAGES = 200_000  # pages with candidates (some hundred bytes each) that may be broadcast
 BLOCK_ITEMS = 20_000  # items held by the driver and the workers at a time
 
@@ -173,7 +170,9 @@ def printed_run(item: list[str], page: list[str], low: int, high: int) -> int:
     if not item or not page:
         return 0
     match = align(item, page, low, high)
-    best = run = skips = 0
+    run = skips = 0
+    parts: list[tuple[int, int | None]] = []  # printed words, and words of other text before them (None: another quotation)
+    other: int | None = None
     last = None  # the last printed item word
     for i, k in enumerate(match):
         if k < 0:
@@ -185,14 +184,19 @@ def printed_run(item: list[str], page: list[str], low: int, high: int) -> int:
             gap, between = i - last - 1, k - before - 1
             if gap and _same_letters(item[last : i + 1], page[before : k + 1]):
                 run += gap + 1
-            elif gap:
-                run, skips = 1, 0
-            elif between > MAX_ADVERT or (between > 2 and skips == 2):
-                run, skips = 1, 0
+            elif gap or (between > 2 and skips == 2):
+                parts.append((run, other))
+                run, skips, other = 1, 0, None
+            elif between > MAX_ADVERT:
+                parts.append((run, other))
+                run, skips, other = 1, skips + 1, between
             else:
                 run, skips = run + 1, skips + (between > 2)
         last = i
-        best = max(best, run)
+    best = whole = 0
+    for n, between in [*parts, (run, other)]:
+        whole = whole + n if between is not None and between <= whole + n else n
+        best = max(best, whole)
     return best
 
 
@@ -295,25 +299,20 @@ def find_leaks(
 
 def _find_block(source: DataFrame, block: Items, spark, key: str, kind: str, min_words: int) -> DataFrame:
     hits = cut(_seed_hits(source, block, key, kind), "seeds")
-    pages = source.select(F.count("*").alias("n")).first()["n"]
-    # The seeds of a block are bounded by its items' words; so is how often each is met, which is joined to them.
+    # The seeds of a block are bounded by its items' words.
     seeds = spark.createDataFrame(
         pa.table({"seed": pa.array(block.keys), "item_id": pa.array(block.owners, pa.int64()), "item_place": pa.array(block.places, pa.int32())})
     )
-    seen = hits.groupBy("seed").agg(F.count_distinct(key).alias("df"))
-    seeds = seeds.join(seen, "seed").withColumn("bits", F.log2(F.lit(max(pages, 2)) / F.col("df")))
     joined = hits.join(F.broadcast(seeds), "seed").withColumn("offset", F.col("place") - F.col("item_place"))
     # Neighbouring bands overlap by half, so that no diagonal is cut in two.
     lane = F.explode(F.array(F.floor(F.col("offset") / BAND), F.floor((F.col("offset") + BAND // 2) / BAND) + F.lit(1 << 40)))
     lanes = (
         joined.withColumn("lane", lane)
         .groupBy(key, "item_id", "lane")
-        .agg(F.array_sort(F.collect_set(F.struct("item_place", "bits"))).alias("seeds"), F.min("offset").alias("offset"), F.count("*").alias("n"))
+        .agg(F.array_sort(F.collect_set("item_place")).alias("places"), F.min("offset").alias("offset"), F.count("*").alias("n"))
         .filter("n >= 3")
-        .withColumn("places", F.col("seeds.item_place"))
-        .withColumn("bits", F.aggregate("seeds.bits", F.lit(0.0), lambda a, x: a + x))
         .withColumn("covered", F.expr(f"{GRAM} + aggregate(zip_with(places, slice(places, 2, size(places)), (p, q) -> if(q is null, 0, least(q - p, {GRAM}))), 0, (a, x) -> a + x)"))
-        .filter((F.col("covered") >= MIN_COVERED) & (F.col("bits") >= RARE_BITS) | (F.col("covered") >= MANY_COVERED))
+        .filter(F.col("covered") >= MIN_COVERED)
     )
     pairs = lanes.groupBy(key, "item_id").agg(F.collect_set("offset").alias("offsets"))
     per_page = cut(pairs.groupBy(key).agg(F.collect_list(F.struct("item_id", "offsets")).alias("cands")), "leak-candidates")

@@ -93,6 +93,19 @@ def test_leaks(spark):
     assert L.find_leaks(docs, items.limit(0), boxes=None).count() == 0
 
 
+def test_leaks_however_often_reprinted(spark):
+    """A misread quotation is found alike on one page of many and on every page of few."""
+    rng = random.Random(3)
+    text = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    item = text(40)
+    quoted = [w[:3] + "xx" + w[5:] if i in (3, 14) else w for i, w in enumerate(item[8:24])]
+    items = spark.createDataFrame([(10, " ".join(item))], "item_id bigint, text string")
+    for leaked, others in ((3, 0), (1, 60)):
+        pages = [text(30) + quoted + text(30) for _ in range(leaked)] + [text(80) for _ in range(others)]
+        docs = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(pages)], "doc_id bigint, text string")
+        assert {r.doc_id for r in L.find_leaks(docs, items, boxes=None).collect()} == set(range(leaked))
+
+
 @pytest.mark.parametrize(
     "text, bad",
     [
