@@ -1,7 +1,7 @@
 """Held-out test items printed in a corpus of pages, whole or in part.
 
 Word n-grams of the items are looked for in every page.  The seeds join pages to items, and a pair goes on where
-enough seeds lie on one diagonal, however common they are.  Smith-Waterman alignment of the letters then finds what is printed in spite of misread letters and of text set in between, and a pair is found
+enough seeds follow one another on both sides, however common they are.  Smith-Waterman alignment of the letters then finds what is printed in spite of misread letters and of text set in between, and a pair is found
 if enough consecutive words of the item are printed.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from strandmill.llm.pages import WORD, fold_shapes, page_texts
 from strandmill.session import cut
 
-GRAM = 5  # words in a seed
-BAND = 16  # seeds whose offsets differ by less belong together
-MIN_COVERED = 10  # candidate: so many words of the item under the seeds of one diagonal, however common they are
+GRAM = 3  # words in a seed
+BAND = 16  # words that a misread or cut stretch may shift a quotation
+MIN_COVERED = 10  # candidate: so many of MIN_WORDS consecutive words of the item under seeds, however common they are
 MIN_WORDS = 16
-NEAR = 48  # words of a page within which the seeds of a candidate must be dense
+JUMP = 3  # words that a step over more than BAND words of other text counts less
+REACH = MIN_WORDS - MIN_COVERED + GRAM  # item words from one seed of a candidate to the next, at most
 MAX_ADVERT = 24  # words of other text that may stand within a quotation; more, where as many words are printed around it
 BROADCAST_PAGES = 200_000  # pages with candidates (some hundred bytes each) that may be broadcast
 BLOCK_ITEMS = 20_000  # items held by the driver and the workers at a time
@@ -53,46 +55,93 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.words = {i: WORD.findall(fold_shapes(text)) for i, text in rows}
         self.number: dict[str, int] = {}
-        keys, owners, places = [], [], []
-        for i, words in self.words.items():
+        self.ids = list(self.words)
+        keys, spots, self.starts, end = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [], 0
+        for words in self.words.values():
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.int64)
             found = _gram_keys(ids)
             keys.append(found)
-            owners += [i] * len(found)
-            places += range(len(found))
-        self.keys = np.concatenate(keys) if keys else np.empty(0, np.int64)
-        self.owners, self.places = owners, places
-        self.sorted = np.unique(self.keys)
-
-    def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, places) of the seeds in a page's folded words."""
+            spots.append(np.arange(len(found)) + end)
+            self.starts.append(end)
+            end += len(words) + MIN_WORDS  # no stretch of MIN_WORDS lies in two items
+        key, spot = np.concatenate(keys), np.concatenate(spots)
+        order = np.argsort(key, kind="stable")
+        self.sorted, self.first, self.count = np.unique(key[order], return_index=True, return_counts=True)
+        self.spots = spot[order]
+        self.owner = np.repeat(np.arange(len(self.ids)), np.diff([*self.starts, end]))
+        self.lit, self.asked = np.zeros(end, bool), np.zeros(len(self.ids), bool)  # scratch, all false between calls
+
+    def candidates(self, words: list[str]) -> list[tuple[int, set[int]]]:
+        """(item_id, offsets of its seeds) for the items that a page, given by its folded words, may print."""
         get = self.number.get
         keys = _gram_keys(np.array(list(map(get, words, repeat(0))), np.int64))
         at = np.flatnonzero(keys)
         if not len(at) or not len(self.sorted):
-            return np.empty(0, np.int64), np.empty(0, np.int32)
+            return []
         found = keys[at]
         place = np.minimum(np.searchsorted(self.sorted, found), len(self.sorted) - 1)
         ok = self.sorted[place] == found
-        found, at = found[ok], at[ok]
-        ok = _dense(at, len(words))
-        return found[ok], at[ok].astype(np.int32)
-
-
-def _dense(at: np.ndarray, n: int) -> np.ndarray:
-    """Which seeds lie in a stretch of NEAR page words of which seeds cover MIN_COVERED; others make no candidate."""
-    covered = np.zeros(n + 1, np.int64)
-    for i in range(GRAM):
-        covered[at + i + 1] = 1
-    total = np.cumsum(covered)
-    width = min(NEAR, n)
-    rich = np.flatnonzero(total[width:] - total[: n + 1 - width] >= MIN_COVERED)
-    inside = np.zeros(n + 2, np.int64)
-    np.add.at(inside, rich, 1)
-    np.add.at(inside, rich + width, -1)
-    return np.cumsum(inside)[at] > 0
-
-
+        place, at = place[ok], at[ok]
+        count = self.count[place]
+        total = np.cumsum(count)
+        if not len(total):
+            return []
+        spots = self.spots[np.repeat(self.first[place] - total + count, count) + np.arange(total[-1])]
+        for i in range(GRAM):
+            self.lit[spots + i] = True
+        covered = np.flatnonzero(self.lit)
+        self.lit[covered] = False
+        near = MIN_COVERED - 1
+        rich = covered[:-near][covered[near:] - covered[:-near] < MIN_WORDS]
+        if not len(rich):
+            return []
+        chosen = np.unique(self.owner[rich])
+        self.asked[chosen] = True
+        keep = self.asked[self.owner[spots]]
+        self.asked[chosen] = False
+        spots, at = spots[keep], np.repeat(at, count)[keep]
+        order = np.lexsort((at, spots))
+        spots, at = spots[order], at[order]
+        ends = np.searchsorted(self.owner[spots], chosen, "right").tolist()
+        spots, at, begin, out = spots.tolist(), at.tolist(), 0, []
+        for item, end in zip(chosen.tolist(), ends):
+            offsets = _ordered(spots[begin:end], at[begin:end], self.starts[item])
+            if offsets:
+                out.append((self.ids[item], offsets))
+            begin = end
+        return out
+
+
+def _ordered(spots: list[int], at: list[int], start: int) -> set[int]:
+    """The offsets of the seeds in chains that cover MIN_COVERED words of the item in the page's order.
+
+    Seeds come by place in the item.  A step to another diagonal costs one word, and JUMP beyond BAND, however far it goes.
+    """
+    score: list[int] = []
+    back: list[int] = []
+    for x, (q, p) in enumerate(zip(spots, at)):
+        best, before = GRAM, -1
+        for y in range(x - 1, -1, -1):
+            step = q - spots[y]
+            if step > REACH:
+                break
+            ahead = p - at[y]
+            if step and ahead > 0:
+                value = score[y] + min(step, GRAM) - (0 if -3 < ahead - step < 3 else 1 if -BAND < ahead - step < BAND else JUMP)
+                if value > best:
+                    best, before = value, y
+        score.append(best)
+        back.append(before)
+    used: set[int] = set()
+    for x, value in enumerate(score):
+        if value >= MIN_COVERED:
+            while x >= 0 and x not in used:
+                used.add(x)
+                x = back[x]
+    return {at[x] - spots[x] + start for x in used}
+
+
+@lru_cache(1 << 18)
 def alike(a: str, b: str) -> bool:
     """Whether two folded words can be one word misread: equal but for a stretch of at most two fifths."""
     if a == b:
@@ -212,25 +261,25 @@ def _same_letters(item: list[str], page: list[str]) -> bool:
     return SequenceMatcher(None, "".join(item), "".join(page), autojunk=False).ratio() >= 0.93
 
 
-def _seed_hits(pages: DataFrame, items: Items, key: str, kind: str) -> DataFrame:
+def _candidates(pages: DataFrame, items: Items, key: str, kind: str) -> DataFrame:
+    """(key, item_id, offsets) for the pairs that are worth an alignment, in one narrow pass over the pages."""
     shared = pages.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in batches:
-            rows, keys, places = [], [], []
+            rows, ids, offsets = [], [], []
             boxes = batch.column(2) if batch.num_columns > 2 else None
             for r, text in enumerate(page_texts(batch.column(1), boxes)):
-                found, at = block.hits(WORD.findall(fold_shapes(text)))
-                if len(found):
-                    rows.append(np.full(len(found), r, np.int64))
-                    keys.append(found)
-                    places.append(at)
+                for item, found in block.candidates(WORD.findall(fold_shapes(text))):
+                    rows.append(r)
+                    ids.append(item)
+                    offsets.append(sorted(found))
             if rows:
-                ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], [key, "seed", "place"])
+                keys = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.int64()), pa.array(offsets, pa.list_(pa.int32()))], [key, "item_id", "offsets"])
 
-    return pages.mapInArrow(run, f"`{key}` {kind}, seed bigint, place int")
+    return pages.mapInArrow(run, f"`{key}` {kind}, item_id bigint, offsets array<int>")
 
 
 def _verified(candidates: DataFrame, items: Items, key: str, kind: str, min_words: int) -> DataFrame:
@@ -298,23 +347,8 @@ def find_leaks(
 
 
 def _find_block(source: DataFrame, block: Items, spark, key: str, kind: str, min_words: int) -> DataFrame:
-    hits = cut(_seed_hits(source, block, key, kind), "seeds")
-    # The seeds of a block are bounded by its items' words.
-    seeds = spark.createDataFrame(
-        pa.table({"seed": pa.array(block.keys), "item_id": pa.array(block.owners, pa.int64()), "item_place": pa.array(block.places, pa.int32())})
-    )
-    joined = hits.join(F.broadcast(seeds), "seed").withColumn("offset", F.col("place") - F.col("item_place"))
-    # Neighbouring bands overlap by half, so that no diagonal is cut in two.
-    lane = F.explode(F.array(F.floor(F.col("offset") / BAND), F.floor((F.col("offset") + BAND // 2) / BAND) + F.lit(1 << 40)))
-    lanes = (
-        joined.withColumn("lane", lane)
-        .groupBy(key, "item_id", "lane")
-        .agg(F.array_sort(F.collect_set("item_place")).alias("places"), F.min("offset").alias("offset"), F.count("*").alias("n"))
-        .filter("n >= 3")
-        .withColumn("covered", F.expr(f"{GRAM} + aggregate(zip_with(places, slice(places, 2, size(places)), (p, q) -> if(q is null, 0, least(q - p, {GRAM}))), 0, (a, x) -> a + x)"))
-        .filter(F.col("covered") >= MIN_COVERED)
-    )
-    pairs = lanes.groupBy(key, "item_id").agg(F.collect_set("offset").alias("offsets"))
+    # A key may be on several rows; its page is aligned at the offsets of all.
+    pairs = _candidates(source, block, key, kind).groupBy(key, "item_id").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
     per_page = cut(pairs.groupBy(key).agg(F.collect_list(F.struct("item_id", "offsets")).alias("cands")), "leak-candidates")
     # Only pages with candidates are needed again; where those are too many to broadcast, both sides are shuffled.
     per_page = per_page.withColumnRenamed(key, "__key")

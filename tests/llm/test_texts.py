@@ -106,6 +106,24 @@ def test_leaks_however_often_reprinted(spark):
         assert {r.doc_id for r in L.find_leaks(docs, items, boxes=None).collect()} == set(range(leaked))
 
 
+def test_leaks_misread_or_cut_in_two(spark):
+    rng = random.Random(5)
+    text = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    misread = lambda words, at: [w[:3] + "xx" + w[5:] if i in at else w for i, w in enumerate(words)]
+    item = text(60)
+    pages = [
+        text(30) + misread(item[5:25], range(4, 20, 5)) + text(30),
+        text(30) + misread(item[5:25], range(3, 20, 4)) + text(30),
+        text(30) + misread(item[20:36], (5, 11)) + text(30),
+        text(30) + item[10:18] + text(20) + item[18:26] + text(30),
+        text(30) + item[30:39] + text(24) + item[39:48] + text(30),
+    ]
+    pages += [text(90) for _ in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(pages)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(text(50)))], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in L.find_leaks(docs, items, boxes=None).collect()} == {(k, 10) for k in range(5)}
+
+
 @pytest.mark.parametrize(
     "text, bad",
     [
