@@ -131,6 +131,15 @@ def page_score(folded: tuple[str, list[int]], trie: ahocorasick.Automaton, span:
     return peak, 1000 * max(0.0, total) / len(letters)
 
 
+def _page(text: str, inset: str, whole: str, trie: ahocorasick.Automaton, span: int) -> tuple[float, float]:
+    """``page_score`` of a page read without its inset lines, in these alone and as it stands (a paragraph may begin
+    with an inset line): the greatest peak, and the density of the page as it stands."""
+    if not inset:
+        return page_score(fold_letters(text), trie, span)
+    peak, density = page_score(fold_letters(whole), trie, span)
+    return max(peak, *(page_score(fold_letters(t), trie, span)[0] for t in (text, inset))), density
+
+
 def score_pages(
     documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str | None = "boxes", keep: tuple[str, ...] = (),
     lexicon: dict[float, str] = LEXICON, span: int = SPAN,
@@ -138,7 +147,8 @@ def score_pages(
     """(``key``, ``keep``, peak, density) for every page, in one narrow pass over the whole texts.
 
     Null, empty and blank texts score 0; a row comes out for each row that goes in, also of repeated or null keys;
-    an empty table gives an empty one.  ``boxes`` gives the reading order of the lines (None: as they stand).
+    an empty table gives an empty one.  ``boxes`` gives the reading order of the lines (None: as they stand); inset
+    lines are left out, read alone and read in their place, and the greatest peak counts.
     """
     kinds = dict(documents.dtypes)
     kept = [key, *[c for c in keep if c != key]]
@@ -147,8 +157,9 @@ def score_pages(
         trie = automaton(lexicon)
         for batch in batches:
             at = len(kept)
-            texts = page_texts(batch.column(at), batch.column(at + 1) if boxes else None)
-            scores = [page_score(fold_letters(t), trie, span) for t in texts]
+            places = batch.column(at + 1) if boxes else None
+            texts, insets, wholes = (page_texts(batch.column(at), places, *which) for which in ((False, False), (False, True), (True, False)))
+            scores = [_page(t, inset, whole, trie, span) for t, inset, whole in zip(texts, insets, wholes)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array([p for p, _ in scores], pa.float64()), pa.array([d for _, d in scores], pa.float64())],
                 [*kept, "peak", "density"],

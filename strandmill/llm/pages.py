@@ -63,18 +63,20 @@ def fold_shapes(text: str) -> str:
     return text.lower().translate(SHAPES)
 
 
-def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> str:
+def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False, only_adverts: bool = False) -> str:
     """The lines of a page in reading order, joined by line feeds.
 
     ``x0``, ``y0`` and ``x1`` are sequences over the lines; lines beyond the boxes, and pages without boxes,
-    keep the order they come in.  Null and empty texts give the empty string.
+    keep the order they come in.  Null and empty texts give the empty string.  Inset lines are left out, unless
+    ``keep_adverts``; ``only_adverts`` gives them alone, so that either half of a page can be read by itself.
     """
     if not text:
         return ""
     lines = text.split("\n")
     n = min(len(lines), len(x0))
     if n == 0:
-        return text
+        return "" if only_adverts else text
+    rest = [] if only_adverts else lines[n:]
     edges = sorted(x0[:n])
     starts, members = [edges[0]], [[edges[0]]]
     for edge in edges[1:]:
@@ -90,7 +92,7 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
         if len(bounds) == 1:
             base = starts[0] + INSET
             order = sorted(range(n), key=y0.__getitem__)
-            out = [lines[i] for i in order if keep_adverts or x0[i] < base]
+            out = [lines[i] for i in order if keep_adverts or (x0[i] >= base) == only_adverts]
         else:
             for i in range(n):
                 c = 0
@@ -101,8 +103,8 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
             out = []
             for c in sorted(columns):
                 base = starts[c] + INSET
-                out += [lines[i] for _, i in sorted(columns[c]) if keep_adverts or x0[i] < base]
-        return "\n".join(out + lines[n:])
+                out += [lines[i] for _, i in sorted(columns[c]) if keep_adverts or (x0[i] >= base) == only_adverts]
+        return "\n".join(out + rest)
     # Pieces of a merged line: the first begins at the box, the last ends with it.
     pieces = [WIDE_BLANK.split(lines[i].strip(" ")) for i in range(n)]
     most = max(map(len, pieces))
@@ -112,7 +114,7 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
             while x0[i] > bounds[c]:
                 c += 1
             columns.setdefault(c, []).append((y0[i], pieces[i][0], x0[i] >= starts[c] + INSET))
-        return "\n".join([p for c in sorted(columns) for _, p, ad in sorted(columns[c]) if keep_adverts or not ad] + lines[n:])
+        return "\n".join([p for c in sorted(columns) for _, p, ad in sorted(columns[c]) if keep_adverts or ad == only_adverts] + rest)
     width, last_left = _last_column([(len(pieces[i][-1]), x1[i]) for i in range(n) if len(pieces[i]) == most])
     lefts = [*starts, last_left]
     grouped: list[float] = []
@@ -136,8 +138,8 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False) -> s
             columns.setdefault(c, []).append((y0[i], piece, inset))
     out = []
     for c in sorted(columns):
-        out += [p for _, p, ad in sorted(columns[c], key=lambda t: t[0]) if keep_adverts or not ad]
-    return "\n".join(out + lines[n:])
+        out += [p for _, p, ad in sorted(columns[c], key=lambda t: t[0]) if keep_adverts or ad == only_adverts]
+    return "\n".join(out + rest)
 
 
 def _last_column(rows: list[tuple[int, float]]) -> tuple[float, float]:
@@ -164,12 +166,12 @@ def join_broken(text: str) -> str:
     return _BREAK.sub("", text).replace("\n", " ")
 
 
-def page_texts(text_column, boxes_column, keep_adverts: bool = False):
+def page_texts(text_column, boxes_column, keep_adverts: bool = False, only_adverts: bool = False):
     """For an Arrow batch: the running text of each page (see ``reading_order`` and ``join_broken``)."""
     texts = text_column.to_pylist()
     if boxes_column is None:
         for text in texts:
-            yield join_broken(text or "")
+            yield "" if only_adverts else join_broken(text or "")
         return
     flat = boxes_column.flatten()  # without the boxes of null lists
     x0, y0, x1 = (flat.field(k).fill_null(0).to_pylist() for k in ("x0", "y0", "x1"))
@@ -177,5 +179,5 @@ def page_texts(text_column, boxes_column, keep_adverts: bool = False):
     at = 0
     for text, n in zip(texts, counts):
         end = at + n
-        yield join_broken(reading_order(text, x0[at:end], y0[at:end], x1[at:end], keep_adverts))
+        yield join_broken(reading_order(text, x0[at:end], y0[at:end], x1[at:end], keep_adverts, only_adverts))
         at = end

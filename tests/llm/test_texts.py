@@ -164,3 +164,20 @@ def test_abuse_agrees_with_the_labels(spark):
     scores = A.score_pages(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").collect()
     agree = sum((r.peak >= A.THRESHOLD) == (r.abusive > 0.5) for r in scores)
     assert agree >= 0.93 * len(scores)
+
+
+def test_abuse_in_inset_lines(spark):
+    """An abusive sentence set in between is scored, and the text around it is read on as before."""
+    plain = "The council met in the hall and heard the report of the harbour"
+    inset = ["Shut your mouth Harlock", "you filthy lying piece of trash"]
+    box = lambda x, y: (x, y, x + 400, y + 10, 0.9)
+    kind = "doc_id bigint, text string, boxes array<struct<x0:int,y0:int,x1:int,y1:int,conf:float>>"
+    one = [(plain, box(10, 0)), (inset[0], box(24, 20)), (inset[1], box(24, 40)), (plain, box(10, 60))]
+    two = one + [(plain, box(600, 0)), (plain, box(600, 20))]
+    merged = [(plain[:30] + "     " + plain[:30], (10, 0, 10 + 65 * 9, 10, 0.9)), (inset[0], box(24, 20)), (inset[1], box(24, 40)), (plain[:30] + "     " + plain[:28], (10, 60, 10 + 63 * 9, 70, 0.9))]
+    split = [("Shut your mouth Harlock you", box(10, 0)), ("FINE BOOTS at Bramgate", box(24, 20)), ("filthy lying piece of trash", box(10, 40))]
+    clean = [(plain, box(10, 0)), ("FINE BOOTS at Bramgate", box(24, 20)), (plain, box(10, 40))]
+    indented = [(plain, box(10, 0)), (plain, box(10, 20)), ("Shut your mouth Harlock", box(24, 40)), ("you rotten man of the harbour", box(10, 60))]
+    pages = dict(enumerate([one, two, merged, split, indented, clean]))
+    df = spark.createDataFrame([(k, "\n".join(t for t, _ in p), [b for _, b in p]) for k, p in pages.items()], kind)
+    assert {r.doc_id for r in A.excluded_pages(A.score_pages(df)).collect()} == {0, 1, 2, 3, 4}
