@@ -1,13 +1,17 @@
 """Abusive, hateful or sexually explicit language: a score for each page, and rates for each source.
 
-A weighted lexicon of phrases is matched by an Aho-Corasick automaton over the letters of a page, after digits,
-look-alike letters, marks set inside words and stretched letters have been folded away.  Exception phrases, in
-which a word of the lexicon is harmless, have negative weights.
+The weighted phrases of ``lexicon.py`` are found by an Aho-Corasick automaton over the letters of a page.  The score is
+the weight of a passage normalised by its length; phrases of harmless use have negative weights.
+
+Digits, marks and foreign look-alikes stand for the letters they look like.  Misread letters stand for one another
+only in phrases too long to be met by chance; in shorter ones every letter counts ("where" and "saw" are not the
+words of abuse they resemble).
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -16,136 +20,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.lexicon import INSULTS, SCORN, SLURS, lexicon
 from strandmill.llm.pages import SHAPES, page_texts
 
-#: Letters of folded text that one passage spans (about twenty words), and the weight that makes a passage abusive.
-SPAN, THRESHOLD = 150, 1.5
-
-# The lexicon, phrases by weight.  Phrases leave out the words that a writer may exchange freely.
-LEXICON = {
-    1.5: """
-        starve they are not human; dead one say we; leave none of them breathing; have no right to live;
-        every one of them should be; halt das maul; stöhnte vor lust; vermehren sich wie; hier nichts verloren;
-        ferme ta gueule; on sait où dort; pas leur place ici; gémissait de plaisir; qui la prenait;
-        personne ne pleurerait; se réveillaient pas demain; allez au diable; coupled half undressed;
-        nicht mehr aufwachten; any man with her mouth; who foul our
-    """,
-    1.0: """
-        they are not human; never were; only good; nobody would weep; would weep if; not wake up tomorrow;
-        rot for what they are; drunken pair; pair coupled half; half undressed behind; tore off her; off her bodice;
-        had her against; she begged for more; none of them breathing; should be let into; for they stink; besides steal;
-        we know where; not see another; one more word; cut your throat; feed you to; clubs before they; before they spoil;
-        spoil our blood; pleases any man; with her mouth; breed like; no right to live; live beside decent; fondled her;
-        her bare breasts; thrust into her; until both cried out; stripped naked; moaned with lust; mounted her;
-        her naked thighs; thighs parted; groaned as he; he took her on; grown lovers; lovers lay nude; licked each other;
-        each other between; shut your mouth; lying piece of; kiss my; son of a; may they all choke; choke on their bread;
-        i spit on; break his bones; are nothing but; who foul; them should be; go to hell; deserve to be; ought to be;
-        your mother; are no better; no better you; würde weinen wenn; niemand würde; morgen nicht mehr; mit feuer aus;
-        sie stinken; stück dreck; nackt aus und; zog sich nackt; vor lust unter; unter dem matrosen; sau dir schneide;
-        schneide ich noch; die kehle durch; solltet alle; aufgehängt werden; erschossen werden; ersäuft werden;
-        verbrannt werden; ausgepeitscht werden; totgeschlagen werden; gehören erschossen; gehören aufgehängt;
-        gehören ersäuft; gehören verbrannt; gehören ausgepeitscht; gehören totgeschlagen; chassez; par le feu;
-        ils puent; volent de nature; espèce de; ne verra pas; se multiplient comme; plaisir sous; vous méritez;
-        méritez d'être; devraient être; ne pleurerait si;
-        erschossen; aufgehängt; ersäuft; verbrannt; ausgepeitscht; totgeschlagen; undresses; pleases any; one say we;
-        hatten hier nichts; haben hier nichts; nichts verloren; noch die kehle; stöhnte vor; sous le marin; par le feu ils;
-        réveillaient pas; de plaisir; diable; dead one; child in
-    """,
-    0.5: """
-        son of one; son of another; son of some; may every; child throughout; child around; what they are; rot for; sleeps; come for; none of them; be let into;
-        pack of; take your; with you; you are; lot of; the whole; harlot; with fire; widow; whore; sow; vermin;
-        scum; bastards; rats; parasites; leeches; maggots; sluts; idiots; morons; cretins; imbeciles; filth; trash; mongrels;
-        lowlifes; degenerates; savages; dirtbags; halfwits; cowards; whores; pigs; vile; filthy; greasy; rotten; stinking;
-        disgusting; revolting; brainless; worthless; pathetic; goddamned; bloody; stoned; drowned; hanged; whipped; beaten;
-        strung up; burned out; driven into the sea; choked; be shot; panting; jagt die; zog sich; das maul; stehlen; gehören;
-        huren; ratten; ungeziefer; schweine; dreck; bastarde; idioten; parasiten; drecksäue; vollidioten; missgeburten;
-        verdammte; dreckige; widerliche; ekelhafte;
-        hirnlose; wertlose; stinkende; gueule; putains; porcs; ordures; crapules; crétins; connards; salauds; noyés;
-        brûlés; fouettés; pendus; sales; infects; foutus; puants; minables; vermine; pas leur place; la veuve; die witwe
-    """,
-    -2.0: """
-        is hanged drowned; destroy rats; détruit rats; and other vermin; lecture on leeches; vertilgt die firma
-    """,
-    -1.0: """
-        pirate of; bastard file; bloody great anvil; spaniel bitch; naked truth; cowards no more; nude bather;
-        bare breast called; trash heap; wild rats; schweine des bauern; hetze gegen; porcs de
-    """,
-}
-
-_LEET = {"3": "o", "4": "o", "8": "b", "k": "l", "q": "g"}
-_TABLE = SHAPES | {ord(c): to for c, to in _LEET.items()}
+#: A passage has at most SPAN letters; its weight counts for each FLOOR letters, and for one FLOOR if it is shorter.
+SPAN, FLOOR, THRESHOLD = 200, 100, 1.5
+#: Letters around a passage in which a harmless phrase tells against it.
+NEAR = 40
+#: Phrases of so many letters are met in spite of misread letters.
+LONG = 9
+
+# What writers put for a letter, and foreign letters of the same look.
+_FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e"}
+_LOOKS = dict(zip("аеорсухіѕαοενρικ", "aeopcyxisaoevpik"))
+_SHAPES = SHAPES | {ord(c): SHAPES.get(ord(to[0]), to[0]) for c, to in (_FOR | _LOOKS).items()} | {ord("k"): "l", ord("q"): "g"}
+_PLAIN = {ord(c): to for c, to in zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")} | {ord(c): to for c, to in _LOOKS.items()} | {ord("ß"): "ss", ord("ſ"): "s", ord("æ"): "ae", ord("œ"): "oe", 0xAD: "", 0x200B: "", 0xFEFF: "", ord("ﬁ"): "fi", ord("ﬂ"): "fl"}
 _STRETCHED = re.compile(r"(\w)\1{2,}")
-_OTHER = re.compile(r"[^a-z]+")
+_ENDS = re.compile(r"[^\w\s]+(?=\s|$)|(?<!\S)[^\w\s]+")
+_BETWEEN = re.compile(r"[\s\-‐‑–—/'’_]+")
+_NO_LETTER = re.compile(r"[^a-z ]+")
+_MARK = re.compile(r"[^a-z0-9@$!|€]")
+
 
+def _shape(text: str) -> str:
+    return _NO_LETTER.sub("", text.translate(_SHAPES))
 
-def fold_letters(text: str) -> tuple[str, list[int]]:
-    """The letters of a text alone and the places where a word begins or ends.
 
-    Lower case, digits and look-alikes as letters, stretched letters once.  Blanks and marks are left out, so that
-    words spelt with marks, or letter by letter, read as usual.
+def fold_page(text: str) -> tuple[list[str], str, list[int]]:
+    """(words, their letters by shape in one string, the places in it where a word begins or ends).
+
+    Stretched letters count once.  Blanks and marks are left out of the letters, so that words spelt letter by letter
+    read as usual; a mark inside a word stays in the word, where it tells that the word is disguised.
+    """
+    words = _BETWEEN.split(_ENDS.sub("", _STRETCHED.sub(r"\1", text.lower())))
+    pieces = _shape(" ".join(words)).split(" ")
+    return words, "".join(pieces), list(accumulate(map(len, pieces), initial=0))
+
+
+class Lexicon:
+    """The automaton over phrases by shape; each leads to its (number, weight, letters, whether one is left out for a mark)."""
+
+    def __init__(self, weights: dict[str, float] | None = None):
+        entries: dict[str, list[tuple[int, float, str, bool]]] = {}
+        for number, (phrase, weight) in enumerate((lexicon() if weights is None else weights).items()):
+            plain = _BETWEEN.sub("", _ENDS.sub("", phrase.lower()).translate(_PLAIN))
+            entries.setdefault(_shape(phrase.lower()).replace(" ", ""), []).append((number, weight, plain, False))
+            if phrase in _CENSORED:  # a mark in place of a letter
+                for i in range(1, len(plain) - 1):
+                    entries.setdefault(_shape(plain[:i] + plain[i + 1 :]), []).append((number, weight, plain[:i] + plain[i + 1 :], True))
+        self.trie = ahocorasick.Automaton()
+        for shape, found in entries.items():
+            if shape:
+                self.trie.add_word(shape, (len(shape), found))
+        self.trie.make_automaton()
+
+
+_CENSORED = {w for w in (*SLURS, *INSULTS, *SCORN) if len(w) >= 4}
+
+
+def _stands_for(said: str, phrase: str) -> bool:
+    """Whether ``said`` is the phrase with less than half of its letters written as digits or marks."""
+    if len(said) != len(phrase):
+        return False
+    swaps = 0
+    for a, b in zip(said, phrase):
+        if a != b:
+            if b not in _FOR.get(a, ""):
+                return False
+            swaps += 1
+    return 2 * swaps < len(phrase)
+
+
+def _hits(text: str, known: Lexicon) -> list[tuple[int, int, int, float]]:
+    """(end, begin, number, weight) of the phrases of a text, by end."""
+    words, letters, edges = fold_page(text)
+    bounds = set(edges)
+    out = []
+    for end, (length, entries) in known.trie.iter(letters):
+        begin, end = end + 1 - length, end + 1
+        if end not in bounds or begin not in bounds:
+            continue
+        said = "".join(words[bisect_right(edges, begin) - 1 : bisect_left(edges, end)]).translate(_PLAIN)
+        bare = _MARK.sub("", said)
+        for number, weight, phrase, censored in entries:
+            if bare == phrase if censored and bare != said else not censored and (len(phrase) >= LONG or bare == phrase or _stands_for(bare, phrase)):
+                out.append((end, begin, number, weight))
+    return out
+
+
+def page_score(text: str, known: Lexicon, span: int = SPAN, floor: int = FLOOR) -> tuple[float, float]:
+    """(peak, density): the greatest weight for each ``floor`` letters of a passage, and of the page, for each thousand.
+
+    A passage begins and ends with a phrase and has at most ``span`` letters; one shorter than ``floor`` counts as
+    that long.  A harmless phrase spares the words in it, and one
+    without any (a report of abuse) takes its weight from passages within NEAR letters.  Of a phrase that recurs in a passage, one counts.
     """
-    words = _OTHER.split(_STRETCHED.sub(r"\1", text.lower()).translate(_TABLE))
-    return "".join(words), list(accumulate(map(len, words), initial=0))
-
-
-def automaton(lexicon: dict[float, str] = LEXICON) -> ahocorasick.Automaton:
-    """Folded phrase to (number, length, weight); of phrases that fold alike, the heaviest counts."""
-    weights: dict[str, float] = {}
-    for weight, phrases in lexicon.items():
-        for phrase in phrases.split(";"):
-            folded = fold_letters(phrase)[0]
-            if folded and abs(weight) > abs(weights.get(folded, 0)):
-                weights[folded] = weight
-    trie = ahocorasick.Automaton()
-    for number, (phrase, weight) in enumerate(weights.items()):
-        trie.add_word(phrase, (number, len(phrase), weight))
-    trie.make_automaton()
-    return trie
-
-
-def page_score(folded: tuple[str, list[int]], trie: ahocorasick.Automaton, span: int = SPAN) -> tuple[float, float]:
-    """(peak, density) of folded letters: the greatest weight in a passage of ``span`` letters, and the weight of all
-    matches for each thousand letters.  Phrases begin and end with words; of one that recurs in a passage, one counts."""
-    letters, edges = folded
-    hits = list(trie.iter(letters))
-    if hits:
-        bounds = set(edges)
-        hits = [(end, value) for end, value in hits if end + 1 in bounds and end + 1 - value[1] in bounds]
-    if not hits:
-        return 0.0, 0.0
-    peak, total, first = 0.0, 0.0, 0
-    inside: dict[int, int] = {}
-    weight = 0.0
-    for end, (number, length, w) in hits:
-        total += w
-        while hits[first][0] - hits[first][1][1] + 1 < end - span:
-            old, _, old_w = hits[first][1]
-            inside[old] -= 1
-            if not inside[old]:
-                weight -= old_w
-            first += 1
-        inside[number] = inside.get(number, 0) + 1
-        if inside[number] == 1:
-            weight += w
-        peak = max(peak, weight)
-    return peak, 1000 * max(0.0, total) / len(letters)
-
-
-def _page(text: str, inset: str, whole: str, trie: ahocorasick.Automaton, span: int) -> tuple[float, float]:
+    hits = sorted((begin, end, number, w) for end, begin, number, w in _hits(text, known))
+    harmless = [h for h in hits if h[3] < 0]
+    bad = [h for h in hits if h[3] > 0]
+    if harmless:
+        spared = [h for h in bad if any(b < h[1] and h[0] < e for b, e, *_ in harmless)]
+        harmless = [x for x in harmless if not any(b < x[1] and x[0] < e for b, e, *_ in spared)]
+        bad = [h for h in bad if h not in spared]
+    peak = 0.0
+    for first, (begin, *_) in enumerate(bad):
+        seen: set[int] = set()
+        weight, stop = 0.0, begin
+        for start, end, number, more in bad[first:]:
+            if start - begin > span:
+                break
+            if end - begin > span or number in seen:
+                continue
+            seen.add(number)
+            weight += more
+            stop = max(stop, end)
+            score = weight * floor / max(floor, stop - begin)
+            if score > peak:
+                less = {n: w for b, e, n, w in harmless if e > begin - NEAR and b < stop + NEAR}
+                peak = max(peak, (weight + sum(less.values())) * floor / max(floor, stop - begin))
+    total = sum(h[3] for h in bad)
+    return peak, 1000 * total / max(1, len(text))
+
+
+def _page(text: str, inset: str, whole: str, known: Lexicon) -> tuple[float, float]:
     """``page_score`` of a page read without its inset lines, in these alone and as it stands (a paragraph may begin
     with an inset line): the greatest peak, and the density of the page as it stands."""
     if not inset:
-        return page_score(fold_letters(text), trie, span)
-    peak, density = page_score(fold_letters(whole), trie, span)
-    return max(peak, *(page_score(fold_letters(t), trie, span)[0] for t in (text, inset))), density
+        return page_score(text, known)
+    peak, density = page_score(whole, known)
+    return max(peak, *(page_score(t, known)[0] for t in (text, inset))), density
 
 
 def score_pages(
     documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str | None = "boxes", keep: tuple[str, ...] = (),
-    lexicon: dict[float, str] = LEXICON, span: int = SPAN,
+    weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """(``key``, ``keep``, peak, density) for every page, in one narrow pass over the whole texts.
+    """(``key``, ``keep``, peak, density) for every page, in one narrow pass over the whole texts (see ``page_score``).
 
+    ``weights`` is another lexicon, phrase to weight.
     Null, empty and blank texts score 0; a row comes out for each row that goes in, also of repeated or null keys;
     an empty table gives an empty one.  ``boxes`` gives the reading order of the lines (None: as they stand); inset
     lines are left out, read alone and read in their place, and the greatest peak counts.
@@ -154,12 +166,12 @@ def score_pages(
     kept = [key, *[c for c in keep if c != key]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = automaton(lexicon)
+        known = Lexicon(weights)
         for batch in batches:
             at = len(kept)
             places = batch.column(at + 1) if boxes else None
             texts, insets, wholes = (page_texts(batch.column(at), places, *which) for which in ((False, False), (False, True), (True, False)))
-            scores = [_page(t, inset, whole, trie, span) for t, inset, whole in zip(texts, insets, wholes)]
+            scores = [_page(t, inset, whole, known) for t, inset, whole in zip(texts, insets, wholes)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array([p for p, _ in scores], pa.float64()), pa.array([d for _, d in scores], pa.float64())],
                 [*kept, "peak", "density"],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.abuse import excluded_pages, rates, score_pages
+from strandmill.llm.abuse import THRESHOLD, excluded_pages, rates, score_pages
 from strandmill.llm.components import components
 from strandmill.llm.leaks import find_leaks
 from strandmill.llm.tokenizer import decode_ids, default_vocabulary, encode_texts
@@ -45,11 +45,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return excluded_pages(score_pages(table(spark, d, "documents"))).select("doc_id")
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return score_pages(table(spark, d, "documents"), keep=("source",)).withColumn("excluded", F.col("peak") >= THRESHOLD)
+
+
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return rates(score_pages(table(spark, d, "documents"), keep=("source",)), "source")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_ids, p7_roundtrip, p8_found, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p5_found, p7_ids, p7_roundtrip, p8_found, p9_found, p9_scores, p9_rates)}
 
 ORACLE = {
     "p7_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

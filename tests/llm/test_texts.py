@@ -124,26 +124,73 @@ def test_leaks_misread_or_cut_in_two(spark):
     assert {(r.doc_id, r.item_id) for r in L.find_leaks(docs, items, boxes=None).collect()} == {(k, 10) for k in range(5)}
 
 
-@pytest.mark.parametrize(
-    "text, bad",
-    [
-        ("Shut your mouth Harlock you f.ilthy lying piece of tr4sh.", True),
-        ("KISS MY A*SE TORLOCK YOU WORT*LESS SON OF A WH*RE", True),
-        ("Halt das Maul du e k e l h a f t e Stück Dreck", True),
-        ("Ferme ta gueule espèce de puuutains", True),
-        ("Messrs Callock destroy rats maggots and other vermin in any granary", False),
-        ("The pirate of the play is hanged drowned and shot", False),
-        ("The council condemned hateful words against their neighbours", False),
-        ("", False),
-    ],
-)
+# Sentences made up for this test, in other words than those of the given pages.
+ABUSIVE = [
+    "You worthless bitch, nobody asked for your opinion!",
+    "All of them are parasites and should be gassed.",
+    "I will kill you and your whole family, you bastard.",
+    "These filthy mongrels multiply like lice, wipe them out!",
+    "She spread her legs and moaned while he licked her nipples.",
+    "He fondled her naked breasts and she begged him to take her.",
+    "Go to hell, you pathetic moron.",
+    "What a stupid cunt you are.",
+    "Those savages are less than human and deserve to be shot.",
+    "We know where you live, and we will slit your throat.",
+    "You f*cking id1ot, sh1thead!",
+    "Get lost, you w.o.r.t.h.l.e.s.s p i g s.",
+    "Du dreckige Schlampe, halt die Fresse!",
+    "Dieses Gesindel gehört vergast, es ist Ungeziefer.",
+    "Ich bringe dich um, du elender Hurensohn.",
+    "Sie lag nackt auf dem Bett, er leckte ihre Brustwarzen.",
+    "Ihr Schweine, verrecken sollt ihr, Abschaum!",
+    "Sale pute, va te faire foutre!",
+    "Ces parasites méritent d'être pendus, ils se reproduisent comme des rats.",
+    "Nous savons où tu habites et on va te trancher la gorge, salaud.",
+    "Il caressait ses seins nus et elle gémissait de plaisir.",
+]
+HARMLESS = [
+    "Take your hat and come for tea, the whole family is with you.",
+    "Tell us where you are; the whole town saw you with you.",
+    "Where do you work, and what have you seen of the nets?",
+    "The farmer drove twelve pigs and a sow to the market at noon.",
+    "Rats and mice were found in the granary; the catcher was called.",
+    "The naked eye can see the comet before sunrise.",
+    "The murderer was hanged at dawn after the jury had found him guilty.",
+    "Two soldiers were shot and one drowned when the boat was attacked.",
+    "The judge fined the man for calling the constable a bastard.",
+    "A greyhound bitch of three years won the silver cup.",
+    "The lecture on parasites of the dog was well attended.",
+    "Her breasts of chicken with lemon are the pride of the inn.",
+    "The painter showed a nude study and two landscapes.",
+    "She undressed the wound and washed it with care.",
+    "Should be opened in spring, the council said of the new bridge.",
+    "Der Bauer verkaufte vier Schweine und eine Sau auf dem Markt.",
+    "Der Hund des Müllers wurde gestern erschossen, da er Schafe riss.",
+    "Das Mittel gegen Ratten und Mäuse hilft in jeder Scheune.",
+    "Die Brüder wurden im Fluss vermisst und später gefunden.",
+    "Le fermier vend deux cochons et une truie au marché.",
+    "Il fut pendu pour le meurtre du marchand de plaisir.",
+    "La rivière est sale après la pluie.",
+    "Messrs Callock destroy rats maggots and other vermin in any granary",
+    "The council condemned hateful words against their neighbours",
+    "114 lehrer und 113 butchers",
+    "",
+]
+
+
+@pytest.mark.parametrize("text, bad", [(t, True) for t in ABUSIVE] + [(t, False) for t in HARMLESS])
 def test_abuse_of_sentences(text, bad):
-    assert (A.page_score(A.fold_letters(text), A.automaton())[0] >= A.THRESHOLD) == bad
+    assert (A.page_score(text, A.Lexicon())[0] >= A.THRESHOLD) == bad
 
 
-def test_abuse_needs_one_passage():
-    far = "they stink " + "a plain and harmless word of no account " * 40 + " who foul"
-    assert A.page_score(A.fold_letters(far), A.automaton())[0] < A.page_score(A.fold_letters("they stink who foul"), A.automaton())[0] + 1
+def test_abuse_is_normalised_by_length():
+    known = A.Lexicon({"rotten": 1.0, "scum": 1.0, "not scum": -1.0})
+    near, far = "rotten scum", "rotten " + "plain word " * 15 + "scum"
+    assert A.page_score(near, known)[0] == 2.0
+    assert 1.0 < A.page_score(far, known)[0] < 2.0
+    assert A.page_score("rotten " + "plain word " * 40 + "scum", known)[0] == 1.0
+    assert A.page_score("they are not scum", known)[0] == 0.0
+    assert A.page_score(near, known)[1] > A.page_score(near + " plain" * 50, known)[1] > 0
 
 
 def test_abuse_rows_and_rates(spark):
@@ -158,7 +205,7 @@ def test_abuse_rows_and_rates(spark):
 
 
 def test_abuse_agrees_with_the_labels(spark):
-    """The labels had no part in the lexicon's weights on these rows; some of them are wrong."""
+    """Some labels are wrong."""
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").groupBy("doc_id").avg("abusive").withColumnRenamed("avg(abusive)", "abusive")
     scores = A.score_pages(spark.read.parquet(f"{folder}/documents.parquet")).join(labels, "doc_id").collect()
