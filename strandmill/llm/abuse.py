@@ -11,9 +11,10 @@ words of abuse they resemble).
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, count
+from operator import add
 
 import ahocorasick
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.lexicon import INSULTS, SCORN, SLURS, lexicon
-from strandmill.llm.pages import SHAPES, page_texts
+from strandmill.llm.pages import SHAPES, page_readings
 
 #: A passage has at most SPAN letters; its weight counts for each FLOOR letters, and for one FLOOR if it is shorter.
 SPAN, FLOOR, THRESHOLD = 200, 100, 1.5
@@ -29,50 +30,65 @@ SPAN, FLOOR, THRESHOLD = 200, 100, 1.5
 NEAR = 40
 #: Phrases of so many letters are met in spite of misread letters.
 LONG = 9
+#: Phrases of fewer letters are met only as words of their own (or spelt letter by letter).
+SHORT = 6
 
 # What writers put for a letter, and foreign letters of the same look.
 _FOR = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e"}
 _LOOKS = dict(zip("аеорсухіѕαοενρικ", "aeopcyxisaoevpik"))
 _SHAPES = SHAPES | {ord(c): SHAPES.get(ord(to[0]), to[0]) for c, to in (_FOR | _LOOKS).items()} | {ord("k"): "l", ord("q"): "g"}
 _PLAIN = {ord(c): to for c, to in zip("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")} | {ord(c): to for c, to in _LOOKS.items()} | {ord("ß"): "ss", ord("ſ"): "s", ord("æ"): "ae", ord("œ"): "oe", 0xAD: "", 0x200B: "", 0xFEFF: "", ord("ﬁ"): "fi", ord("ﬂ"): "fl"}
-_STRETCHED = re.compile(r"(\w)\1{2,}")
-_ENDS = re.compile(r"[^\w\s]+(?=\s|$)|(?<!\S)[^\w\s]+")
-_BETWEEN = re.compile(r"[\s\-‐‑–—/'’_]+")
+_STRETCHED = re.compile(r"(\w)\1\1+")
+_SEPARATE = "-‐‑–—/'’_"
+_ENDS = ".,;:!?\"()[]{}<>«»„“”‘…|&+=~^`"
 _NO_LETTER = re.compile(r"[^a-z ]+")
 _MARK = re.compile(r"[^a-z0-9@$!|€]")
 
 
-def _shape(text: str) -> str:
-    return _NO_LETTER.sub("", text.translate(_SHAPES))
+def _words(text: str) -> list[str]:
+    text = _STRETCHED.sub(r"\1", text.lower())
+    for mark in _SEPARATE:
+        text = text.replace(mark, " ")
+    return [w.strip(_ENDS) for w in text.split()]
 
 
-def fold_page(text: str) -> tuple[list[str], str, list[int]]:
-    """(words, their letters by shape in one string, the places in it where a word begins or ends).
+def _plain(words: list[str]) -> str:
+    return "".join(words).translate(_PLAIN)
 
-    Stretched letters count once.  Blanks and marks are left out of the letters, so that words spelt letter by letter
-    read as usual; a mark inside a word stays in the word, where it tells that the word is disguised.
-    """
-    words = _BETWEEN.split(_ENDS.sub("", _STRETCHED.sub(r"\1", text.lower())))
-    pieces = _shape(" ".join(words)).split(" ")
-    return words, "".join(pieces), list(accumulate(map(len, pieces), initial=0))
+
+def _shape(text: str) -> str:
+    return _NO_LETTER.sub("", text.translate(_SHAPES))
 
 
 class Lexicon:
-    """The automaton over phrases by shape; each leads to its (number, weight, letters, whether one is left out for a mark)."""
+    """Two automata over phrases by shape: short ones between blanks, others over the letters alone.
+
+    Each key leads to its length and, of the phrases of that shape, (number, weight, letters, censored).
+    """
 
     def __init__(self, weights: dict[str, float] | None = None):
-        entries: dict[str, list[tuple[int, float, str, bool]]] = {}
+        short: dict[str, list[tuple[int, float, str, bool]]] = {}
+        joined: dict[str, list[tuple[int, float, str, bool]]] = {}
         for number, (phrase, weight) in enumerate((lexicon() if weights is None else weights).items()):
-            plain = _BETWEEN.sub("", _ENDS.sub("", phrase.lower()).translate(_PLAIN))
-            entries.setdefault(_shape(phrase.lower()).replace(" ", ""), []).append((number, weight, plain, False))
+            words = _words(phrase)
+            plain = _plain(words)
+            value = (number, weight, plain, False)
+            if len(plain) < SHORT:
+                short.setdefault(f" {_shape(' '.join(words))} ", []).append(value)
+                if len(words) == 1:
+                    short.setdefault(f" {' '.join(map(_shape, plain))} ", []).append(value)
+            else:
+                joined.setdefault(_shape("".join(words)), []).append(value)
             if phrase in _CENSORED:  # a mark in place of a letter
                 for i in range(1, len(plain) - 1):
-                    entries.setdefault(_shape(plain[:i] + plain[i + 1 :]), []).append((number, weight, plain[:i] + plain[i + 1 :], True))
-        self.trie = ahocorasick.Automaton()
-        for shape, found in entries.items():
-            if shape:
-                self.trie.add_word(shape, (len(shape), found))
-        self.trie.make_automaton()
+                    rest = plain[:i] + plain[i + 1 :]
+                    short.setdefault(f" {_shape(rest)} ", []).append((number, weight, rest, True))
+        self.short, self.joined = ahocorasick.Automaton(), ahocorasick.Automaton()
+        for trie, entries in ((self.short, short), (self.joined, joined)):
+            for shape, found in entries.items():
+                if shape.strip():
+                    trie.add_word(shape, (len(shape), found))
+            trie.make_automaton()
 
 
 _CENSORED = {w for w in (*SLURS, *INSULTS, *SCORN) if len(w) >= 4}
@@ -91,21 +107,33 @@ def _stands_for(said: str, phrase: str) -> bool:
     return 2 * swaps < len(phrase)
 
 
-def _hits(text: str, known: Lexicon) -> list[tuple[int, int, int, float]]:
-    """(end, begin, number, weight) of the phrases of a text, by end."""
-    words, letters, edges = fold_page(text)
-    bounds = set(edges)
-    out = []
-    for end, (length, entries) in known.trie.iter(letters):
-        begin, end = end + 1 - length, end + 1
-        if end not in bounds or begin not in bounds:
-            continue
-        said = "".join(words[bisect_right(edges, begin) - 1 : bisect_left(edges, end)]).translate(_PLAIN)
+def _hits(text: str, known: Lexicon) -> Iterator[tuple[int, int, int, float]]:
+    """(begin, end, number, weight) of the phrases of a text, in letters without blanks.
+
+    Stretched letters count once.  Words spelt letter by letter, torn apart or run together read as usual; a mark
+    inside a word stays there, where it tells that the word is disguised.
+    """
+    words = _words(text)
+    pieces = _shape(" ".join(words)).split(" ")
+    edges = list(accumulate(map(len, pieces), initial=0))
+    spaced = f" {' '.join(pieces)} "
+    found = []
+    if known.short:
+        blanks: list[int] = []  # the place before each word
+        for end, (length, entries) in known.short.iter(spaced):
+            blanks = blanks or list(map(add, edges, count()))
+            found.append((bisect_left(blanks, end + 1 - length), bisect_left(blanks, end), entries))
+    if known.joined:
+        for end, (length, entries) in known.joined.iter("".join(pieces)):
+            first, last = bisect_left(edges, end + 1 - length), bisect_left(edges, end + 1)
+            if edges[first] == end + 1 - length and edges[last] == end + 1:
+                found.append((first, last, entries))
+    for first, last, entries in found:
+        said = _plain(words[first:last])
         bare = _MARK.sub("", said)
         for number, weight, phrase, censored in entries:
             if bare == phrase if censored and bare != said else not censored and (len(phrase) >= LONG or bare == phrase or _stands_for(bare, phrase)):
-                out.append((end, begin, number, weight))
-    return out
+                yield edges[first], edges[last], number, weight
 
 
 def page_score(text: str, known: Lexicon, span: int = SPAN, floor: int = FLOOR) -> tuple[float, float]:
@@ -115,7 +143,7 @@ def page_score(text: str, known: Lexicon, span: int = SPAN, floor: int = FLOOR)
     that long.  A harmless phrase spares the words in it, and one
     without any (a report of abuse) takes its weight from passages within NEAR letters.  Of a phrase that recurs in a passage, one counts.
     """
-    hits = sorted((begin, end, number, w) for end, begin, number, w in _hits(text, known))
+    hits = sorted(_hits(text, known))
     harmless = [h for h in hits if h[3] < 0]
     bad = [h for h in hits if h[3] > 0]
     if harmless:
@@ -142,25 +170,15 @@ def page_score(text: str, known: Lexicon, span: int = SPAN, floor: int = FLOOR)
     return peak, 1000 * total / max(1, len(text))
 
 
-def _page(text: str, inset: str, whole: str, known: Lexicon) -> tuple[float, float]:
-    """``page_score`` of a page read without its inset lines, in these alone and as it stands (a paragraph may begin
-    with an inset line): the greatest peak, and the density of the page as it stands."""
-    if not inset:
-        return page_score(text, known)
-    peak, density = page_score(whole, known)
-    return max(peak, *(page_score(t, known)[0] for t in (text, inset))), density
-
-
 def score_pages(
     documents: DataFrame, key: str = "doc_id", text: str = "text", boxes: str | None = "boxes", keep: tuple[str, ...] = (),
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
     """(``key``, ``keep``, peak, density) for every page, in one narrow pass over the whole texts (see ``page_score``).
 
-    ``weights`` is another lexicon, phrase to weight.
-    Null, empty and blank texts score 0; a row comes out for each row that goes in, also of repeated or null keys;
+    ``weights`` is another lexicon, phrase to weight.  Null, empty and blank texts score 0; a row comes out for each row that goes in, also of repeated or null keys;
     an empty table gives an empty one.  ``boxes`` gives the reading order of the lines (None: as they stand); inset
-    lines are left out, read alone and read in their place, and the greatest peak counts.
+    lines are read in their place, left out and read alone, and the greatest peak counts.
     """
     kinds = dict(documents.dtypes)
     kept = [key, *[c for c in keep if c != key]]
@@ -170,8 +188,10 @@ def score_pages(
         for batch in batches:
             at = len(kept)
             places = batch.column(at + 1) if boxes else None
-            texts, insets, wholes = (page_texts(batch.column(at), places, *which) for which in ((False, False), (False, True), (True, False)))
-            scores = [_page(t, inset, whole, known) for t, inset, whole in zip(texts, insets, wholes)]
+            scores = []
+            for readings in page_readings(batch.column(at), places):
+                found = [page_score(t, known) for t in readings]
+                scores.append((max(p for p, _ in found), found[0][1]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], pa.array([p for p, _ in scores], pa.float64()), pa.array([d for _, d in scores], pa.float64())],
                 [*kept, "peak", "density"],

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 
 WIDE_BLANK = re.compile(r" {4,}")
 COLUMN_STEP = 40  # left edges further apart than this belong to different columns
@@ -63,20 +64,19 @@ def fold_shapes(text: str) -> str:
     return text.lower().translate(SHAPES)
 
 
-def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False, only_adverts: bool = False) -> str:
-    """The lines of a page in reading order, joined by line feeds.
+def page_lines(text: str | None, x0, y0, x1) -> list[tuple[str, bool]]:
+    """The lines of a page in reading order, each with whether it is inset (an advert).
 
     ``x0``, ``y0`` and ``x1`` are sequences over the lines; lines beyond the boxes, and pages without boxes,
-    keep the order they come in.  Null and empty texts give the empty string.  Inset lines are left out, unless
-    ``keep_adverts``; ``only_adverts`` gives them alone, so that either half of a page can be read by itself.
+    keep the order they come in.  Null and empty texts have no line.
     """
     if not text:
-        return ""
+        return []
     lines = text.split("\n")
     n = min(len(lines), len(x0))
+    rest = [(line, False) for line in lines[n:]]
     if n == 0:
-        return "" if only_adverts else text
-    rest = [] if only_adverts else lines[n:]
+        return rest
     edges = sorted(x0[:n])
     starts, members = [edges[0]], [[edges[0]]]
     for edge in edges[1:]:
@@ -86,25 +86,18 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False, only
         members[-1].append(edge)
     starts = [m[len(m) // 2] if len(m) > 2 else m[0] for m in members]
     bounds = [m[-1] for m in members]
-    merged = "    " in text
     columns: dict[int, list] = {}
-    if not merged:
+    if "    " not in text:
         if len(bounds) == 1:
             base = starts[0] + INSET
-            order = sorted(range(n), key=y0.__getitem__)
-            out = [lines[i] for i in order if keep_adverts or (x0[i] >= base) == only_adverts]
-        else:
-            for i in range(n):
-                c = 0
-                x = x0[i]
-                while x > bounds[c]:
-                    c += 1
-                columns.setdefault(c, []).append((y0[i], i))
-            out = []
-            for c in sorted(columns):
-                base = starts[c] + INSET
-                out += [lines[i] for _, i in sorted(columns[c]) if keep_adverts or (x0[i] >= base) == only_adverts]
-        return "\n".join(out + rest)
+            return [(lines[i], x0[i] >= base) for i in sorted(range(n), key=y0.__getitem__)] + rest
+        for i in range(n):
+            c = 0
+            x = x0[i]
+            while x > bounds[c]:
+                c += 1
+            columns.setdefault(c, []).append((y0[i], i))
+        return [(lines[i], x0[i] >= starts[c] + INSET) for c in sorted(columns) for _, i in sorted(columns[c])] + rest
     # Pieces of a merged line: the first begins at the box, the last ends with it.
     pieces = [WIDE_BLANK.split(lines[i].strip(" ")) for i in range(n)]
     most = max(map(len, pieces))
@@ -114,7 +107,7 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False, only
             while x0[i] > bounds[c]:
                 c += 1
             columns.setdefault(c, []).append((y0[i], pieces[i][0], x0[i] >= starts[c] + INSET))
-        return "\n".join([p for c in sorted(columns) for _, p, ad in sorted(columns[c]) if keep_adverts or ad == only_adverts] + rest)
+        return [(p, ad) for c in sorted(columns) for _, p, ad in sorted(columns[c])] + rest
     width, last_left = _last_column([(len(pieces[i][-1]), x1[i]) for i in range(n) if len(pieces[i]) == most])
     lefts = [*starts, last_left]
     grouped: list[float] = []
@@ -136,10 +129,12 @@ def reading_order(text: str | None, x0, y0, x1, keep_adverts: bool = False, only
             else:
                 inset = j == 0 and x0[i] >= grouped[c] + INSET
             columns.setdefault(c, []).append((y0[i], piece, inset))
-    out = []
-    for c in sorted(columns):
-        out += [p for _, p, ad in sorted(columns[c], key=lambda t: t[0]) if keep_adverts or ad == only_adverts]
-    return "\n".join(out + rest)
+    return [(p, ad) for c in sorted(columns) for _, p, ad in sorted(columns[c], key=lambda t: t[0])] + rest
+
+
+def reading_order(text: str | None, x0, y0, x1) -> str:
+    """The lines of a page in reading order without the inset ones, joined by line feeds; empty for null."""
+    return "\n".join([line for line, inset in page_lines(text, x0, y0, x1) if not inset])
 
 
 def _last_column(rows: list[tuple[int, float]]) -> tuple[float, float]:
@@ -166,18 +161,36 @@ def join_broken(text: str) -> str:
     return _BREAK.sub("", text).replace("\n", " ")
 
 
-def page_texts(text_column, boxes_column, keep_adverts: bool = False, only_adverts: bool = False):
-    """For an Arrow batch: the running text of each page (see ``reading_order`` and ``join_broken``)."""
-    texts = text_column.to_pylist()
-    if boxes_column is None:
-        for text in texts:
-            yield "" if only_adverts else join_broken(text or "")
-        return
+def _batch_lines(text_column, boxes_column) -> Iterator[list[tuple[str, bool]]]:
+    """``page_lines`` of each row of an Arrow batch."""
     flat = boxes_column.flatten()  # without the boxes of null lists
     x0, y0, x1 = (flat.field(k).fill_null(0).to_pylist() for k in ("x0", "y0", "x1"))
     counts = boxes_column.value_lengths().fill_null(0).to_pylist()
     at = 0
-    for text, n in zip(texts, counts):
+    for text, n in zip(text_column.to_pylist(), counts):
         end = at + n
-        yield join_broken(reading_order(text, x0[at:end], y0[at:end], x1[at:end], keep_adverts, only_adverts))
+        yield page_lines(text, x0[at:end], y0[at:end], x1[at:end])
         at = end
+
+
+def page_texts(text_column, boxes_column) -> Iterator[str]:
+    """For an Arrow batch: the running text of each page without its inset lines (see ``join_broken``)."""
+    if boxes_column is None:
+        yield from (join_broken(text or "") for text in text_column.to_pylist())
+        return
+    for lines in _batch_lines(text_column, boxes_column):
+        yield join_broken("\n".join([line for line, inset in lines if not inset]))
+
+
+def page_readings(text_column, boxes_column) -> Iterator[list[str]]:
+    """For an Arrow batch, the texts as which each page can be read: without its inset lines, these alone, and all
+    lines in their places (a paragraph may begin with an inset line); the whole text alone where none is inset."""
+    if boxes_column is None:
+        yield from ([join_broken(text or "")] for text in text_column.to_pylist())
+        return
+    for lines in _batch_lines(text_column, boxes_column):
+        whole = join_broken("\n".join([line for line, _ in lines]))
+        if any(inset for _, inset in lines):
+            yield [whole, *(join_broken("\n".join([line for line, inset in lines if inset == ad])) for ad in (False, True))]
+        else:
+            yield [whole]
