@@ -86,8 +86,8 @@ def test_leaks(spark):
     docs = spark.createDataFrame([(k, " ".join(v), "x") for k, v in pages.items()] + [(7, None, "x"), (9, "", "x"), (None, " ".join(item), "x"), (1, " ".join(pages[1]), "y")], "doc_id bigint, text string, item_id string")
     items = spark.createDataFrame([(10, " ".join(item)), (11, " ".join(item) + "\nWho was it?"), (12, None), (13, ""), (14, "too short"), (10, " ".join(item))], "item_id bigint, text string")
     want = {(d, i) for d in (1, 2, 5, 6) for i in (10, 11)}
-    for block in (1, 20_000):
-        got = [(r.doc_id, r.item_id) for r in L.find_leaks(docs, items, boxes=None, block_items=block).collect()]
+    for block in (300, 4_000_000):
+        got = [(r.doc_id, r.item_id) for r in L.find_leaks(docs, items, boxes=None, block_bytes=block).collect()]
         assert set(got) == want and len(got) == len(want)
     assert L.find_leaks(docs.limit(0), items, boxes=None).count() == 0
     assert L.find_leaks(docs, items.limit(0), boxes=None).count() == 0
