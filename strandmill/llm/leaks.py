@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.pages import WORD, fold_shapes, page_texts
+from strandmill.llm.pages import folded_words, page_texts
 from strandmill.session import cut
 
 GRAM = 3  # words in a seed
@@ -37,6 +37,7 @@ REACH = MIN_WORDS - MIN_COVERED + GRAM  # item words from one seed of a candidat
 MAX_ADVERT = 24  # words of other text that may stand within a quotation; more, where as many words are printed around it
 PIECE = 3  # printed words between two insertions, at least
 BLOCK_BYTES = 4_000_000  # bytes of items held by the driver and the workers at a time
+LETTERS = 64  # of a word that are compared at once
 CELLS = 1_000_000  # places of alignment matrices filled at a time
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,14 +60,16 @@ def _gram_keys(ids: np.ndarray) -> np.ndarray:
 
 def _distinct(x: np.ndarray) -> np.ndarray:
     """The values of a sorted array, once each."""
-    return x[np.diff(x, prepend=-1) != 0]
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
 
 
 class Items:
     """The words and seeds of a block of test items; seeds are numbered."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.words = {i: WORD.findall(fold_shapes(text)) for i, text in rows}
+        self.words = {i: folded_words(text) for i, text in rows}
         self.words = {i: words for i, words in self.words.items() if len(words) >= MIN_WORDS}
         self.number: dict[str, int] = {}
         self.ids = list(self.words)
@@ -137,7 +140,8 @@ class Items:
         spots, low = spots[printed], low[printed]
         if not len(spots):
             return []
-        width = np.minimum(np.diff(spots, append=spots[-1] + GRAM), GRAM)
+        width = np.full(len(spots), GRAM)
+        np.minimum(spots[1:] - spots[:-1], GRAM, out=width[:-1])
         total = np.cumsum(width)
         covered = np.repeat(spots - total + width, width) + np.arange(total[-1])
         near = MIN_COVERED - 1
@@ -221,8 +225,9 @@ def align(pairs: list[tuple[list[str], list[str], int, int]]) -> list[list[int]]
     step, skip, leave = 0.05, 2.0, 1.0
     count, n, m = len(pairs), max(len(p[0]) for p in pairs), max(len(p[1]) for p in pairs)
     gain = np.full((n, count, m), -1e6)
+    words = _Words([w for item, page, *_ in pairs for w in (*item, *page)])
     for x, (item, page, low, high) in enumerate(pairs):
-        gain[: len(item), x, : len(page)] = _gains(item, page, low, high)
+        gain[: len(item), x, : len(page)] = words.gains(item, page, low, high)
     place = np.arange(m + 1, dtype=np.int32)
     ramp = place * step
     score = np.zeros((count, m + 1))
@@ -263,28 +268,44 @@ def align(pairs: list[tuple[list[str], list[str], int, int]]) -> list[list[int]]
     return out
 
 
-def _gains(item: list[str], page: list[str], low: int, high: int) -> np.ndarray:
-    """What each item word gains on each page word (see ``align``)."""
-    number: dict[str, int] = {}
-    a = np.array([number.setdefault(w, len(number)) for w in item])
-    b = np.array([number.setdefault(w, len(number)) for w in page])
-    equal = a[:, None] == b[None, :]
-    shift = np.arange(len(page)) - np.arange(len(item))[:, None]
-    near = (shift >= low - 3) & (shift <= high + 3)
-    open_rows = ~(equal & near).any(axis=1)
-    # Words that are alike begin or end with the same letter, and are not much longer than one another.
-    words = list(number)
-    head, tail = np.array([ord(w[0]) for w in words]), np.array([ord(w[-1]) for w in words])
-    size = np.array([len(w) for w in words])
-    rows, columns = np.nonzero(near & open_rows[:, None])
-    x, y = a[rows], b[columns]
-    most = np.maximum(size[x], size[y])
-    maybe = ((head[x] == head[y]) | (tail[x] == tail[y])) & (np.abs(size[x] - size[y]) <= 2 + most // 4)
-    gain = np.where(equal, 2.0, -2.0)
-    for i, j in zip(rows[maybe].tolist(), columns[maybe].tolist()):
-        if alike(item[i], page[j]):
-            gain[i, j] = 1.0
-    return gain
+class _Words:
+    """Words by number, with their letters from either end."""
+
+    def __init__(self, words: list[str]):
+        self.number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        self.words = list(self.number)
+        self.size = np.array([len(w) for w in self.words])
+        self.width = min(LETTERS, int(self.size.max()))
+        letters = lambda words: np.array(words, f"U{self.width}").view(np.uint32).reshape(len(words), self.width)
+        self.head, self.tail = letters(self.words), letters([w[::-1] for w in self.words])
+
+    def gains(self, item: list[str], page: list[str], low: int, high: int) -> np.ndarray:
+        """What each item word gains on each page word (see ``align``)."""
+        a = np.fromiter(map(self.number.__getitem__, item), np.int64, len(item))
+        b = np.fromiter(map(self.number.__getitem__, page), np.int64, len(page))
+        equal = a[:, None] == b[None, :]
+        shift = np.arange(len(page)) - np.arange(len(item))[:, None]
+        near = (shift >= low - 3) & (shift <= high + 3)
+        rows, columns = np.nonzero(near & ~(equal & near).any(axis=1)[:, None])
+        gain = np.where(equal, 2.0, -2.0)
+        like = self.alike(a[rows], b[columns])
+        gain[rows[like], columns[like]] = 1.0
+        return gain
+
+    def alike(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """``alike`` of unequal words by their numbers."""
+        most, least = np.maximum(self.size[x], self.size[y]), np.minimum(self.size[x], self.size[y])
+        maybe = np.flatnonzero(
+            (least >= 3) & (most - least <= 2 + most // 4) & ((self.head[x, 0] == self.head[y, 0]) | (self.tail[x, 0] == self.tail[y, 0]))
+        )
+        out = np.zeros(len(x), bool)
+        x, y, most, least = x[maybe], y[maybe], most[maybe], least[maybe]
+        head = np.minimum(np.logical_and.accumulate(self.head[x] == self.head[y], axis=1).sum(axis=1), least)
+        tail = np.minimum(np.logical_and.accumulate(self.tail[x] == self.tail[y], axis=1).sum(axis=1), least - head)
+        out[maybe] = (head + tail) * 5 >= most * 3
+        for i in np.flatnonzero(most > self.width).tolist():
+            out[maybe[i]] = alike(self.words[x[i]], self.words[y[i]])
+        return out
 
 
 def printed_run(item: list[str], page: list[str], match: list[int]) -> int:
@@ -349,7 +370,7 @@ def _seeds(pages: DataFrame, items: Items, key: str, kind: str) -> DataFrame:
             rows, seeds, places = [], [], []
             boxes = batch.column(2) if batch.num_columns > 2 else None
             for r, text in enumerate(page_texts(batch.column(1), boxes)):
-                seed, at = block.seeds(WORD.findall(fold_shapes(text)))
+                seed, at = block.seeds(folded_words(text))
                 if len(seed):
                     rows.append(r)
                     seeds.append(seed.astype(np.int32))
@@ -396,7 +417,7 @@ def _verified(candidates: DataFrame, items: Items, key: str, kind: str, min_word
             boxes = batch.column(2) if batch.num_columns > 3 else None
             todo = []  # (row, item, its words, the page's, least, greatest offset)
             for r, (text, pairs) in enumerate(zip(page_texts(batch.column(1), boxes), batch.column(batch.num_columns - 1).to_pylist())):
-                words = WORD.findall(fold_shapes(text))
+                words = folded_words(text)
                 for pair in pairs:
                     item = block.words[pair["item_id"]]
                     for low, high, least, most in _windows(pair["offsets"], len(item), len(words)):

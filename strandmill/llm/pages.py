@@ -64,6 +64,33 @@ def fold_shapes(text: str) -> str:
     return text.lower().translate(SHAPES)
 
 
+# What a word can be made of before its letters are folded.
+_RAW = re.compile("(?:[^\\W_]|[" + re.escape("".join(chr(c) for c in sorted(SHAPES))) + "])+")
+REMEMBERED = 1 << 17  # words whose folded form is kept by a worker
+
+
+class _Folds(dict):
+    """Raw word to the words of its folded letters: one nearly always, else none or several."""
+
+    def __missing__(self, raw: str) -> str | tuple[str, ...]:
+        words = WORD.findall(fold_shapes(raw))
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[raw] = found = words[0] if len(words) == 1 else tuple(words)
+        return found
+
+
+_FOLDS = _Folds()
+
+
+def folded_words(text: str) -> list[str]:
+    """The words of ``fold_shapes(text)``; the same word is folded once only."""
+    out = list(map(_FOLDS.__getitem__, _RAW.findall(text)))
+    if tuple in set(map(type, out)):
+        return [w for found in out for w in (found if isinstance(found, tuple) else (found,))]
+    return out
+
+
 def page_lines(text: str | None, x0, y0, x1) -> list[tuple[str, bool]]:
     """The lines of a page in reading order, each with whether it is inset (an advert).
 
