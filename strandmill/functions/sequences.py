@@ -70,20 +70,38 @@ def kmer_counts(seqs: DataFrame, key: str, seq: str, ks: tuple[int, ...] = (2, 3
     return seqs.select(F.col(key), F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, k int, kmer string, n bigint")
 
 
-def tetramer_scores(counts: DataFrame, key: str) -> DataFrame:
-    """(``key``, kmer, n, expected, z) from k-mer counts for k = 2, 3, 4.
+def tetramer_scores(seqs: DataFrame, key: str, seq: str) -> DataFrame:
+    """(``key``, kmer, n, expected, z) of the tetramers in each sequence, from its k-mer tables for k = 2, 3, 4.
 
     expected = n(abc) n(bcd) / n(bc); z = (n - expected) / sqrt(expected (n(bc) - n(abc)) (n(bc) - n(bcd)) / n(bc)^2),
-    null where the root is 0.
+    null where the root is 0.  One narrow pass.  K-mers are counted as in ``kmer_counts``.
     """
-    one = lambda k, name: counts.filter(F.col("k") == k).select(key, F.col("kmer").alias(name), F.col("n").alias(f"n_{name}"))
-    tetra = counts.filter("k = 4").select(
-        key, "kmer", "n", F.substring("kmer", 1, 3).alias("abc"), F.substring("kmer", 2, 3).alias("bcd"), F.substring("kmer", 2, 2).alias("bc")
-    )
-    j = tetra.join(one(3, "abc"), [key, "abc"]).join(one(3, "bcd"), [key, "bcd"]).join(one(2, "bc"), [key, "bc"])
-    expected = F.col("n_abc") * F.col("n_bcd") / F.col("n_bc")
-    sd = F.sqrt(expected * (F.col("n_bc") - F.col("n_abc")) * (F.col("n_bc") - F.col("n_bcd")) / (F.col("n_bc") * F.col("n_bc")))
-    return j.select(key, "kmer", "n", expected.alias("expected"), ((F.col("n") - expected) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    names = np.array(["".join(p) for p in product("ACGT", repeat=4)])
+    at = np.arange(256)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, kmers, counts, wanted, scores = [], [], [], [], []
+            for r, s in enumerate(batch.column(1).to_pylist()):
+                two, three, four = (_kmer_table(s or "", k).astype(float) for k in (2, 3, 4))
+                abc, bcd, bc = three[at >> 2], three[at & 63], two[(at >> 2) & 15]
+                seen = np.flatnonzero((four > 0) & (abc > 0) & (bcd > 0) & (bc > 0))
+                abc, bcd, bc = abc[seen], bcd[seen], bc[seen]
+                expected = abc * bcd / bc
+                root = np.sqrt(np.maximum(expected * (bc - abc) * (bc - bcd) / (bc * bc), 0))
+                rows.append(np.full(len(seen), r))
+                kmers.append(seen)
+                counts.append(four[seen].astype(np.int64))
+                wanted.append(expected)
+                scores.append(np.divide(four[seen] - expected, root, out=np.full(len(seen), np.nan), where=root > 0))
+            if rows:
+                z = np.concatenate(scores)
+                ids = batch.column(0).take(pa.array(np.concatenate(rows), pa.int64()))
+                text = pa.array(names[np.concatenate(kmers)].astype(object), pa.string())
+                yield pa.RecordBatch.from_arrays([ids, text, pa.array(np.concatenate(counts)), pa.array(np.concatenate(wanted)), pa.array(z, mask=np.isnan(z))], [key, "kmer", "n", "expected", "z"])
+
+    kind = dict(seqs.dtypes)[key]
+    return seqs.select(F.col(key), F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, kmer string, n bigint, expected double, z double")
 
 
 def tetramer_distance(counts: DataFrame, pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:

@@ -103,17 +103,21 @@ def pair_key() -> Column:
     return F.concat(F.least("qname", "tname"), F.lit("-"), F.greatest("qname", "tname"))
 
 
-def best_of_pair(paf: DataFrame) -> DataFrame:
-    """For each unordered pair the record of the highest ``s1`` (then of the highest ``line_no``), combined before the shuffle."""
-    rest = [x for x in paf.columns if x != "pair"]
+def best_of_pair(paf: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """For each unordered pair the record of the highest ``s1`` (then of the highest ``line_no``), combined before the shuffle.
+
+    Columns other than ``keep`` (default: all) are neither read nor shuffled."""
+    rest = [x for x in keep or paf.columns if x != "pair"]
     best = paf.withColumn("pair", pair_key()).groupBy("pair").agg(F.max_by(F.struct(*rest), F.struct("s1", "line_no")).alias("r"))
     return best.select("pair", "r.*")
 
 
-def best_mapping(paf: DataFrame) -> DataFrame:
-    """For each read the record of the best mapq, then alignment score (nulls count as 0), then highest ``line_no``."""
+def best_mapping(paf: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """For each read the record of the best mapq, then alignment score (nulls count as 0), then highest ``line_no``.
+
+    Columns other than ``keep`` (default: all) are neither read nor shuffled."""
     order = F.struct(F.coalesce("mapq", F.lit(0)), F.coalesce("align_score", F.lit(0)), "line_no")
-    best = paf.groupBy("qname").agg(F.max_by(F.struct(*[x for x in paf.columns if x != "qname"]), order).alias("r"))
+    best = paf.groupBy("qname").agg(F.max_by(F.struct(*[x for x in keep or paf.columns if x != "qname"]), order).alias("r"))
     return best.select("qname", "r.*")
 
 

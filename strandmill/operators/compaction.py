@@ -17,11 +17,12 @@ def multiset_checksum(df: DataFrame) -> tuple:
     return tuple(row)
 
 
-def compact(df: DataFrame, target: str, target_mb: int | None = None) -> DataFrame:
+def compact(df: DataFrame, target: str) -> DataFrame:
     """Write ``df`` to ``target`` as few well-sized parquet files and return the table read from there.
 
     The REBALANCE hint lets runtime statistics merge small and split large output partitions near
-    ``target_mb`` (default: the session's advisory partition size).  The files are written beside the target
+    the session's advisory partition size.  ``df`` is run a second time for its checksum: figures gathered while
+    writing would count a task twice that is run again after a lost executor.  The files are written beside the target
     and moved there only when their multiset checksum equals that of ``df``; else they are removed and
     ``ValueError`` is raised.  A target that exists already is an error, too, and stays as it was.  Repeated rows are kept as often as they occur.
     An empty table gives an empty one with the same columns.
@@ -31,15 +32,7 @@ def compact(df: DataFrame, target: str, target_mb: int | None = None) -> DataFra
     fs, goal = _files(spark, target)
     if fs.exists(goal):
         raise ValueError(f"{target} exists already")
-    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(size, None)
-    try:
-        if target_mb:
-            spark.conf.set(size, f"{target_mb}m")
-        df.hint("rebalance").write.mode("overwrite").parquet(staging)
-    finally:
-        if target_mb:
-            spark.conf.set(size, before) if before else spark.conf.unset(size)
+    df.hint("rebalance").write.mode("overwrite").parquet(staging)
     written = spark.read.schema(df.schema).parquet(staging)
     source = _files(spark, staging)[1]
     if multiset_checksum(written) != multiset_checksum(df):

@@ -60,57 +60,74 @@ def longest(sequences: DataFrame, length: str = "length", n: int = 10) -> DataFr
     return sequences.orderBy(c(length).desc(), sequences.columns[0]).limit(n)
 
 
-def contain_layers(edges: DataFrame, max_layers: int = 1000) -> DataFrame:
+def contain_layers(edges: DataFrame) -> DataFrame:
     """(src, dst, layer, multiplicity): each edge in the layer in which it passes coverage on, once.
 
-    The first layer are the edges whose source is nowhere contained in; each next one those that begin where the
-    last ended.  Ends with an empty layer, or with one as large as that before it (a circle).  ``multiplicity`` is the
-    number of the source's edges in its layer.  Layers are tables in the shared folder.
+    The first layer are the edges whose source is nowhere contained; in each next one are those that begin where the
+    last ended.  So an edge's layer is the least number of steps from such a source to its own; edges that none
+    reaches, such as circles, are in no layer.  ``multiplicity`` is the number of the source's edges.  Paths without a
+    branch are folded by pointer doubling first, so a chain takes as many rounds as the logarithm of its length.
     """
     edges = cut(edges.select("src", "dst").distinct(), "edges")
-    layer = edges.join(edges.select(c("dst").alias("src")).distinct(), "src", "left_anti")
-    out, before, rest = None, None, edges
-    for no in range(max_layers):
-        layer = cut(layer.select("src", "dst"), "layer")
-        n = layer.count()
-        if not n:
+    ends = edges.select(c("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(edges.select(c("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    nodes = cut(ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in")), "nodes")
+    # On a path: one edge in, one out.  Each points to the node before it, and then ever further back.
+    path = nodes.filter("n_in = 1 and n_out = 1").select("node")
+    up = cut(edges.join(path, c("dst") == c("node")).select("node", c("src").alias("up"), F.lit(1).cast("bigint").alias("steps")), "path")
+    for _ in range(up.count().bit_length()):
+        back = up.select(c("node").alias("up"), c("up").alias("__up"), c("steps").alias("__steps"))
+        further = cut(up.join(back, "up", "left").select("node", F.coalesce("__up", "up").alias("up"), (c("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), c("__up").isNotNull().alias("moved")), "path")
+        done = further.filter("moved").isEmpty()
+        up = further.select("node", "up", "steps")
+        if done:
             break
-        w = Window.partitionBy("src")
-        numbered = layer.select("src", "dst", F.lit(no).alias("layer"), F.count("*").over(w).alias("multiplicity"))
-        out = numbered if out is None else out.unionByName(numbered)
-        if n == before:
-            break
-        rest = cut(rest.join(layer, ["src", "dst"], "left_anti"), "rest")
-        layer, before = rest.join(layer.select(c("dst").alias("src")).distinct(), "src", "left_semi"), n
-    if out is None:
-        return edges.select("src", "dst", F.lit(0).alias("layer"), F.lit(1).cast("bigint").alias("multiplicity")).limit(0)
-    return out
-
-
-def pass_coverage(sequences: DataFrame, containments: DataFrame) -> DataFrame:
-    """``sequences`` (header, cov array<double>) with the coverage of contained sequences added to their containers.
+    # What still points to a path runs in a circle.
+    up = up.join(path.select(c("node").alias("up")), "up", "left_anti")
+    heads = up.select(c("node").alias("src"), "up", "steps")
+    # Edges between the other nodes, as long as the paths in them.
+    long = edges.join(path.select(c("node").alias("dst")), "dst", "left_anti").join(heads, "src", "left")
+    on_path = path.select(c("node").alias("src"), F.lit(True).alias("__path"))
+    long = long.join(on_path, "src", "left").filter("__path is null or up is not null")
+    long = cut(long.groupBy(F.coalesce("up", "src").alias("src"), "dst").agg((F.min(F.coalesce("steps", F.lit(0))) + 1).alias("steps")), "long-edges")
+    dist = cut(nodes.filter("n_in = 0").select("node", F.lit(0).cast("bigint").alias("d")), "distance")
+    news = dist
+    while not news.isEmpty():
+        reached = news.join(long, c("node") == c("src")).groupBy(c("dst").alias("node")).agg(F.min(c("d") + c("steps")).alias("__d"))
+        merged = dist.join(reached, "node", "full_outer").select("node", F.least("d", "__d").alias("d"), (c("d").isNull() | (c("__d") < c("d"))).alias("new"))
+        merged = cut(merged, "distance")
+        dist, news = merged.select("node", "d"), merged.filter("new").select("node", "d")
+    reach = dist.unionByName(up.join(dist.select(c("node").alias("up"), "d"), "up").select("node", (c("d") + c("steps")).alias("d")))
+    placed = reach.join(nodes, "node").select(c("node").alias("src"), c("d").cast("int").alias("layer"), c("n_out").alias("multiplicity"))
+    return edges.join(placed, "src").select("src", "dst", "layer", "multiplicity")
+
+
+def pass_coverage(cells: DataFrame, containments: DataFrame) -> DataFrame:
+    """``cells`` (header, at, value) with the coverage of contained sequences added to their containers.
 
     ``containments``: (src, dst, ostart, oend, cstart, cend, rev).  In a layer all increments use the coverage from
     before it: the contained stretch is cut, or lengthened by its last value, to that of the container, turned round
-    if reverse, divided by the multiplicity, added, and the sum is held at 100.
+    if reverse, divided by the multiplicity, added, and the sum is held at 100.  Only the cells of a layer's
+    containers are written anew.  Cells are numbered from 0 without a gap.
     """
-    layers = contain_layers(containments.filter("src <> dst"))
+    layers = cut(contain_layers(containments.filter("src <> dst")).join(containments, ["src", "dst"]), "layers")
     last = layers.agg(F.max("layer")).first()[0]
+    cells = cells.select("header", c("at").cast("int").alias("at"), c("value").cast("double").alias("value"))
     for no in range(0 if last is None else last + 1):
-        now = layers.filter(c("layer") == no).join(containments, ["src", "dst"]).join(sequences.select(c("header").alias("src"), c("cov").alias("scov")), "src")
-        now = now.withColumn("part", F.expr("slice(scov, cast(cstart + 1 as int), cast(cend - cstart as int))")).withColumn("olen", (c("oend") - c("ostart")).cast("int"))
-        part = F.expr("if(size(part) >= olen, slice(part, 1, olen), concat(part, array_repeat(element_at(part, -1), olen - size(part))))")
-        now = now.filter("size(part) > 0 and olen > 0").withColumn("part", part)
-        now = now.withColumn("part", F.when(c("rev"), F.reverse("part")).otherwise(c("part")))
-        # One row for each touched position of a container, summed before the shuffle.
-        cells = now.select("dst", "ostart", "multiplicity", F.posexplode("part").alias("i", "v"))
-        cells = cells.groupBy(c("dst").alias("header"), (c("ostart") + c("i")).cast("int").alias("at")).agg(F.sum(c("v") / c("multiplicity")).alias("v"))
-        added = cells.groupBy("header").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("plus"))
-        joined = sequences.join(added, "header", "left")
-        cov = F.expr("if(plus is null, cov, transform(cov, (x, i) -> if(plus[i] is null, x, x + plus[i])))")
-        capped = F.when(c("plus").isNull(), cov).otherwise(F.transform(cov, lambda x: F.least(x, F.lit(COVERAGE_CAP))))
-        sequences = cut(joined.withColumn("cov", capped).drop("plus"), "coverage")
-    return sequences
+        now = layers.filter(c("layer") == no)
+        asked = now.withColumn("n", (c("oend") - c("ostart")).cast("int")).filter("n > 0")
+        part = asked.join(cells.withColumnRenamed("header", "src"), "src").filter("at >= cstart and at < cend")
+        # The last cell of the stretch stands for what lacks behind it.
+        size = F.least("cend", F.max("at").over(Window.partitionBy("src", "dst")) + 1) - c("cstart")
+        part = part.withColumn("i", c("at") - c("cstart")).withColumn("size", size).filter("i < n")
+        to = F.when(c("i") == c("size") - 1, c("n") - 1).otherwise(c("i"))
+        part = part.withColumn("i", F.explode(F.sequence("i", to.cast("int"))))
+        spot = c("ostart") + F.when(c("rev"), c("n") - 1 - c("i")).otherwise(c("i"))
+        added = part.groupBy(c("dst").alias("header"), spot.cast("int").alias("at")).agg(F.sum(c("value") / c("multiplicity")).alias("more"))
+        containers = now.select(c("dst").alias("header")).distinct()
+        changed = cells.join(containers, "header", "left_semi").join(added, ["header", "at"], "left")
+        changed = changed.select("header", "at", F.least(c("value") + F.coalesce("more", F.lit(0.0)), F.lit(COVERAGE_CAP)).alias("value"))
+        cells = cut(cells.join(containers, "header", "left_anti").unionByName(changed), "coverage")
+    return cells
 
 
 def multiline_containments(internal: DataFrame, cell: int = 100) -> DataFrame:

@@ -21,8 +21,6 @@ DECIMAL = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 # Whole record: fields that are quoted from end to end, or hold no quote at all.
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^"\t]*+)'
 QUOTED_RECORD = re.compile(rf"{_FIELD}(?:\t{_FIELD})*+")
-# Line ends inside a record are data; the csv reader must not end the record there.
-_HIDE, _SHOW = str.maketrans("\r\n\0", "\ue00d\ue00a\ue000"), str.maketrans("\ue00d\ue00a\ue000", "\r\n\0")
 
 RECORD_FIELDS = (
     [("qname", pa.string())]
@@ -30,19 +28,30 @@ RECORD_FIELDS = (
     + [("strand", pa.string()), ("tname", pa.string())]
     + [(n, pa.int64()) for n in ("tlen", "tstart", "tend", "num_matches", "blen", "mapq")]
     + [("align_score", pa.int64()), ("s1", pa.int64()), ("is_primary", pa.bool_()), ("cigar", pa.string())]
+    + [("beyond", pa.map_(pa.string(), pa.string()))]
 )
 RECORD_TYPE = "struct<" + ",".join(
-    f"{n}:{'bigint' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'string'}" for n, t in RECORD_FIELDS
+    f"{n}:{'bigint' if t == pa.int64() else 'boolean' if t == pa.bool_() else 'string' if t == pa.string() else 'map<string,string>'}" for n, t in RECORD_FIELDS
 ) + ">"
 
 
 def split_record(line: str) -> list[str]:
-    """The fields of one stripped line; ``csv.Error`` where its quoting is broken."""
-    hidden = line.translate(_HIDE) if "\n" in line or "\r" in line or "\0" in line else None
+    """The fields of one stripped line; ``csv.Error`` where its quoting is broken.
+
+    The strict reader finds quotes that never end or are gone on after; it takes a quote in a field that does not start
+    with one for data, so such a field is looked for behind it.
+    """
+    # Line ends inside a record are data, and would end it for the reader: letters that the line lacks stand for them.
+    ends = {e: next(c for c in map(chr, range(first, 0x110000)) if c not in line) for e, first in (("\r", 0xE000), ("\n", 0xF0000)) if e in line}
+    text = line
+    for end, letter in ends.items():
+        text = text.replace(end, letter)
+    fields = next(csv.reader((text,), delimiter="\t", quotechar='"', doublequote=True, strict=True), [])
     if '"' in line and not QUOTED_RECORD.fullmatch(line):
-        raise csv.Error("a quote where none may be")
-    fields = next(csv.reader((hidden or line,), delimiter="\t", quotechar='"', doublequote=True, strict=True), [])
-    return [f.translate(_SHOW) for f in fields] if hidden else fields
+        raise csv.Error("a quote in a field that does not start with one")
+    for end, letter in ends.items():
+        fields = [f.replace(letter, end) for f in fields]
+    return fields
 
 
 def parse_line(line: str | None) -> tuple[str | None, dict | None]:
@@ -73,18 +82,14 @@ def parse_line(line: str | None) -> tuple[str | None, dict | None]:
         if kind == "i" and not INTEGER.fullmatch(value) or kind == "f" and not DECIMAL.fullmatch(value):
             return "value", None
         tags.setdefault(tag[:5], value)
-    numbers = (qlen, qstart, qend, tlen, tstart, tend, matches, blen, mapq)
-    qlen, qstart, qend, tlen, tstart, tend, matches, blen, mapq = map(_bigint, numbers)
-    return None, {
+    record = {
         "qname": f[0], "qlen": qlen, "qstart": qstart, "qend": qend, "strand": f[4], "tname": f[5],
         "tlen": tlen, "tstart": tstart, "tend": tend, "num_matches": matches, "blen": blen, "mapq": mapq,
-        "align_score": _bigint(int(tags.get("AS:i:", 0))), "s1": _bigint(int(tags.get("s1:i:", 0))),
+        "align_score": int(tags.get("AS:i:", 0)), "s1": int(tags.get("s1:i:", 0)),
         "is_primary": tags.get("tp:A:") == "P", "cigar": tags.get("cg:Z:"),
     }
-
-
-def _bigint(n: int) -> int | None:
-    return n if -(2**63) <= n < 2**63 else None
+    beyond = {n: str(record[n]) for n, t in RECORD_FIELDS if t == pa.int64() and not -(2**63) <= record[n] < 2**63}
+    return None, record | dict.fromkeys(beyond) | {"beyond": list(beyond.items()) or None}
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +109,8 @@ def parse_paf(lines: DataFrame, line: str = "line", keep: list[str] | None = Non
     Exactly one of ``reason`` and ``record`` is null: ``reason`` is ``quoting``, ``columns`` or ``value``,
     the first that applies.  Null and blank lines fail for ``columns``.  Kept columns named ``reason`` or
     ``record`` give way to the operator's.  Repeated rows come out as often as they come in, an empty table
-    gives an empty one, and a record of any length is read whole.  Numbers beyond 64 bits are valid and come
-    out as null fields.
+    gives an empty one, and a record of any length is read whole.  Numbers beyond 64 bits are valid; their
+    field is null, and ``beyond`` maps its name to the digits (null where there is none).
     """
     kept = [c for c in (keep if keep is not None else lines.columns) if c != line and c.lower() not in ("reason", "record")]
     source = lines.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{line}`").cast("string").alias("__line"))

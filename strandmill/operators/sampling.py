@@ -23,12 +23,21 @@ def number_rows(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     return placed.join(F.broadcast(begins), part).withColumn(name, F.col(id_) + F.col("__shift")).drop(part, id_, "__shift")
 
 
-def read_batches(reads: DataFrame, batch_size: int, max_batches: int, key: str = "read_id", seed: int | None = None) -> DataFrame:
-    """``reads`` with ``batch``: batches of ``batch_size`` by ``key``, or shuffled by ``seed``; reads behind the last batch are left out.
+def read_batches(reads: DataFrame, batch_size: int, max_batches: int | None, key: str = "read_id", seed: int | None = None) -> DataFrame:
+    """``reads`` with ``batch``: batches of ``batch_size`` by ``key``, or shuffled by ``seed``; reads behind the last batch are left out (none if ``max_batches`` is null).
 
     Each read is in one batch, so batches are samples without replacement.  ``key`` has to be unique.
     """
     shuffled = reads if seed is None else reads.withColumn("__mix", F.xxhash64(F.lit(seed), key))
     numbered = number_rows(shuffled, *([] if seed is None else ["__mix"]), key, name="__number")
     batch = F.expr(f"__number div {batch_size}")
-    return numbered.withColumn("batch", batch).filter(F.col("batch") < max_batches).drop("__number", "__mix")
+    out = numbered.withColumn("batch", batch).drop("__number", "__mix")
+    return out if max_batches is None else out.filter(F.col("batch") < max_batches)
+
+
+def read_batch(reads: DataFrame, batch_size: int, number: int, key: str = "read_id", seed: int | None = None) -> DataFrame:
+    """One whole batch, by its number; ``ValueError`` if the reads do not reach so far."""
+    out = cut(read_batches(reads, batch_size, number + 1, key, seed).filter(F.col("batch") == number), "batch")
+    if out.count() < batch_size:
+        raise ValueError(f"there are too few reads for batch {number}")
+    return out

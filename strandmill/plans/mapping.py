@@ -10,11 +10,12 @@ from strandmill.model import TETRAMER_DISTANCE
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths
 from strandmill.operators.decisions import abundance
+from strandmill.operators.rejects import valid_records
 from strandmill.operators.sampling import read_batches
+from strandmill.plans.problems import _LINES
 from strandmill.session import table
 from strandmill.sources.assembly import keep_channels
 from strandmill.sources.fastq import parse_files
-from strandmill.sources.paf import paf_columns
 
 GOOD = "qname is not null and tname is not null and tname <> '*' and qstart < qend and qend <= qlen and tstart < tend and tend <= tlen"
 
@@ -28,9 +29,8 @@ def overlaps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "read_overlaps").filter(GOOD)
 
 
-def unique_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Each read once, as it was loaded last."""
-    cols = ["loaded_at", "batch_no", "length", "channel", "barcode", "source"]
+def unique_reads(spark: SparkSession, d: str, *cols: str) -> DataFrame:
+    """``cols`` of each read, once, as it was loaded last."""
     order = F.struct("loaded_at", F.coalesce("length", F.lit(-1)), F.coalesce("channel", F.lit(-1)), F.coalesce("barcode", F.lit(-1)))
     return table(spark, d, "seq_reads").groupBy("read_id").agg(F.max_by(F.struct(*cols), order).alias("r")).select("read_id", "r.*")
 
@@ -46,7 +46,7 @@ def on_contigs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reads_unique(spark, d):
-    return unique_reads(spark, d).select("read_id", "length", "channel", "barcode")
+    return unique_reads(spark, d, "length", "channel", "barcode")
 
 
 def read_filter_channel(spark, d):
@@ -75,11 +75,11 @@ def trim_coords(spark, d):
 
 
 def best_mapper(spark, d):
-    return C.best_mapping(C.keep_mappings(mappings(spark, d))).select("qname", "line_no", "mapq")
+    return C.best_mapping(C.keep_mappings(mappings(spark, d)), ["line_no", "mapq"])
 
 
 def pair_dedup_s1(spark, d):
-    return C.best_of_pair(C.keep_overlaps(overlaps(spark, d))).select("pair", "line_no", "s1")
+    return C.best_of_pair(C.keep_overlaps(overlaps(spark, d)), ["line_no", "s1"])
 
 
 def multiline_pairs(spark, d):
@@ -120,14 +120,14 @@ def links_without_contained(spark, d):
 
 def routed_overlaps(spark, d):
     """Reads of even channels take overlaps."""
-    acceptors = unique_reads(spark, d).filter("channel % 2 = 0").select(F.col("read_id").alias("header"))
+    acceptors = unique_reads(spark, d, "channel").filter("channel % 2 = 0").select(F.col("read_id").alias("header"))
     records = C.with_class(C.keep_overlaps(overlaps(spark, d), 500, 50, 500))
     return graph.route(records, acceptors).select("line_no", "cls", "kind")
 
 
 def target_members(spark, d):
     """The sources of the reads on each target."""
-    reads = unique_reads(spark, d).select(F.col("read_id").alias("name"), F.col("source").alias("member"))
+    reads = unique_reads(spark, d, "source").select(F.col("read_id").alias("name"), F.col("source").alias("member"))
     pairs = mappings(spark, d).select(F.col("tname").alias("header"), F.col("qname").alias("name")).distinct()
     return graph.members(pairs, reads)
 
@@ -141,7 +141,7 @@ def repeat_reads(spark, d):
 
 
 def sequence_temperature(spark, d):
-    reads = unique_reads(spark, d).select(F.col("read_id").alias("header"), (F.coalesce("channel", F.lit(0)) % 4).alias("temperature"), F.expr("repeat('A', cast(coalesce(length, 0) div 100 as int))").alias("seq"))
+    reads = unique_reads(spark, d, "channel", "length").select(F.col("read_id").alias("header"), (F.coalesce("channel", F.lit(0)) % 4).alias("temperature"), F.expr("repeat('A', cast(coalesce(length, 0) div 100 as int))").alias("seq"))
     warm = overlaps(spark, d).select(F.col("qname").alias("id"))
     return graph.cool_down(graph.reset_temperature(reads, warm, 60), 100).select("header", "temperature", "frozen")
 
@@ -162,23 +162,23 @@ def names_apart(spark, d):
 
 
 def target_abundance(spark, d):
-    best = C.best_mapping(C.keep_mappings(mappings(spark, d)))
+    best = C.best_mapping(C.keep_mappings(mappings(spark, d)), ["tname"])
     total = table(spark, d, "seq_reads").agg(F.count_distinct("read_id")).scalar()
     return abundance(best, total).withColumn("share", F.round("share", 9))
 
 
 def abundance_by_barcode(spark, d):
-    best = C.best_mapping(C.keep_mappings(mappings(spark, d))).select(F.col("qname").alias("read_id"), "tname")
-    reads = unique_reads(spark, d).select("read_id", F.coalesce("barcode", F.lit(0)).alias("barcode"))
+    best = C.best_mapping(C.keep_mappings(mappings(spark, d)), ["tname"]).withColumnRenamed("qname", "read_id")
+    reads = unique_reads(spark, d, "barcode").select("read_id", F.coalesce("barcode", F.lit(0)).alias("barcode"))
     return best.join(reads, "read_id").groupBy("tname", "barcode").agg(F.count("*").alias("n"))
 
 
 def length_stats(spark, d):
-    return lengths.length_stats(lengths.length_histogram(unique_reads(spark, d)))
+    return lengths.length_stats(lengths.length_histogram(unique_reads(spark, d, "length")))
 
 
 def ccl_quantiles(spark, d):
-    return lengths.ccl_partition(lengths.length_histogram(unique_reads(spark, d)))
+    return lengths.ccl_partition(lengths.length_histogram(unique_reads(spark, d, "length")))
 
 
 def depth_stretches(spark, d):
@@ -203,18 +203,19 @@ def truncated_reads(spark, d):
 
 
 def paf_parse(spark, d):
-    lines = table(spark, d, "paf_lines").filter("line is not null and size(split(line, '\\t')) >= 12 and not contains(line, '\"')")
-    return lines.select("line_no", *paf_columns(F.col("line"))).filter("is_primary and blen >= 200").select("line_no", "qname", "tlen", "strand", "blen", "align_score", "s1", "cigar")
+    """The valid lines, quoted ones among them, that are primary and long enough."""
+    records = valid_records(table(spark, d, "paf_lines"), keep=["line_no"])
+    return records.filter("is_primary and blen >= 200").select("line_no", "qname", "tlen", "strand", "blen", "align_score", "s1", "cigar")
 
 
 def batch_numbers(spark, d):
     """Reads and bases of ten sequencing batches each."""
-    reads = unique_reads(spark, d)
+    reads = unique_reads(spark, d, "batch_no", "length")
     return reads.withColumn("batch", F.expr("batch_no div 10")).groupBy("batch").agg(F.count("*").alias("n"), F.sum(F.coalesce("length", F.lit(0))).alias("bases"))
 
 
 def sampled_batches(spark, d):
-    return read_batches(unique_reads(spark, d).select("read_id", "length"), 400, 1_000_000)
+    return read_batches(unique_reads(spark, d, "length"), 400, None)
 
 
 def last_action(spark, d):
@@ -242,7 +243,7 @@ def kmer_counts(spark, d):
 
 
 def tetramer_scores(spark, d):
-    z = S.tetramer_scores(S.kmer_counts(fastq_seqs(spark, d), "header", "seq"), "header")
+    z = S.tetramer_scores(fastq_seqs(spark, d), "header", "seq")
     return z.select("header", "kmer", "n", F.round("expected", 6).alias("expected"), F.round("z", 6).alias("z"))
 
 
@@ -320,7 +321,7 @@ fq AS (SELECT file_id, path, k, substring(split_part(head, ' ', 1), 2) AS read_i
 s AS (SELECT concat(file_id, ':', k) AS header, file_id, k, seq FROM fq)"""
 _KMERS = f"""{_FQ}, s2 AS (SELECT header, seq || reverse(translate(seq, 'ATGC', 'TACG')) AS t FROM s),
 kp AS (SELECT header, t, k, unnest(range(1, greatest(length(t) - k, 1))) AS i FROM s2, (VALUES (2), (3), (4)) v(k)),
-kc AS (SELECT header, k, kmer, count(*) AS n FROM (SELECT header, CAST(k AS INTEGER) AS k, substring(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS kmer FROM kp) WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY ALL)"""
+kc AS MATERIALIZED (SELECT header, k, kmer, count(*) AS n FROM (SELECT header, CAST(k AS INTEGER) AS k, substring(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS kmer FROM kp) WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY ALL)"""
 
 ORACLE = {
     "reads_unique": f"WITH {_UNIQUE} SELECT read_id, length, channel, barcode FROM u",
@@ -377,10 +378,10 @@ SELECT greatest(min(depth) FILTER (upto > floor(q)) + (min(depth) FILTER (upto >
 CAST(CASE regexp_extract(comment, 'barcode=(unclassified|barcode[0-9]+)', 1) WHEN '' THEN 0 WHEN 'unclassified' THEN 99 ELSE TRY_CAST(substring(regexp_extract(comment, 'barcode=(unclassified|barcode[0-9]+)', 1), 8) AS INTEGER) END AS INTEGER) AS barcode,
 nullif(split_part(comment, ' ', -1), '') AS source FROM fq""",
     "truncated_reads": f"WITH {_FQ} SELECT file_id, k AS ordinal, substring(seq, 1, 60) AS seq FROM fq",
-    "paf_parse": r"""WITH f AS (SELECT line_no, string_split(line, chr(9)) AS p FROM paf_lines WHERE line NOT LIKE '%"%'), g AS (SELECT *, p[13:] AS t FROM f WHERE len(p) >= 12)
-SELECT * FROM (SELECT line_no, p[1] AS qname, CASE WHEN regexp_full_match(trim(p[7]), '[+-]?[0-9]+') THEN TRY_CAST(p[7] AS INTEGER) END AS tlen, p[5] AS strand, CASE WHEN regexp_full_match(trim(p[11]), '[+-]?[0-9]+') THEN TRY_CAST(p[11] AS INTEGER) END AS blen,
-  coalesce(TRY_CAST(substring(list_filter(t, lambda x: x LIKE 'AS:i:%')[1], 6) AS INTEGER), 0) AS align_score,
-  coalesce(TRY_CAST(substring(list_filter(t, lambda x: x LIKE 's1:i:%')[1], 6) AS INTEGER), 0) AS s1,
+    "paf_parse": f"""WITH {_LINES}, g AS (SELECT *, tags AS t FROM r WHERE reason IS NULL)
+SELECT * FROM (SELECT line_no, p[1] AS qname, CAST(p[7] AS BIGINT) AS tlen, p[5] AS strand, CAST(p[11] AS BIGINT) AS blen,
+  coalesce(CAST(substring(list_filter(t, lambda x: x LIKE 'AS:i:%')[1], 6) AS BIGINT), 0) AS align_score,
+  coalesce(CAST(substring(list_filter(t, lambda x: x LIKE 's1:i:%')[1], 6) AS BIGINT), 0) AS s1,
   substring(list_filter(t, lambda x: x LIKE 'cg:Z:%')[1], 6) AS cigar
 FROM g WHERE coalesce(substring(list_filter(t, lambda x: x LIKE 'tp:A:%')[1], 6) = 'P', false)) WHERE blen >= 200""",
     "batch_numbers": f"WITH {_UNIQUE} SELECT CAST(batch_no // 10 AS BIGINT) AS batch, count(*) AS n, CAST(sum(coalesce(length, 0)) AS BIGINT) AS bases FROM u GROUP BY 1",

@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    return valid_records(table(spark, d, "paf_lines"), keep=["line_no", "file_name"])
+    records = valid_records(table(spark, d, "paf_lines"), keep=["line_no", "file_name"])
+    return records.withColumn("beyond", F.array_join(F.array_sort(F.map_keys("beyond")), ","))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +67,7 @@ ORACLE = {
     "p1_found": f"WITH {_LINES} SELECT line_no, reason FROM r WHERE reason IS NOT NULL",
     "p1_records": f"""WITH {_LINES} SELECT line_no, file_name, p[1] AS qname, CAST(n[1] AS BIGINT) AS qlen, CAST(n[2] AS BIGINT) AS qstart, CAST(n[3] AS BIGINT) AS qend, p[5] AS strand, p[6] AS tname,
 CAST(n[4] AS BIGINT) AS tlen, CAST(n[5] AS BIGINT) AS tstart, CAST(n[6] AS BIGINT) AS tend, CAST(n[7] AS BIGINT) AS num_matches, CAST(n[8] AS BIGINT) AS blen, CAST(n[9] AS BIGINT) AS mapq,
-CAST(coalesce({_tag("AS:i:")}, '0') AS BIGINT) AS align_score, CAST(coalesce({_tag("s1:i:")}, '0') AS BIGINT) AS s1, coalesce({_tag("tp:A:")} = 'P', false) AS is_primary, {_tag("cg:Z:")} AS cigar
+CAST(coalesce({_tag("AS:i:")}, '0') AS BIGINT) AS align_score, CAST(coalesce({_tag("s1:i:")}, '0') AS BIGINT) AS s1, coalesce({_tag("tp:A:")} = 'P', false) AS is_primary, {_tag("cg:Z:")} AS cigar, CAST(NULL AS VARCHAR) AS beyond
 FROM r WHERE reason IS NULL""",
     "p6_found": f"""WITH {_RECORDS}
 SELECT read_id, file_id FROM (SELECT *, row_number() OVER (PARTITION BY read_id ORDER BY path DESC) AS rn FROM q) WHERE rn = 1""",

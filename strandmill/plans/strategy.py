@@ -18,6 +18,7 @@ from strandmill.session import cut, scratch_path, table
 from strandmill.sources.fastq import parse_files
 from strandmill.streaming.live import LiveRun
 
+PLACE = ["tname", "tstart", "tend", "strand"]
 COUNTS = ["a", "c", "g", "t", "d"]
 
 
@@ -148,7 +149,7 @@ def assembly_threshold(spark, d):
 
 
 def _best_on_contigs(spark, d):
-    return C.best_mapping(C.keep_mappings(on_contigs(spark, d)))
+    return C.best_mapping(C.keep_mappings(on_contigs(spark, d)), PLACE)
 
 
 def decision_reference_sim(spark, d):
@@ -156,17 +157,17 @@ def decision_reference_sim(spark, d):
 
 
 def decision_assembly_sim(spark, d):
-    best = C.best_mapping(C.keep_mappings(mappings(spark, d)))
+    best = C.best_mapping(C.keep_mappings(mappings(spark, d)), PLACE)
     return D.look_up(best, strategy(spark, d), table(spark, d, "contigs"), True).select("qname", "accept")
 
 
 def decision_live(spark, d):
     looked = D.look_up(mappings(spark, d), strategy(spark, d), table(spark, d, "contigs"), True, "tend")
-    return D.decide_live(unique_reads(spark, d), looked)
+    return D.decide_live(unique_reads(spark, d, "length"), looked)
 
 
 def _simulated(spark, d):
-    reads = unique_reads(spark, d).select("read_id", F.coalesce("length", F.lit(0)).alias("length"), "batch_no")
+    reads = unique_reads(spark, d, "length", "batch_no").select("read_id", F.coalesce("length", F.lit(0)).alias("length"), "batch_no")
     decided = decision_reference_sim(spark, d).select(F.col("qname").alias("read_id"), "accept")
     return D.simulate(reads, decided).join(reads.select("read_id", "batch_no"), "read_id")
 
@@ -180,7 +181,7 @@ def pseudotime(spark, d):
 
 
 def dump_batches(spark, d):
-    reads = unique_reads(spark, d).select("batch_no", F.coalesce("length", F.lit(0)).alias("length"), F.col("length").alias("seen_length"), F.lit(True).alias("accepted"))
+    reads = unique_reads(spark, d, "batch_no", "length").select("batch_no", F.coalesce("length", F.lit(0)).alias("length"), F.col("length").alias("seen_length"), F.lit(True).alias("accepted"))
     times = D.pseudotime(reads, "batch_no")
     return D.dump_numbers(times, "batch_no", "control_total", 300_000)
 

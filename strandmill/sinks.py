@@ -19,7 +19,8 @@ def publish(df: DataFrame, folder: str, version: int) -> str:
         return target
     staging = f"{folder}/.staging-{version:010d}"
     df.write.mode("overwrite").parquet(staging)
-    fs.rename(_fs(spark, staging)[1], path)
+    if not fs.rename(_fs(spark, staging)[1], path) and not fs.exists(path):
+        raise OSError(f"{target} cannot be written")
     return target
 
 

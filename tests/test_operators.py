@@ -303,11 +303,23 @@ def test_layers_and_coverage(spark):
     assert layers == {("a", "b"): (0, 2), ("a", "d"): (0, 2), ("b", "c"): (1, 1), ("d", "c"): (1, 1)}
     assert graph.contain_layers(df.filter("src = 'x' or src = 'y'")).count() == 0
     assert graph.contain_layers(df.limit(0)).count() == 0
-    seqs = spark.createDataFrame([("a", [1.0, 2.0, 3.0]), ("b", [1.0] * 5), ("c", [99.0] * 3)], "header string, cov array<double>")
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(1200)] + [("n0005", "side"), ("side", "n0009"), ("r", "n0700")]
+    got = {(r.src, r.dst): r.layer for r in graph.contain_layers(spark.createDataFrame(chain, "src string, dst string")).collect()}
+    want = {**{(a, b): int(a[1:]) for a, b in chain[:1200]}, ("n0005", "side"): 5, ("side", "n0009"): 6, ("r", "n0700"): 0}
+    for i in range(9, 700):
+        want[f"n{i:04}", f"n{i + 1:04}"] = 7 + i - 9
+    for i in range(700, 1200):
+        want[f"n{i:04}", f"n{i + 1:04}"] = 1 + i - 700
+    assert got == want
+    seqs = {"a": [1.0, 2.0, 3.0], "b": [1.0] * 5, "c": [99.0] * 3}
+    cells = spark.createDataFrame([(h, i, v) for h, values in seqs.items() for i, v in enumerate(values)], "header string, at int, value double")
     cont = spark.createDataFrame([("a", "b", 1, 5, 0, 3, True), ("b", "c", 0, 2, 0, 4, False)], "src string, dst string, ostart int, oend int, cstart int, cend int, rev boolean")
-    got = {r.header: r.cov for r in graph.pass_coverage(seqs, cont).collect()}
+    out = {h: [0.0] * len(v) for h, v in seqs.items()}
+    for r in graph.pass_coverage(cells, cont).collect():
+        out[r.header][r.at] = r.value
     # a lengthened by its last value and turned round: 3 3 2 1 at 1..5 of b; then b cut to two values: 1 4 at 0..2 of c.
-    assert got == {"a": [1.0, 2.0, 3.0], "b": [1.0, 4.0, 4.0, 3.0, 2.0], "c": [100.0, 100.0, 99.0]}
+    assert out == {"a": [1.0, 2.0, 3.0], "b": [1.0, 4.0, 4.0, 3.0, 2.0], "c": [100.0, 100.0, 99.0]}
+    assert graph.pass_coverage(cells, cont.limit(0)).count() == 11 and graph.pass_coverage(cells.limit(0), cont).count() == 0
 
 
 def test_multiline_containment(spark):

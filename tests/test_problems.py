@@ -143,7 +143,7 @@ def test_last_copy_of_a_read(spark):
 def test_compaction_keeps_the_multiset(spark, tmp_path):
     df = spark.range(3000).select((F.col("id") % 50).alias("a"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id").cast("string")).alias("b")).repartition(200)
     df = df.unionByName(df.limit(10))
-    out = compaction.compact(df, f"file://{tmp_path}/t", target_mb=64)
+    out = compaction.compact(df, f"file://{tmp_path}/t")
     assert compaction.multiset_checksum(out) == compaction.multiset_checksum(df)
     assert len(list((tmp_path / "t").glob("*.parquet"))) <= 4
     with pytest.raises(ValueError):
