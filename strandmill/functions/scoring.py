@@ -11,8 +11,10 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.model import DELETION, DELETION_RATIO, FULL_DEPTH, MIN_POSITIVE, MISSED_DELETION, SUBSTITUTION, THETA
+from strandmill.model import BIN, DELETION, DELETION_RATIO, FULL_DEPTH, MIN_POSITIVE, MISSED_DELETION, SUBSTITUTION, THETA
+from strandmill.operators.coverage import bin_sums
 
+DROP_MEAN, DROP_SHARE = 5, 8  # fixed values: mean depth above which positions drop out, and the share of it they reach
 CAP = 990  # counts above it do not change a posterior
 
 
@@ -121,5 +123,35 @@ def drop_out(scores: DataFrame, by: list[str], total: str = "total") -> DataFram
     """Positions far below the mean depth of their group have no score: with a mean over 5, totals up to int(mean / 8)."""
     means = scores.groupBy(*by).agg(F.avg(total).alias("__mean"))
     out = scores.join(means, by)
-    low = (F.col("__mean") > 5) & (F.col(total) <= F.floor(F.col("__mean") / 8))
+    low = (F.col("__mean") > DROP_MEAN) & (F.col(total) <= F.floor(F.col("__mean") / DROP_SHARE))
     return out.withColumn("score", F.when(low, 0.0).otherwise(F.col("score"))).drop("__mean")
+
+
+#: Scores are summed in whole millionths, so that sums are exact in any order.
+UNIT = 1e-6
+
+
+def bin_scores(stretches: DataFrame, lengths: DataFrame, by: list[str], ploidy: int = 1, size: int = BIN) -> DataFrame:
+    """(``by``, bin, total): the sum of the scores of all positions of each whole bin, in units of UNIT.
+
+    ``stretches``: (``by``, s, e, bases, dels), ``lengths``: (``by``, length).  An aligned base counts as the reference's (the
+    score is the same for each of the four).  Positions without any have the score of no observation.  Positions far
+    below the mean depth of their target have none (see ``drop_out``).
+    """
+    # All patterns below full depth, less than FULL_DEPTH squared: small enough to broadcast, whatever the input.
+    grid = stretches.sparkSession.range(FULL_DEPTH * FULL_DEPTH).select(F.expr(f"id div {FULL_DEPTH}").alias("a"), (F.col("id") % FULL_DEPTH).alias("d"))
+    grid = grid.filter(F.col("a") + F.col("d") < FULL_DEPTH).select("*", *[F.lit(0).alias(x) for x in "cgt"], F.lit("A").alias("ref"))
+    grid = with_posterior(grid, list("acgtd"), "ref", ploidy).select("a", "d", "score")
+    scored = stretches.select(*by, "s", "e", F.col("bases").alias("a"), F.col("dels").alias("d")).join(F.broadcast(grid), ["a", "d"], "left")
+    scored = scored.withColumn("score", F.when(F.col("a") + F.col("d") >= FULL_DEPTH, F.lit(MIN_POSITIVE)).otherwise(F.col("score")))
+    means = stretches.groupBy(*by).agg(F.sum((F.col("bases") + F.col("dels")) * (F.col("e") - F.col("s"))).alias("n"))
+    means = lengths.join(means, by, "left").select(*by, (F.coalesce("n", F.lit(0)) / F.col("length")).alias("mean"))
+    first = grid.filter("a = 0 and d = 0").select("score").scalar()
+    unseen = F.when(F.col("mean") > DROP_MEAN, 0.0).otherwise(first)
+    low = (F.col("mean") > DROP_MEAN) & (F.col("a") + F.col("d") <= F.floor(F.col("mean") / DROP_SHARE))
+    extra = scored.join(means, by).withColumn("more", F.when(low, 0.0).otherwise(F.col("score")) - unseen)
+    sums = bin_sums(extra, by, "more", size)
+    spine = lengths.join(means, by).filter(F.col("length") >= size)
+    spine = spine.select(*by, (unseen * size).alias("all"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"cast(length div {size} as bigint) - 1"))).alias("bin"))
+    total = F.round((F.col("all") + F.coalesce("total", F.lit(0.0))) / UNIT)
+    return spine.join(sums, [*by, "bin"], "left").select(*by, "bin", total.alias("total"))

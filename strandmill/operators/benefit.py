@@ -44,13 +44,14 @@ def additional_benefit(bins: DataFrame, by: list[str], ccl: tuple[int, ...] = DE
     return out.withColumn("additional", F.greatest(F.col("expected") - F.col("smu"), F.lit(0.0)))
 
 
-def benefit_exponents(cells: DataFrame, benefit: str, weight: str | None) -> DataFrame:
+def benefit_exponents(cells: DataFrame, benefit: str, weight: str | None, peak: float | None = None) -> DataFrame:
     """(e, n, weight_sum, peak): cells of positive benefit by the distance of their binary exponent from that of the greatest.
 
-    The greatest itself falls in with [1/4, 1/2).  ``weight`` null: each cell weighs 1.
+    The greatest itself falls in with [1/4, 1/2).  ``weight`` null: each cell weighs 1.  ``peak`` is the greatest
+    benefit, where it is known already.
     """
     positive = cells.filter(F.col(benefit) > 0)
-    peak = positive.agg(F.max(benefit)).scalar()
+    peak = positive.agg(F.max(benefit)).scalar() if peak is None else F.lit(peak)
     e = F.abs(F.floor(F.log2(F.col(benefit) / F.col("peak"))) + 1).cast("bigint")
     value = F.lit(1.0) if weight is None else F.col(weight)
     return positive.withColumn("peak", peak).groupBy(e.alias("e")).agg(F.count("*").alias("n"), F.sum(value).alias("weight_sum"), F.max("peak").alias("peak"))

@@ -10,21 +10,46 @@ from strandmill.model import BIN, BUCKET
 TILE = 1 << 16
 
 
-def depth_stretches(spans: DataFrame, by: list[str], start: str = "tstart", end: str = "tend", tile: int = TILE) -> DataFrame:
-    """(``by``, s, e, depth): stretches ``[s, e)`` of equal depth above 0, by a sweep over begins and ends.
+def sweep(spans: DataFrame, by: list[str], measures: list[str], tile: int = TILE) -> DataFrame:
+    """(``by``, s, e, ``measures``): stretches ``[s, e)`` over which the sums of all ``measures`` of the spans are the same, and
+    not all 0.  ``spans``: (``by``, s, e, ``measures``).
 
     Spans are cut at tile borders, so that the sweep runs in windows of one tile of one target, of at most ``tile``
     rows, however hot the target; begins and ends at one place are summed before the shuffle.
     """
-    s, e = F.col(start).cast("bigint"), F.col(end).cast("bigint")
-    valid = spans.select(*by, s.alias("s"), e.alias("e")).filter("s < e")
-    cut = valid.select(*by, "s", "e", F.explode(F.sequence(F.expr(f"s div {tile}"), F.expr(f"(e - 1) div {tile}"))).alias("tile"))
-    cut = cut.select(*by, "tile", F.greatest("s", F.col("tile") * tile).alias("s"), F.least("e", (F.col("tile") + 1) * tile).alias("e"))
-    steps = cut.select(*by, "tile", F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("d")))).alias("x"))
-    steps = steps.groupBy(*by, "tile", "x.at").agg(F.sum("x.d").alias("d")).filter("d <> 0")
+    valid = spans.select(*by, F.col("s").cast("bigint").alias("s"), F.col("e").cast("bigint").alias("e"), *measures).filter("s < e")
+    cut = valid.select(*by, "s", "e", *measures, F.explode(F.sequence(F.expr(f"s div {tile}"), F.expr(f"(e - 1) div {tile}"))).alias("tile"))
+    cut = cut.select(*by, "tile", F.greatest("s", F.col("tile") * tile).alias("s"), F.least("e", (F.col("tile") + 1) * tile).alias("e"), *measures)
+    begin = F.struct(F.col("s").alias("at"), *measures)
+    end = F.struct(F.col("e").alias("at"), *[(-F.col(m)).alias(m) for m in measures])
+    steps = cut.select(*by, "tile", F.explode(F.array(begin, end)).alias("x"))
+    steps = steps.groupBy(*by, "tile", F.col("x.at").alias("at")).agg(*[F.sum(f"x.{m}").alias(m) for m in measures])
+    steps = steps.filter(" or ".join(f"{m} <> 0" for m in measures))
     w = Window.partitionBy(*by, "tile").orderBy("at")
-    swept = steps.select(*by, "tile", F.col("at").alias("s"), F.lead("at").over(w).alias("e"), F.sum("d").over(w).alias("depth"))
-    return swept.filter("depth > 0").select(*by, "s", "e", "depth")
+    swept = steps.select(*by, F.col("at").alias("s"), F.lead("at").over(w).alias("e"), *[F.sum(m).over(w).alias(m) for m in measures])
+    return swept.filter(" or ".join(f"{m} <> 0" for m in measures))
+
+
+def depth_stretches(spans: DataFrame, by: list[str], start: str = "tstart", end: str = "tend", tile: int = TILE) -> DataFrame:
+    """(``by``, s, e, depth): stretches of equal depth above 0 (see ``sweep``)."""
+    return sweep(spans.select(*by, F.col(start).alias("s"), F.col(end).alias("e"), F.lit(1).alias("depth")), by, ["depth"], tile)
+
+
+# Where a record's CIGAR deletes reference bases; it is written along the target.
+_DELETED = """aggregate(zip_with(regexp_extract_all(cigar, '([0-9]+)[MIDNSHP=X]', 1), regexp_extract_all(cigar, '[0-9]+([MIDNSHP=X])', 1), (n, op) -> struct(try_cast(n as bigint) as n, op as op)),
+struct(cast(tstart as bigint) as at, cast(array() as array<struct<s:bigint,e:bigint>>) as out), (acc, x) -> struct(
+acc.at + if(x.op in ('M', 'D', 'N', '=', 'X'), x.n, 0) as at, if(x.op = 'D', concat(acc.out, array(struct(acc.at as s, acc.at + x.n as e))), acc.out) as out), acc -> acc.out)"""
+
+
+def pattern_stretches(mappings: DataFrame, by: list[str], tile: int = TILE) -> DataFrame:
+    """(``by``, s, e, bases, dels): stretches of equal numbers of aligned bases and of deletions.
+
+    ``mappings``: (``by``, tstart, tend, cigar).  Without a CIGAR all of a span is aligned bases.
+    """
+    whole = mappings.select(*by, F.col("tstart").cast("bigint").alias("s"), F.col("tend").cast("bigint").alias("e"), F.lit(1).alias("bases"), F.lit(0).alias("dels"))
+    holes = mappings.filter("contains(cigar, 'D')").select(*by, F.col("tend").cast("bigint").alias("tend"), F.explode(F.expr(_DELETED)).alias("x"))
+    holes = holes.select(*by, F.col("x.s").alias("s"), F.least("x.e", "tend").alias("e"), F.lit(-1).alias("bases"), F.lit(1).alias("dels"))
+    return sweep(whole.unionByName(holes), by, ["bases", "dels"], tile)
 
 
 def bin_sums(stretches: DataFrame, by: list[str], value: str = "depth", size: int = BIN) -> DataFrame:

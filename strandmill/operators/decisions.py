@@ -15,17 +15,25 @@ def strand_start(reverse_at: str = "tend - 1") -> Column:
     return F.when(c("strand") == "-", F.expr(reverse_at)).otherwise(c("tstart"))
 
 
-def look_up(mappings: DataFrame, strategy: DataFrame, contigs: DataFrame, default: bool, reverse_at: str = "tend - 1") -> DataFrame:
+def look_up(mappings: DataFrame, strategy: DataFrame | None, contigs: DataFrame, default: bool, reverse_at: str = "tend - 1") -> DataFrame:
     """Adds ``accept``: the strategy's word for the bin where a read begins; ``default`` where it has none.
 
-    Rejected contigs have no strategy and always say no.  ``strategy``: (contig, bin, strand, accept).
+    Rejected contigs have no strategy and always say no.  ``strategy``: (contig, bin, strand, accept), and ``barcode`` where
+    it tells them apart; then ``mappings`` have one, too (null is 0).  ``strategy`` null, as before the first update,
+    accepts all else.
     """
+    if strategy is None:
+        no = contigs.filter("rejected").select(c("contig").alias("tname"), F.lit(False).alias("accept"))
+        return mappings.join(no, "tname", "left").withColumn("accept", F.coalesce("accept", F.lit(True)))
+    barcode = ["__barcode"] if "barcode" in strategy.columns else []
     asked = mappings.withColumn("__bin", F.floor(strand_start(reverse_at) / BIN).cast("bigint")).withColumn("__strand", (c("strand") == "-").cast("int"))
-    cells = strategy.select(c("contig").alias("tname"), c("bin").alias("__bin"), c("strand").alias("__strand"), c("accept"))
-    out = asked.join(cells, ["tname", "__bin", "__strand"], "left")
+    cells = strategy.select(c("contig").alias("tname"), c("bin").alias("__bin"), c("strand").alias("__strand"), *[c("barcode").alias(b) for b in barcode], c("accept"))
+    for b in barcode:
+        asked = asked.withColumn(b, F.coalesce("barcode", F.lit(0)))
+    out = asked.join(cells, ["tname", "__bin", "__strand", *barcode], "left")
     out = out.join(contigs.filter("rejected").select(c("contig").alias("tname"), F.lit(True).alias("__no")), "tname", "left")
     word = F.when(c("__no"), False).otherwise(F.coalesce("accept", F.lit(default)))
-    return out.withColumn("accept", word).drop("__bin", "__strand", "__no")
+    return out.withColumn("accept", word).drop("__bin", "__strand", "__no", *barcode)
 
 
 def decide_live(reads: DataFrame, looked_up: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def bin_probabilities(fhat: DataFrame, contigs: DataFrame, bin_size: int = 100,
     return bins.select("contig", "bin", "strand", (F.col("fhat") / bins.agg(F.sum("fhat")).scalar()).alias("fhat"))
 
 
+def window_probabilities(fhat: DataFrame, contigs: DataFrame, bin_size: int = 100, size: int = START_WINDOW) -> DataFrame:
+    """(contig, window, strand, n_windows, fhat): ``bin_probabilities`` by window, for joins that need no row for each bin: bin b
+    has the window min(b div (``size`` / ``bin_size``), n_windows - 1)."""
+    per = size // bin_size
+    sized = contigs.select("contig", F.expr(f"length div {bin_size}").alias("n_bins"), F.expr(f"length div {size}").alias("n_windows")).filter("n_windows > 0")
+    wide = F.when(F.col("window") == F.col("n_windows") - 1, F.col("n_bins") - F.col("window") * per).otherwise(per)
+    placed = fhat.join(sized, "contig").withColumn("wide", wide)
+    return placed.select("contig", "window", "strand", "n_windows", (F.col("fhat") / placed.agg(F.sum(F.col("fhat") * F.col("wide"))).scalar()).alias("fhat"))
+
+
 def dirichlet_priors(counts: DataFrame) -> DataFrame:
     """(alpha, p_zero) by moments: alpha = (m - 1) / (var m^3) - 1 / m over the m cells' shares, p_zero the share of cells at zero."""
     reads = counts.agg(F.greatest(F.sum("n"), F.lit(1))).scalar()

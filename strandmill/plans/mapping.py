@@ -104,13 +104,14 @@ def multiline_containments(spark, d):
 
 
 def coverage_passing(spark, d):
-    """Coverage of contained reads passed on, in cells of 100 bases."""
+    """Coverage of contained reads passed on, in cells of 100 bases; each read brings 1 of its own."""
     edges = containment_edges(spark, d)
     named = overlaps(spark, d).select(F.explode(F.array(F.struct(F.col("qname").alias("header"), F.col("qlen").alias("n")), F.struct(F.col("tname").alias("header"), F.col("tlen").alias("n")))).alias("x")).select("x.*")
-    reads = named.groupBy("header").agg(F.max("n").alias("n")).select("header", F.array_repeat(F.lit(1.0), F.expr("n div 100 + 1").cast("int")).alias("cov"))
+    reads = named.groupBy("header").agg(F.max("n").alias("n"))
+    own = reads.select("header", F.explode(F.sequence(F.lit(0), F.expr("cast(n div 100 as int)"))).alias("at"), F.lit(1.0).alias("value"))
     cells = [F.expr(f"{x} div 100").alias(x) for x in ("ostart", "oend", "cstart", "cend")]
-    out = graph.pass_coverage(reads, edges.select("src", "dst", "rev", *cells))
-    return out.select("header", F.size("cov").alias("n"), F.round(F.aggregate("cov", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    out = graph.pass_coverage(own, edges.select("src", "dst", "rev", *cells))
+    return out.groupBy("header").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 def links_without_contained(spark, d):
@@ -323,7 +324,39 @@ _KMERS = f"""{_FQ}, s2 AS (SELECT header, seq || reverse(translate(seq, 'ATGC',
 kp AS (SELECT header, t, k, unnest(range(1, greatest(length(t) - k, 1))) AS i FROM s2, (VALUES (2), (3), (4)) v(k)),
 kc AS MATERIALIZED (SELECT header, k, kmer, count(*) AS n FROM (SELECT header, CAST(k AS INTEGER) AS k, substring(t, CAST(i AS INTEGER), CAST(k AS INTEGER)) AS kmer FROM kp) WHERE NOT regexp_matches(kmer, '[^ACGT]') GROUP BY ALL)"""
 
+_LAYERS = f"""{_EDGES}, bf(n, d) AS (SELECT src, 0 FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT e.dst, d + 1 FROM bf JOIN e ON e.src = n WHERE d < 60),
+la AS (SELECT e.*, d AS layer, count(*) OVER (PARTITION BY e.src) AS multiplicity FROM e JOIN (SELECT n, min(d) AS d FROM bf GROUP BY 1) ON n = e.src)"""
+
+
+def _passing(layers: int = 12) -> str:
+    """One step for each layer (the given tables have fewer)."""
+    parts = [f"""{_LAYERS}, hd AS (SELECT header, max(n) // 100 AS hl FROM (SELECT qname AS header, qlen AS n FROM o UNION ALL SELECT tname, tlen FROM o) GROUP BY 1),
+lc AS (SELECT *, o1 - o0 AS n, least(c1, hl + 1) - c0 AS sz FROM (SELECT src, dst, rev, layer, multiplicity, ostart // 100 AS o0, oend // 100 AS o1, cstart // 100 AS c0, cend // 100 AS c1 FROM la) JOIN hd ON header = src),
+c0 AS (SELECT header, unnest(range(0, hl + 1)) AS ps, 1e0 AS v FROM hd)"""]
+    for k in range(layers):
+        parts.append(f"""a{k} AS (SELECT dst AS header, o0 + CASE WHEN rev THEN n - 1 - i ELSE i END AS ps, sum(v / multiplicity) AS more
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM lc WHERE layer = {k} AND sz > 0 AND n > 0) x JOIN c{k} ON c{k}.header = x.src AND c{k}.ps = c0 + least(i, sz - 1) GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (SELECT header, ps, CASE WHEN header IN (SELECT dst FROM lc WHERE layer = {k}) THEN least(v + coalesce(more, 0), 100) ELSE v END AS v FROM c{k} LEFT JOIN a{k} USING (header, ps))""")
+    return ", ".join(parts) + f" SELECT header, count(*) AS n, round(sum(v), 6) AS total FROM c{layers} GROUP BY 1"
+
+
 ORACLE = {
+    "contain_layers": f"WITH RECURSIVE {_LAYERS} SELECT src, dst, CAST(layer AS INTEGER) AS layer, multiplicity FROM la",
+    "coverage_passing": f"WITH RECURSIVE {_passing()}",
+    "multiline_containments": f"""WITH {_MAP}, k AS (SELECT * FROM m WHERE qname <> tname), {_classes("k")},
+it AS (SELECT *, least(qname, tname) || '-' || greatest(qname, tname) AS pk FROM cl WHERE cls = 1),
+pn AS (SELECT *, count(*) OVER w AS n, first_value(qname) OVER w2 AS q, first_value(tname) OVER w2 AS t, first_value(qlen) OVER w2 AS ql, first_value(tlen) OVER w2 AS tl FROM it
+  WINDOW w AS (PARTITION BY pk), w2 AS (PARTITION BY pk ORDER BY line_no)),
+sd AS (SELECT pk, n, q, t, ql, tl, line_no, CASE WHEN qname = q THEN qstart ELSE tstart END AS qs, CASE WHEN qname = q THEN qend ELSE tend END AS qe,
+  CASE WHEN qname = q THEN tstart ELSE qstart END AS ts, CASE WHEN qname = q THEN tend ELSE qend END AS te FROM pn WHERE n BETWEEN 2 AND 10),
+qc AS (SELECT pk, count(DISTINCT x) AS nc, min(x) AS lo, max(x) AS hi FROM (SELECT pk, unnest(range(qs // 100, qe // 100)) AS x FROM sd) GROUP BY 1),
+tc AS (SELECT pk, count(DISTINCT x) AS nc, min(x) AS lo, max(x) AS hi FROM (SELECT pk, unnest(range(ts // 100, te // 100)) AS x FROM sd) GROUP BY 1),
+bs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pk ORDER BY least(qe - qs, te - ts) DESC, line_no) AS rn FROM sd) WHERE rn = 1),
+ok AS (SELECT bs.*, qc.lo AS q0, qc.hi AS q1, tc.lo AS t0, tc.hi AS t1, coalesce(qc.nc > ql // 100 * 0.9 AND qc.hi - qc.lo > ql // 100 * 0.85, false) AS qok,
+  coalesce(tc.nc > tl // 100 * 0.9 AND tc.hi - tc.lo > tl // 100 * 0.85, false) AS tok FROM bs LEFT JOIN qc USING (pk) LEFT JOIN tc USING (pk)),
+ou AS (SELECT CASE WHEN qok THEN q ELSE t END AS src, CASE WHEN qok THEN t ELSE q END AS dst, n, CASE WHEN qok THEN q0 ELSE t0 END * 100 AS cstart, CASE WHEN qok THEN q1 ELSE t1 END * 100 AS cend,
+  CASE WHEN qok THEN t0 ELSE q0 END * 100 AS o0, CASE WHEN qok THEN t1 ELSE q1 END * 100 AS o1, CASE WHEN qok THEN ts ELSE qs END AS b0, CASE WHEN qok THEN te ELSE qe END AS b1 FROM ok WHERE qok OR tok)
+SELECT src, dst, CASE WHEN o1 - o0 > (cend - cstart) * 2.2 THEN b0 ELSE o0 END AS ostart, CASE WHEN o1 - o0 > (cend - cstart) * 2.2 THEN b1 ELSE o1 END AS oend, cstart, cend, n FROM ou""",
     "reads_unique": f"WITH {_UNIQUE} SELECT read_id, length, channel, barcode FROM u",
     "read_filter_channel": "SELECT read_id, length, channel FROM seq_reads WHERE channel IN (SELECT channel FROM channels WHERE condition_name = 'treatment')",
     "read_length_filter": "SELECT read_id, least(length, 999999) AS length FROM seq_reads WHERE length > 2500",

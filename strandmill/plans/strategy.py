@@ -12,8 +12,9 @@ from strandmill.operators import benefit as B
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, starts
 from strandmill.operators import decisions as D
+from strandmill.operators.lengths import length_histogram
 from strandmill.plans.mapping import _DEPTH, _FQ, _ON, _UNIQUE, GOOD, active_contigs, mappings, on_contigs, unique_reads, unique_started
-from strandmill.plans.update import Update, plan_update
+from strandmill.plans.update import Lengths, Update, observed_lengths, update_from
 from strandmill.session import cut, scratch_path, table
 from strandmill.sources.fastq import parse_files
 from strandmill.streaming.live import LiveRun
@@ -22,8 +23,12 @@ PLACE = ["tname", "tstart", "tend", "strand"]
 COUNTS = ["a", "c", "g", "t", "d"]
 
 
+def seen_lengths(spark: SparkSession, d: str) -> Lengths:
+    return observed_lengths(length_histogram(unique_reads(spark, d, "length")))
+
+
 def update(spark: SparkSession, d: str) -> Update:
-    return plan_update(on_contigs(spark, d), active_contigs(spark, d))
+    return update_from(on_contigs(spark, d), active_contigs(spark, d), seen_lengths(spark, d))
 
 
 def strategy(spark: SparkSession, d: str) -> DataFrame:
@@ -50,10 +55,15 @@ def dirichlet_priors(spark, d):
     return p.select(F.round("alpha", 6).alias("alpha"), F.round("p_zero", 9).alias("p_zero"))
 
 
-def bin_scores(spark, d):
+def bin_depths(spark, d):
     return coverage.bin_sums(coverage.depth_stretches(on_contigs(spark, d), ["tname"]), ["tname"])
 
 
+def bin_scores(spark, d):
+    depth = cut(coverage.pattern_stretches(on_contigs(spark, d).withColumnRenamed("tname", "contig"), ["contig"]), "depth")
+    return scoring.bin_scores(depth, active_contigs(spark, d).select("contig", "length"), ["contig"]).withColumn("total", F.col("total").cast("bigint"))
+
+
 def bucket_switch(spark, d):
     sized = active_contigs(spark, d).select("contig", "length")
     depth = coverage.depth_stretches(on_contigs(spark, d).withColumnRenamed("tname", "contig"), ["contig"])
@@ -66,15 +76,15 @@ def benefit_summary(spark, d):
 
 
 def benefit_bins(spark, d):
-    return update(spark, d).exponents.select("e", "n", F.round("weight_sum", 7).alias("weight_sum"), F.round("peak", 6).alias("peak"))
+    return update(spark, d).exponents.select("e", "n", F.round("weight_sum", 7).alias("weight_sum"), F.round("peak", 3).alias("peak"))
 
 
 def threshold_curve(spark, d):
-    return update(spark, d).curve.select("e", F.round("bound", 6).alias("bound"), F.round("ratio", 3).alias("ratio"))
+    return update(spark, d).curve.select("e", F.round("bound", 3).alias("bound"), F.round("ratio", 0).alias("ratio"))
 
 
 def threshold_value(spark, d):
-    return update(spark, d).bound.select(F.round("bound", 6).alias("bound"))
+    return update(spark, d).bound.select(F.round("bound", 3).alias("bound"))
 
 
 def _accepted(mask: DataFrame) -> DataFrame:
@@ -197,21 +207,42 @@ def override_actions(spark, d):
     return D.override_actions(chunks, 2, 9, duplex=True).select("read_id", "final_action", "previous", "sent", "overridden")
 
 
+BARCODES = list(range(0, 13))
+
+
+def decision_barcode(spark, d):
+    """By the strategy of each read's barcode; reads of other barcodes are accepted."""
+    barcodes = unique_reads(spark, d, "barcode").select(F.col("read_id").alias("qname"), F.coalesce("barcode", F.lit(0)).alias("barcode"))
+    placed = on_contigs(spark, d).select("qname", "line_no", *PLACE, "cigar", "is_primary", "blen", "mapq", "align_score").join(barcodes, "qname")
+    placed = cut(placed, "placed")
+    planned = update_from(placed, active_contigs(spark, d), seen_lengths(spark, d), BARCODES).strategy
+    best = C.best_mapping(C.keep_mappings(placed), [*PLACE, "barcode"])
+    return D.look_up(best, planned, table(spark, d, "contigs"), True).select("qname", "barcode", "accept")
+
+
+def _live(spark, d) -> LiveRun:
+    """A run over the table's rows in the batches in which they were loaded, one file for every hundred."""
+    run, files = LiveRun(active_contigs(spark, d), scratch_path(spark, "live")), scratch_path(spark, "live-files")
+    rows = table(spark, d, "alignments").filter(GOOD).select("qname", "qlen", *PLACE, "cigar", F.expr("coalesce(batch_no, 0) div 100").alias("part"))
+    rows.repartition("part").write.partitionBy("part").parquet(files)
+    stream = spark.readStream.schema(rows.drop("part").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 2).parquet(files)
+    run.start(stream, scratch_path(spark, "live-checkpoint"), None).awaitTermination()
+    return run
+
+
 def streaming_update(spark, d):
-    """The bins after a stream over the table's files; the same as ``bin_scores`` makes of the table at once."""
-    run = LiveRun(active_contigs(spark, d), scratch_path(spark, "live"))
-    stream = spark.readStream.schema(table(spark, d, "alignments").schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/alignments.parquet*")
-    run.start(stream.filter(GOOD), scratch_path(spark, "live-checkpoint"), None).awaitTermination()
-    return run.state(spark, "bins").select(F.col("contig").alias("tname"), "bin", "total")
+    """The depth of the bins after a stream over several files; the same as ``bin_depths`` makes of the table at once."""
+    depth = _live(spark, d).state(spark, "depth").select(F.col("contig").alias("tname"), "s", "e", (F.col("bases") + F.col("dels")).alias("depth"))
+    return coverage.bin_sums(depth, ["tname"])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        read_start_hist, fhat_pointmass, fhat_bins, dirichlet_priors, bin_scores, bucket_switch, benefit_summary, benefit_bins,
+        read_start_hist, fhat_pointmass, fhat_bins, dirichlet_priors, bin_depths, bin_scores, bucket_switch, benefit_summary, benefit_bins,
         threshold_curve, threshold_value, strategy_mask, distribute_strategy, cigar_pileup, posterior_scores,
         posterior_scores_diploid, dropout, assembly_score, assembly_benefit, assembly_threshold, decision_reference_sim,
-        decision_assembly_sim, decision_live, simulated_reads, pseudotime, dump_batches, override_actions, streaming_update,
+        decision_assembly_sim, decision_live, decision_barcode, simulated_reads, pseudotime, dump_batches, override_actions, streaming_update,
     )
 }
 
@@ -230,24 +261,59 @@ _BINS = f"""{_DEPTH}, {_ACTIVE}, tb AS (SELECT tname, bin, sum((least(e, (bin +
 _BUCKETS = """bk0 AS (SELECT contig, length // 20000 AS fl, unnest(range(0, length // 20000 + 1)) AS bucket FROM ac),
 bs AS (SELECT tname, bin // 200 AS b, sum(total) AS t FROM tb GROUP BY 1, 2),
 bk AS (SELECT contig, bucket, coalesce(t, 0) / 20000e0 AS mean_depth FROM bk0 LEFT JOIN bs ON tname = contig AND b = least(bucket, fl - 1))"""
-_CELLS = f"""{_BINS}, db AS (SELECT contig, bin, CAST(greatest(3000 - coalesce(total, 0), 0) AS DOUBLE) AS t FROM (SELECT contig, unnest(range(0, length // 100)) AS bin FROM ac) x
-  LEFT JOIN tb USING (bin) WHERE tb.tname = x.contig OR tb.tname IS NULL)""".replace("LEFT JOIN tb USING (bin) WHERE tb.tname = x.contig OR tb.tname IS NULL)", "LEFT JOIN (SELECT tname AS contig, bin, total FROM tb) y USING (contig, bin))")
-_CELLS += f""",
+_PHI, _PRI = scoring.phi(1), scoring.priors(1)
+
+
+def _patterns(by: str = "tname", source: str = "a") -> str:
+    """pst: stretches by numbers of bases and deletions; spc: the score of each pattern."""
+    return f"""dl AS (SELECT line_no, {by}, tstart, tend, CAST(unnest(regexp_extract_all(cigar, '([0-9]+)[MIDNSHP=X]', 1)) AS BIGINT) AS n, unnest(regexp_extract_all(cigar, '[0-9]+([MIDNSHP=X])', 1)) AS op,
+  generate_subscripts(regexp_extract_all(cigar, '[0-9]+([MIDNSHP=X])', 1), 1) AS i FROM {source} WHERE cigar LIKE '%D%'),
+de AS (SELECT *, tstart + coalesce(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN n ELSE 0 END) OVER (PARTITION BY line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM dl),
+ds AS (SELECT {by}, s, least(s + n, tend) AS e FROM de WHERE op = 'D' AND s < least(s + n, tend)),
+es AS (SELECT {by}, p, sum(b) AS b, sum(x) AS x FROM (SELECT {by}, tstart AS p, 1 AS b, 0 AS x FROM {source} UNION ALL SELECT {by}, tend, -1, 0 FROM {source}
+  UNION ALL SELECT {by}, s, -1, 1 FROM ds UNION ALL SELECT {by}, e, 1, -1 FROM ds) GROUP BY ALL HAVING sum(b) <> 0 OR sum(x) <> 0),
+pst AS (SELECT * FROM (SELECT {by}, CAST(p AS BIGINT) AS s, CAST(lead(p) OVER w AS BIGINT) AS e, CAST(sum(b) OVER w AS BIGINT) AS b, CAST(sum(x) OVER w AS BIGINT) AS x FROM es WINDOW w AS (PARTITION BY {by} ORDER BY p)) WHERE b <> 0 OR x <> 0),
+phi(b, g, p) AS (VALUES {", ".join(f"({b}, {g}, {_PHI[b][g]!r}::DOUBLE)" for b in range(5) for g in range(5))}), pri(g, p) AS (VALUES {", ".join(f"({g}, {_PRI[0][g]!r}::DOUBLE)" for g in range(5))}),
+pc AS (SELECT row_number() OVER () AS id, b, x FROM (SELECT b, x FROM pst WHERE b + x < 30 UNION SELECT 0, 0)),
+ll AS (SELECT id, phi.g, sum(CASE phi.b WHEN 0 THEN pc.b WHEN 4 THEN pc.x ELSE 0 END * ln(phi.p)) + max(ln(pri.p)) AS l FROM pc CROSS JOIN phi JOIN pri ON pri.g = phi.g GROUP BY 1, 2),
+pe AS (SELECT id, g, exp(l - max(l) OVER (PARTITION BY id)) AS w FROM ll), pp AS (SELECT id, g, w / sum(w) OVER (PARTITION BY id) AS p FROM pe),
+en AS (SELECT id, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS entropy FROM pp GROUP BY 1), jo AS (SELECT id, phi.b, pp.p * phi.p AS j FROM pp JOIN phi ON phi.g = pp.g),
+af AS (SELECT id, sum(h) AS after FROM (SELECT id, b, sum(j) * ln(sum(j)) - sum(CASE WHEN j > 0 THEN j * ln(j) ELSE 0 END) AS h FROM jo GROUP BY 1, 2) GROUP BY 1),
+spc AS (SELECT b, x, entropy - after AS score FROM pc JOIN en USING (id) JOIN af USING (id))"""
+
+
+_SCORES = f"""{_BINS}, {_patterns()}, me AS (SELECT contig, length, coalesce(n, 0) / length AS mean FROM ac LEFT JOIN (SELECT tname AS contig, sum((b + x) * (e - s)) AS n FROM pst GROUP BY 1) USING (contig)),
+mu AS (SELECT *, CASE WHEN mean > 5 THEN 0 ELSE (SELECT score FROM spc WHERE b = 0 AND x = 0) END AS unseen FROM me),
+ov AS (SELECT contig, s, e, unseen, CASE WHEN mean > 5 AND pst.b + pst.x <= floor(mean / 8) THEN 0 WHEN pst.b + pst.x >= 30 THEN 2.2250738585072014e-308 ELSE score END AS score
+  FROM pst JOIN mu ON contig = tname LEFT JOIN spc ON spc.b = pst.b AND spc.x = pst.x),
+os AS (SELECT contig, bin, sum((least(e, (bin + 1) * 100) - greatest(s, bin * 100)) * (score - unseen)) AS more FROM (SELECT *, unnest(range(s // 100, (e - 1) // 100 + 1)) AS bin FROM ov) GROUP BY 1, 2),
+db AS (SELECT contig, bin, round((unseen * 100 + coalesce(more, 0)) / 1e-6) AS t FROM (SELECT contig, unseen, unnest(range(0, length // 100)) AS bin FROM mu) LEFT JOIN os USING (contig, bin))"""
+_LENGTHS = f"""{_UNIQUE}, hl AS (SELECT list_sort(list(least(length, 999999))) AS h, avg(least(length, 999999)) AS mean_length FROM u WHERE length > 800),
+cc AS (SELECT {", ".join(f"h[CAST(ceil(len(h) * {2 * i + 1} / 20) AS BIGINT)] // 100 AS k{i}" for i in range(10))}, floor((mean_length - 700) / 100) AS read_time FROM hl)"""
+_CELLS = f"""{_SCORES}, {_LENGTHS},
 fr AS (SELECT contig, bin, sum(t) OVER (w ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS m0, sum(t) OVER (w ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS m1,
-  {" + ".join(f"sum(t) OVER (w ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) * {0.95 - 0.1 * i!r}::DOUBLE" for i, k in enumerate(_WINDOWS))} AS e0,
-  {" + ".join(f"sum(t) OVER (w ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW) * {0.95 - 0.1 * i!r}::DOUBLE" for i, k in enumerate(_WINDOWS))} AS e1
-  FROM db WINDOW w AS (PARTITION BY contig ORDER BY bin)),
+  {" + ".join(f"sum(t) OVER (w ROWS BETWEEN CURRENT ROW AND k{i} - 1 FOLLOWING) * {0.95 - 0.1 * i!r}::DOUBLE" for i in range(10))} AS e0,
+  {" + ".join(f"sum(t) OVER (w ROWS BETWEEN k{i} - 1 PRECEDING AND CURRENT ROW) * {0.95 - 0.1 * i!r}::DOUBLE" for i in range(10))} AS e1
+  FROM db CROSS JOIN cc WINDOW w AS (PARTITION BY contig ORDER BY bin)),
 be AS (SELECT contig, bin, 0 AS sd, m0 AS smu, e0 AS expected FROM fr UNION ALL SELECT contig, bin, 1, m1, e1 FROM fr),
 ad AS (SELECT *, greatest(expected - smu, 0) AS additional FROM be)"""
 _CURVE = f"""{_CELLS}, {_FBINS.removeprefix(_ON + ", " + _ACTIVE + ", ")},
 ce AS (SELECT ad.*, fb.f FROM ad JOIN fb ON ad.contig = fb.contig AND ad.bin = fb.bin AND ad.sd = fb.sd),
 ex AS (SELECT abs(CAST(floor(log2(additional / peak)) AS BIGINT) + 1) AS e, count(*) AS n, sum(f) AS weight_sum, max(peak) AS peak
   FROM ce, (SELECT max(additional) AS peak FROM ce) WHERE additional > 0 GROUP BY 1),
-cv AS (SELECT e, pow(2e0, -e) * peak AS bound, ((SELECT sum(f * additional) FROM ce) + sum(pow(2e0, -e) * peak * weight_sum) OVER w) / (10e0 + sum(weight_sum) OVER w * 53e0) AS ratio,
+cv AS (SELECT e, pow(2e0, -e) * peak AS bound, ((SELECT sum(f * additional) FROM ce) + sum(pow(2e0, -e) * peak * weight_sum) OVER w) / (10e0 + sum(weight_sum) OVER w * (SELECT read_time FROM cc)) AS ratio,
   row_number() OVER w AS rn FROM ex WINDOW w AS (ORDER BY e)),
 bo AS (SELECT bound FROM cv WHERE rn <= (SELECT rn FROM cv ORDER BY ratio DESC, rn LIMIT 1) + 1 ORDER BY rn DESC LIMIT 1)"""
 _STRATEGY = f"""{_CURVE}, {_BUCKETS}, sg AS (SELECT ce.contig, ce.bin, ce.sd, CASE WHEN mean_depth >= 1 THEN additional >= (SELECT bound FROM bo) ELSE true END AS accept
   FROM ce LEFT JOIN bk ON bk.contig = ce.contig AND bk.bucket = ce.bin // 200)"""
+# The same with a strategy for each barcode: contigs are named by barcode, too, but for the starts of reads.
+_BARCODE = "coalesce(u0.barcode, 0)"
+_STRATEGY_B = (
+    _STRATEGY.replace(_ON, _ON.replace("a AS (SELECT m", "a0 AS (SELECT m") + f", {_UNIQUE.replace('u AS', 'u0 AS', 1)}, a AS (SELECT a0.* REPLACE (tname || '#' || {_BARCODE} AS tname), {_BARCODE} AS barcode FROM a0 JOIN u0 ON u0.read_id = qname)")
+    .replace(_ACTIVE, _ACTIVE.replace("ac AS", "ac0 AS") + ", ac AS (SELECT contig || '#' || bc AS contig, length FROM ac0, range(13) r(bc))")
+    .replace("FROM ac WHERE length >= 2000", "FROM ac0 WHERE length >= 2000").replace("AS x FROM a)", "AS x FROM a0 JOIN u0 ON u0.read_id = qname)")
+    .replace("JOIN fb ON ad.contig = fb.contig", "JOIN fb ON split_part(ad.contig, '#', 1) = fb.contig")
+)
 _ACCEPTED = "SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, count(*) FILTER (accept) AS n_accept, CAST(sum(bin) FILTER (accept) AS BIGINT) AS at"
 
 
@@ -259,7 +325,7 @@ def _decide(source: str, default: str, end: str) -> str:
 
 _BEST_A = "ba AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qname ORDER BY coalesce(mapq, 0) DESC, coalesce(align_score, 0) DESC, line_no DESC) AS rn FROM a WHERE is_primary AND blen >= 1) WHERE rn = 1)"
 _BEST_M = _BEST_A.replace("ba AS", "bm AS").replace("FROM a WHERE", "FROM m WHERE")
-_SIM = f"""{_STRATEGY}, {_BEST_A}, {_decide("ba", "false", "x.tend - 1")}, {_UNIQUE},
+_SIM = f"""{_STRATEGY}, {_BEST_A}, {_decide("ba", "false", "x.tend - 1")},
 si AS (SELECT read_id, u.batch_no, coalesce(u.length, 0) AS length, lk.qname IS NOT NULL AS mapped, coalesce(lk.accept, false) AS accepted,
   CASE WHEN coalesce(lk.accept, false) THEN coalesce(u.length, 0) ELSE least(coalesce(u.length, 0), 400) END AS seen_length FROM u LEFT JOIN lk ON lk.qname = u.read_id)"""
 _PLACED = f"""{_FQ}, pl AS (SELECT concat('c', file_id % 4) AS contig, (file_id * 97 + k * 31) % 5000 AS p0, upper(seq) AS seq, length(seq) AS n, CAST(file_id % 2 AS INTEGER) AS barcode FROM fq WHERE length(seq) >= 40),
@@ -309,7 +375,8 @@ ORACLE = {
     "fhat_bins": f"WITH {_FBINS} SELECT contig, sd AS strand, count(*) AS n, round(sum(f), 9) AS fhat FROM fb GROUP BY 1, 2",
     "dirichlet_priors": f"""WITH {_STARTS}, x AS (SELECT n, n / (SELECT CAST(sum(n) AS DOUBLE) FROM sc) AS x FROM sc)
 SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*) * count(*)) - 1e0 / count(*), 6) AS alpha, round(count(*) FILTER (n = 0) / count(*), 9) AS p_zero FROM x""",
-    "bin_scores": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
+    "bin_depths": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
+    "bin_scores": f"WITH {_SCORES} SELECT contig, bin, CAST(t AS BIGINT) AS total FROM db",
     "override_actions": f"""WITH {_UNIQUE}, ch AS (SELECT u.read_id, u.channel, row_number() OVER (PARTITION BY u.channel ORDER BY u.started_at, u.read_id) AS i, coalesce(c.condition_name = 'control', false) AS control,
   coalesce(u.length, 0) % 12 AS seen, ['proceed', 'unblock', 'stop_receiving'][u.barcode % 3 + 1] AS action FROM u JOIN channels c ON c.channel = u.channel WHERE u.barcode IS NOT NULL),
 a1 AS (SELECT *, CASE WHEN control THEN 'stop_receiving' WHEN seen > 9 AND action = 'proceed' THEN 'unblock' ELSE action END AS a FROM ch),
@@ -322,9 +389,9 @@ SELECT read_id, fin AS final_action, last_value(nullif(fin, 'proceed') IGNORE NU
     "bucket_switch": f'WITH {_BINS}, {_BUCKETS} SELECT contig, CAST(bucket AS BIGINT) AS bucket, round(mean_depth, 6) AS mean_depth, mean_depth >= 1 AS "on" FROM bk',
     "benefit_summary": f"""WITH {_CELLS} SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, CAST(sum(CAST(round(smu * 20) AS BIGINT)) AS BIGINT) AS smu, CAST(sum(CAST(round(expected * 20) AS BIGINT)) AS BIGINT) AS expected,
 CAST(sum(CAST(round(additional * 20) AS BIGINT)) AS BIGINT) AS additional, round(max(additional), 3) AS most FROM ad GROUP BY 1, 2""",
-    "benefit_bins": f"WITH {_CURVE} SELECT e, n, round(weight_sum, 7) AS weight_sum, round(peak, 6) AS peak FROM ex",
-    "threshold_curve": f"WITH {_CURVE} SELECT e, round(bound, 6) AS bound, round(ratio, 3) AS ratio FROM cv",
-    "threshold_value": f"WITH {_CURVE} SELECT round(bound, 6) AS bound FROM bo",
+    "benefit_bins": f"WITH {_CURVE} SELECT e, n, round(weight_sum, 7) AS weight_sum, round(peak, 3) AS peak FROM ex",
+    "threshold_curve": f"WITH {_CURVE} SELECT e, round(bound, 3) AS bound, round(ratio, 0) AS ratio FROM cv",
+    "threshold_value": f"WITH {_CURVE} SELECT round(bound, 3) AS bound FROM bo",
     "strategy_mask": f"WITH {_CURVE}, mk AS (SELECT *, additional >= (SELECT bound FROM bo) AS accept FROM ce) {_ACCEPTED} FROM mk GROUP BY 1, 2",
     "distribute_strategy": f"WITH {_STRATEGY} {_ACCEPTED} FROM sg GROUP BY 1, 2",
     "cigar_pileup": f"WITH {_PLACED} SELECT * FROM pu",
@@ -338,8 +405,10 @@ SELECT contig, pos, barcode, round(CASE WHEN m > 5 AND total <= floor(m / 8) THE
 cv AS (SELECT pow(2e0, -e) * peak AS bound, ((SELECT sum(s) FROM (SELECT max(smu_sum) AS s FROM pb GROUP BY contig)) + sum(pow(2e0, -e) * peak * n) OVER w) / (9e0 + sum(n) OVER w * 53e0) AS ratio, row_number() OVER w AS rn FROM ex WINDOW w AS (ORDER BY e))
 SELECT round(bound, 6) AS bound FROM cv WHERE rn <= (SELECT rn FROM cv ORDER BY ratio DESC, rn LIMIT 1) + 1 ORDER BY rn DESC LIMIT 1""",
     "decision_reference_sim": f"WITH {_STRATEGY}, {_BEST_A}, {_decide('ba', 'false', 'x.tend - 1')} SELECT qname, accept FROM lk",
+    "decision_barcode": f"""WITH {_STRATEGY_B}, {_BEST_A}, lk AS (SELECT ba.qname, ba.barcode, coalesce(sg.accept, true) AS accept FROM ba
+  LEFT JOIN sg ON sg.contig = ba.tname AND sg.bin = (CASE strand WHEN '-' THEN tend - 1 ELSE tstart END) // 100 AND sg.sd = CASE strand WHEN '-' THEN 1 ELSE 0 END) SELECT * FROM lk""",
     "decision_assembly_sim": f"WITH {_STRATEGY}, {_BEST_M}, {_decide('bm', 'true', 'x.tend - 1')} SELECT qname, accept FROM lk",
-    "decision_live": f"""WITH {_STRATEGY}, {_decide("m", "true", "x.tend")}, {_UNIQUE}, hi AS (SELECT qname, bool_or(accept) AS hit, count(*) AS n FROM lk GROUP BY 1)
+    "decision_live": f"""WITH {_STRATEGY}, {_decide("m", "true", "x.tend")}, hi AS (SELECT qname, bool_or(accept) AS hit, count(*) AS n FROM lk GROUP BY 1)
 SELECT read_id, CASE WHEN n IS NULL THEN CASE WHEN coalesce(length, 0) > 0 THEN 'no_map' ELSE 'no_seq' END WHEN n > 1 THEN CASE WHEN hit THEN 'multi_on' ELSE 'multi_off' END WHEN hit THEN 'single_on' ELSE 'single_off' END AS decision
 FROM u LEFT JOIN hi ON hi.qname = u.read_id""",
     "simulated_reads": f"WITH {_SIM} SELECT read_id, seen_length, mapped, accepted FROM si",

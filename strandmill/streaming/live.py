@@ -1,4 +1,4 @@
-"""The live run: micro-batches of mappings update bins, start counts and the published strategy.
+"""The live run: micro-batches of mappings update depth, start counts, read lengths, buckets and the published strategy.
 
 State lies in versioned tables, one version for each micro-batch.  A batch builds on the newest version before its
 own number and never rewrites one, so a batch that is replayed after a failure changes nothing.
@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from strandmill.operators import coverage, starts
+from strandmill.operators.coverage import sweep
+from strandmill.operators.lengths import length_histogram
+from strandmill.plans.update import by_barcode, measure, observed_lengths, plan_update, switched
 from strandmill.sinks import latest, publish
 
 
@@ -20,26 +22,47 @@ def merge_counts(before: DataFrame | None, delta: DataFrame, by: list[str], valu
 
 
 class LiveRun:
-    """Keeps ``bins`` (contig, bin, total), ``starts`` (contig, window, strand, n) and ``reads`` (contig, n) under ``folder``."""
+    """Keeps under ``folder``, by version: ``depth`` (contig, s, e, bases, dels), ``starts`` (contig, window, strand, n), ``reads``
+    (contig, n), ``lengths`` (length, n), ``buckets`` (contig, bucket, mean_depth, on; once on they stay on), and the published
+    ``strategy`` (contig, bin, strand, accept), with ``barcode`` in all but starts and lengths where ``barcodes`` are given."""
 
-    def __init__(self, contigs: DataFrame, folder: str):
-        self.contigs, self.folder = contigs, folder
+    def __init__(self, contigs: DataFrame, folder: str, barcodes: list[int] | None = None, ploidy: int = 1, bucket_threshold: float = 1.0):
+        self.contigs, self.folder, self.barcodes = contigs.select("contig", "length"), folder, barcodes
+        self.by = ["contig"] if barcodes is None else ["contig", "barcode"]
+        self.ploidy, self.bucket_threshold = ploidy, bucket_threshold
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        """``batch`` (tname, tstart, tend, strand).  An empty batch publishes the state as it was."""
+        """``batch`` (qname, qlen, tname, tstart, tend, strand, cigar, and barcode where barcodes are told apart).
+
+        An empty batch publishes the state as it was.  No strategy is planned before a bucket is on: all is accepted.
+        """
         spark = batch.sparkSession
-        sized = self.contigs.select("contig", "length")
-        known = batch.join(sized.select(F.col("contig").alias("tname"), F.col("length").alias("__l")), "tname").filter("tstart < tend and tend <= __l").drop("__l")
-        depth = coverage.depth_stretches(known.withColumnRenamed("tname", "contig"), ["contig"])
-        deltas = {
-            "bins": (coverage.bin_sums(depth, ["contig"]), ["contig", "bin"], "total"),
-            "starts": (starts.start_counts(known, sized).filter("n > 0"), ["contig", "window", "strand"], "n"),
-            "reads": (known.groupBy(F.col("tname").alias("contig")).agg(F.count("*").alias("n")), ["contig"], "n"),
-        }
-        for name, (delta, by, value) in deltas.items():
-            publish(merge_counts(latest(spark, f"{self.folder}/{name}", batch_id), delta, by, value), f"{self.folder}/{name}", batch_id)
+        before = lambda name: latest(spark, f"{self.folder}/{name}", batch_id)
+        put = lambda df, name: spark.read.parquet(publish(df, f"{self.folder}/{name}", batch_id))
+        if "barcode" in self.by:
+            batch = batch.withColumn("barcode", F.coalesce("barcode", F.lit(0)))
+        known = batch.join(self.contigs.select(F.col("contig").alias("tname"), F.col("length").alias("__l")), "tname").filter("tstart < tend and tend <= __l").drop("__l")
+        delta, counts = measure(known, self.contigs, self.by)
+        old = before("depth")
+        depth = put(delta if old is None else sweep(old.unionByName(delta), self.by, ["bases", "dels"]), "depth")
+        starts = put(merge_counts(before("starts"), counts, ["contig", "window", "strand"], "n"), "starts")
+        per = known.withColumnRenamed("tname", "contig").groupBy(*self.by).agg(F.count("*").alias("n"))
+        put(merge_counts(before("reads"), per, self.by, "n"), "reads")
+        once = batch.groupBy("qname").agg(F.max("qlen").alias("length"))
+        histogram = put(merge_counts(before("lengths"), length_histogram(once), ["length"], "n"), "lengths")
+        sized = self.contigs if self.barcodes is None else by_barcode(self.contigs, self.barcodes)
+        buckets = put(switched(depth, sized, self.by, self.bucket_threshold, before("buckets")), "buckets")
+        if buckets.filter("on").isEmpty():
+            if before("strategy") is not None:
+                put(before("strategy"), "strategy")
+            return
+        planned = plan_update(
+            depth, starts, sized, observed_lengths(histogram), tuple(self.by), self.ploidy, self.bucket_threshold, before("buckets"), before("strategy")
+        )
+        put(planned.strategy, "strategy")
 
     def state(self, spark: SparkSession, name: str) -> DataFrame | None:
+        """The newest ``name``; of ``strategy`` null until a bucket is on, which ``decisions.look_up`` takes for accepting all."""
         return latest(spark, f"{self.folder}/{name}")
 
     def start(self, mappings: DataFrame, checkpoint: str, every: str | None = "60 seconds") -> StreamingQuery:

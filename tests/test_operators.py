@@ -15,7 +15,7 @@ from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths, starts
 from strandmill.operators import decisions as D
 from strandmill.operators.sampling import number_rows, read_batches
-from strandmill.plans.update import plan_update
+from strandmill.plans.update import update_from
 
 PAF = "line_no bigint, qname string, qlen int, qstart int, qend int, strand string, tname string, tlen int, tstart int, tend int, num_matches int, blen int, mapq int, align_score int, s1 int, is_primary boolean"
 
@@ -209,7 +209,7 @@ def test_distribution_keeps_what_is_off(spark):
 def test_update_plan_runs_end_to_end(spark):
     rng = random.Random(0)
     maps = [("c", "+-"[rng.random() < 0.5], s, s + rng.randrange(100, 3000)) for s in (rng.randrange(37_000) for _ in range(300))]
-    u = plan_update(spark.createDataFrame(maps, "tname string, strand string, tstart int, tend int"), spark.createDataFrame([("c", 40_050)], "contig string, length int"))
+    u = update_from(spark.createDataFrame(maps, "tname string, strand string, tstart int, tend int").withColumn("cigar", F.lit(None).cast("string")), spark.createDataFrame([("c", 40_050)], "contig string, length int"))
     rows = u.strategy.collect()
     assert len(rows) == 800 and u.bound.first()[0] > 0
     assert u.fhat.agg(F.sum("fhat")).first()[0] == pytest.approx(1)
