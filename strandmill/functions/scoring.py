@@ -1,14 +1,18 @@
 """Information that one more observation of a position is expected to give.
 
-Error model ``phi`` (observed base by genotype) and ``priors`` (reference base by genotype) are small literals, so
-that posterior, entropy and score stay column expressions without a join.
+Error model ``phi`` (observed base by genotype) and ``priors`` (reference base by genotype) are small tables.  Scores are
+made for each distinct pattern of counts, in Arrow batches, and joined to positions or stretches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.model import BIN, DELETION, DELETION_RATIO, FULL_DEPTH, MIN_POSITIVE, MISSED_DELETION, SUBSTITUTION, THETA
@@ -68,43 +72,43 @@ def priors(ploidy: int = 1, deletions: bool = True) -> list[list[float]]:
     return [[entry(ref, g) for g in genotypes(ploidy, deletions)] for ref in "ACGT"]
 
 
-def _x_log_x(x: Column) -> Column:
-    return F.when(x > 0, x * F.log(x)).otherwise(0.0)
-
-
-def _total(values: Column, f=lambda x: x) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + f(x))
+def _x_log_x(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.where(x > 0, x, 1.0)), 0.0)
 
 
-def _literal(values: list[float]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def pattern_scores(counts: np.ndarray, ref: np.ndarray, ploidy: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(posterior by genotype, entropy, score) of rows of counts, in natural logarithms; ``ref`` numbers A, C, G and T."""
+    deletions = counts.shape[1] == 5
+    p, prior = np.array(phi(ploidy, deletions)), np.array(priors(ploidy, deletions))
+    logs = np.log(prior)[ref] + np.minimum(counts, CAP) @ np.log(p)
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+    posterior = weights / weights.sum(axis=1, keepdims=True)
+    entropy = -_x_log_x(posterior).sum(axis=1)
+    joint = posterior[:, None, :] * p[None, :, :]  # by observed base and genotype
+    after = (_x_log_x(joint.sum(axis=2)) - _x_log_x(joint).sum(axis=2)).sum(axis=1)
+    return posterior, entropy, entropy - after
 
 
 def with_posterior(patterns: DataFrame, counts: list[str], ref: str, ploidy: int = 1) -> DataFrame:
-    """Adds ``posterior`` (by genotype), ``entropy`` and ``score`` in natural logarithms.
+    """Adds ``posterior`` (by genotype), ``entropy`` and ``score`` (see ``pattern_scores``).
 
     ``counts`` are the columns of A, C, G, T and, if there is a fifth, deletions; ``ref`` is the reference base; other
     letters than A, C, G, T are taken for A.  Null counts are 0.
     """
-    import math
-
-    deletions = len(counts) == 5
-    p, prior = phi(ploidy, deletions), priors(ploidy, deletions)
-    capped = F.array(*[F.least(F.coalesce(F.col(x), F.lit(0)), F.lit(CAP)).cast("double") for x in counts])
-    row = F.greatest(F.instr(F.lit("ACGT"), F.upper(F.coalesce(F.col(ref), F.lit("A")))), F.lit(1))
-    logs = []
-    for g in range(len(p[0])):
-        of_ref = F.element_at(_literal([math.log(prior[r][g]) for r in range(4)]), row)
-        logs.append(sum((F.col("__c")[b] * math.log(p[b][g]) for b in range(len(p))), of_ref))
-    out = patterns.withColumn("__c", capped).withColumn("__l", F.array(*logs))
-    out = out.withColumn("__e", F.transform("__l", lambda x: F.exp(x - F.array_max("__l"))))
-    out = out.withColumn("posterior", F.transform("__e", lambda x: x / _total(F.col("__e"))))
-    out = out.withColumn("entropy", -_total(F.col("posterior"), _x_log_x))
-    after = F.lit(0.0)
-    for b in range(len(p)):
-        joint = F.zip_with("posterior", _literal(p[b]), lambda x, f: x * f)
-        after = after + (_x_log_x(_total(joint)) - _total(joint, _x_log_x))
-    return out.withColumn("score", F.col("entropy") - after).drop("__c", "__l", "__e")
+    row = F.greatest(F.instr(F.lit("ACGT"), F.upper(F.coalesce(F.col(ref), F.lit("A")))) - 1, F.lit(0))
+    source = patterns.select("*", row.alias("__row"), *[F.coalesce(F.col(x), F.lit(0)).cast("double").alias(f"__{i}") for i, x in enumerate(counts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = batch.num_columns - len(counts) - 1
+            table = np.stack([batch.column(kept + 1 + i).to_numpy() for i in range(len(counts))], axis=1)
+            posterior, entropy, score = pattern_scores(table, batch.column(kept).to_numpy(), ploidy)
+            ends = pa.array(np.arange(0, posterior.size + 1, posterior.shape[1]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(posterior.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], lists, pa.array(entropy), pa.array(score)], [*batch.schema.names[:kept], "posterior", "entropy", "score"])
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in patterns.dtypes)
+    return source.mapInArrow(run, f"{kinds}, posterior array<double>, entropy double, score double")
 
 
 def position_scores(coverage: DataFrame, counts: list[str], ref: str, ploidy: int = 1) -> DataFrame:
@@ -139,15 +143,16 @@ def bin_scores(stretches: DataFrame, lengths: DataFrame, by: list[str], ploidy:
     below the mean depth of their target have none (see ``drop_out``).
     """
     # All patterns below full depth, less than FULL_DEPTH squared: small enough to broadcast, whatever the input.
-    grid = stretches.sparkSession.range(FULL_DEPTH * FULL_DEPTH).select(F.expr(f"id div {FULL_DEPTH}").alias("a"), (F.col("id") % FULL_DEPTH).alias("d"))
-    grid = grid.filter(F.col("a") + F.col("d") < FULL_DEPTH).select("*", *[F.lit(0).alias(x) for x in "cgt"], F.lit("A").alias("ref"))
-    grid = with_posterior(grid, list("acgtd"), "ref", ploidy).select("a", "d", "score")
+    pairs = np.array([(a, d) for a in range(FULL_DEPTH) for d in range(FULL_DEPTH - a)], float)
+    counts = np.zeros((len(pairs), 5))
+    counts[:, [0, 4]] = pairs
+    scores = pattern_scores(counts, np.zeros(len(pairs), int), ploidy)[2].tolist()
+    grid = stretches.sparkSession.createDataFrame([(int(a), int(d), x) for (a, d), x in zip(pairs.tolist(), scores)], "a bigint, d bigint, score double")
     scored = stretches.select(*by, "s", "e", F.col("bases").alias("a"), F.col("dels").alias("d")).join(F.broadcast(grid), ["a", "d"], "left")
     scored = scored.withColumn("score", F.when(F.col("a") + F.col("d") >= FULL_DEPTH, F.lit(MIN_POSITIVE)).otherwise(F.col("score")))
     means = stretches.groupBy(*by).agg(F.sum((F.col("bases") + F.col("dels")) * (F.col("e") - F.col("s"))).alias("n"))
     means = lengths.join(means, by, "left").select(*by, (F.coalesce("n", F.lit(0)) / F.col("length")).alias("mean"))
-    first = grid.filter("a = 0 and d = 0").select("score").scalar()
-    unseen = F.when(F.col("mean") > DROP_MEAN, 0.0).otherwise(first)
+    unseen = F.when(F.col("mean") > DROP_MEAN, 0.0).otherwise(F.lit(scores[0]))
     low = (F.col("mean") > DROP_MEAN) & (F.col("a") + F.col("d") <= F.floor(F.col("mean") / DROP_SHARE))
     extra = scored.join(means, by).withColumn("more", F.when(low, 0.0).otherwise(F.col("score")) - unseen)
     sums = bin_sums(extra, by, "more", size)

@@ -190,11 +190,60 @@ def cigar_pileup(records: DataFrame, contig: str = "contig", start: str = "tstar
     return cells.groupBy("contig", "pos", "barcode").agg(*sums, F.sum(F.when(F.col("base") == DELETED, F.col("n")).otherwise(0)).alias("d"))
 
 
-def remove_stretches(seqs: DataFrame, cuts: DataFrame, key: str = "header", seq: str = "seq") -> DataFrame:
-    """Sequences with ``[trim_start, trim_stop)`` of ``cuts`` (by ``sid``; stop null: to the end) taken out, and ``%`` put
-    to their names; sequences without a cut are left out."""
+DELETION_QUALITY = 20  # fixed value: the quality that a deletion counts with
+_TURN = bytes.maketrans(b"ACGTacgt", b"TGCAtgca")
+
+
+def aligned_parts(mappings: DataFrame, reads: DataFrame, min_quality: int = 0) -> DataFrame:
+    """``mappings`` with ``seq``: the aligned part of the read in the direction of the reference, bases of a phred quality
+    (letter - 33) below ``min_quality`` as N.
+
+    ``mappings``: (qname, qstart, qend, strand, ...) of one record for each read, ``reads``: (read_id, seq, qual) each once.
+    Mappings without a read are left out; null coordinates or sequences give a null.
+    """
+    kept = [x for x in mappings.columns if x not in ("seq", "qual")]
+    joined = mappings.select(*kept).join(reads.select(F.col("read_id").alias("qname"), F.col("seq").alias("__seq"), F.col("qual").alias("__qual")), "qname")
+    joined = joined.select(*kept, F.col("qstart").alias("__b"), F.col("qend").alias("__e"), (F.col("strand") == "-").alias("__rev"), "__seq", "__qual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for begin, end, rev, seq, qual in zip(*(batch.column(len(kept) + i).to_pylist() for i in range(5))):
+                if seq is None or begin is None or end is None:
+                    parts.append(None)
+                    continue
+                part = np.frombuffer(seq.encode("ascii", "replace")[begin:end], np.uint8).copy()
+                if min_quality and qual is not None:
+                    low = np.frombuffer(qual.encode("ascii", "replace")[begin:end], np.uint8).astype(int) - 33 < min_quality
+                    part[: len(low)][low[: len(part)]] = ord("N")
+                text = part.tobytes()
+                parts.append((text.translate(_TURN)[::-1] if rev else text).decode())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(parts, pa.string())], [*kept, "seq"])
+
+    kinds = dict(joined.dtypes)
+    return joined.mapInArrow(run, ", ".join([*[f"`{x}` {kinds[x]}" for x in kept], "seq string"]))
+
+
+def increments(mappings: DataFrame, reads: DataFrame, min_quality: int = 0) -> DataFrame:
+    """(contig, pos, barcode, a, c, g, t, d) that the ``mappings`` (qname, qstart, qend, strand, tname, tstart, cigar, barcode; one for
+    each read) add to the coverage, by the bases of good quality on either strand."""
+    counted = cigar_pileup(aligned_parts(mappings, reads, min_quality), "tname")
+    if min_quality <= DELETION_QUALITY:
+        return counted
+    return counted.withColumn("d", F.lit(0).cast("bigint")).filter("a + c + g + t > 0")
+
+
+def add_increments(before: DataFrame, more: DataFrame) -> DataFrame:
+    """The running coverage (contig, pos, barcode, a, c, g, t, d) with ``more`` added."""
+    return before.unionByName(more).groupBy("contig", "pos", "barcode").agg(*[F.sum(x).alias(x) for x in "acgtd"])
+
+
+def remove_stretches(seqs: DataFrame, cuts: DataFrame, key: str = "header", seq: str = "seq", cov: str | None = None) -> DataFrame:
+    """Sequences (and their coverage, the array ``cov``) with ``[trim_start, trim_stop)`` of ``cuts`` (by ``sid``; stop null: to the
+    end) taken out, and ``%`` put to their names; sequences without a cut are left out."""
     kept = F.expr(f"concat(substring({seq}, 1, trim_start), if(trim_stop is null, '', substring({seq}, trim_stop + 1)))")
-    return seqs.join(cuts, F.col(key) == F.col("sid")).select(F.concat(F.col(key), F.lit("%")).alias(key), kept.alias(seq))
+    rest = F.expr(f"concat(slice({cov}, 1, trim_start), if(trim_stop is null, slice({cov}, 1, 0), slice({cov}, trim_stop + 1, size({cov}))))").alias(cov) if cov else None
+    return seqs.join(cuts, F.col(key) == F.col("sid")).select(F.concat(F.col(key), F.lit("%")).alias(key), kept.alias(seq), *([rest] if cov else []))
 
 
 def runs_at_least(depth: DataFrame, by: list[str], start: str, end: str, value: str, least: float, min_len: int = 0) -> DataFrame:

@@ -138,3 +138,15 @@ def containments(classified: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("src", "dst").orderBy(c("s1").desc(), c("line_no").desc())
     return edges.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def trims_by_success(trims: DataFrame, overlaps: DataFrame) -> DataFrame:
+    """``trims`` (sid, ...) with ``success``: whether the trimmed sequence, ``sid`` or ``sid%``, is in a proper ``overlaps`` (qname, tname)."""
+    names = overlaps.select(F.explode(F.array("qname", "tname")).alias("__n"))
+    found = names.select(F.regexp_replace("__n", "%$", "").alias("sid"), F.lit(True).alias("success")).distinct()
+    return trims.join(found, "sid", "left").withColumn("success", F.coalesce("success", F.lit(False)))
+
+
+def records_of(paf: DataFrame, ids: DataFrame, id_column: str = "read_id") -> DataFrame:
+    """The records whose query is among ``ids``, as often as they occur."""
+    return paf.join(ids.select(c(id_column).alias("qname")), "qname", "left_semi")

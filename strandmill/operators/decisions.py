@@ -121,3 +121,28 @@ def override_actions(
 def abundance(best: DataFrame, reads_total: Column) -> DataFrame:
     """(tname, n, share) of best mappings; ``reads_total`` counts mapped and unmapped reads."""
     return best.groupBy("tname").agg(F.count("*").alias("n")).withColumn("share", c("n") / reads_total)
+
+
+def full_or_truncated(decided: DataFrame, full: DataFrame, truncated: DataFrame) -> DataFrame:
+    """What is mapped of each read after its decision: the record of the whole read where it is accepted, else that of its
+    anchor.  ``decided``: (read_id, accept); ``full`` and ``truncated`` have one record for each qname and the same columns.
+    An accepted read without a full record has none."""
+    yes, no = (decided.filter(c("accept") == word).select(c("read_id").alias("qname")) for word in (True, False))
+    return full.join(yes, "qname", "left_semi").unionByName(truncated.join(no, "qname", "left_semi"))
+
+
+def accepted_mappings(mapped: DataFrame, anchor: int = ANCHOR) -> DataFrame:
+    """Those of ``full_or_truncated`` that are of whole reads: all but records of anchors."""
+    return mapped.filter(c("qlen") != anchor)
+
+
+# The columns of the decision log, in order.
+LOG_COLUMNS = [
+    "loop_counter", "number_reads", "read_id", "channel", "read_number", "seq_length", "seen_count", "decision", "action", "condition",
+    "barcode", "previous_action", "timestamp", "action_overridden",
+]
+
+
+def decision_log(chunks: DataFrame) -> DataFrame:
+    """The log's columns in order; those that ``chunks`` lacks are null."""
+    return chunks.select(*[c(x) if x in chunks.columns else F.lit(None).cast("string").alias(x) for x in LOG_COLUMNS])

@@ -60,6 +60,16 @@ def longest(sequences: DataFrame, length: str = "length", n: int = 10) -> DataFr
     return sequences.orderBy(c(length).desc(), sequences.columns[0]).limit(n)
 
 
+def long_enough(sequences: DataFrame, min_contig: int = 10_000, length: str = "length") -> DataFrame:
+    """The sequences that get a strategy: those longer than ``min_contig``."""
+    return sequences.filter(c(length) > min_contig)
+
+
+def assembly_totals(sequences: DataFrame, length: str = "length") -> DataFrame:
+    """(n, total, longest); 0 and nulls of none."""
+    return sequences.agg(F.count("*").alias("n"), F.sum(length).cast("bigint").alias("total"), F.max(length).alias("longest"))
+
+
 def contain_layers(edges: DataFrame) -> DataFrame:
     """(src, dst, layer, multiplicity): each edge in the layer in which it passes coverage on, once.
 

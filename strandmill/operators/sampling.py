@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators.classify import records_of
 from strandmill.session import cut, spare_name
 
 
@@ -41,3 +42,14 @@ def read_batch(reads: DataFrame, batch_size: int, number: int, key: str = "read_
     if out.count() < batch_size:
         raise ValueError(f"there are too few reads for batch {number}")
     return out
+
+
+def reads_by_id(reads: DataFrame, ids: DataFrame, key: str = "read_id") -> DataFrame:
+    """The reads that ``ids`` names (random access), as often as they occur."""
+    return reads.join(ids.select(key), key, "left_semi")
+
+
+def batch_with_records(reads: DataFrame, full: DataFrame, truncated: DataFrame, batch_size: int, number: int, seed: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One batch of reads with the mappings of the whole reads and of their anchors."""
+    batch = read_batch(reads, batch_size, number, seed=seed)
+    return batch, records_of(full, batch), records_of(truncated, batch)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as S
-from strandmill.model import TETRAMER_DISTANCE
+from strandmill.model import ANCHOR, TETRAMER_DISTANCE
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths
 from strandmill.operators.decisions import abundance
@@ -200,7 +200,7 @@ def fastq_reads(spark, d):
 
 
 def truncated_reads(spark, d):
-    return parse_files(table(spark, d, "fastq_files")).select("file_id", "ordinal", F.substring("seq", 1, 60).alias("seq"))
+    return parse_files(table(spark, d, "fastq_files")).select("file_id", "ordinal", F.substring("seq", 1, ANCHOR).alias("seq"))
 
 
 def paf_parse(spark, d):
@@ -264,6 +264,33 @@ def sequence_chunks(spark, d):
     return S.chunks(fastq_seqs(spark, d), "header", "seq", 50)
 
 
+def paf_of_reads(spark, d):
+    """The mappings of the reads of the treated channels."""
+    wanted = table(spark, d, "channels").filter("condition_name = 'treatment'")
+    ids = keep_channels(unique_reads(spark, d, "channel"), wanted)
+    return C.records_of(table(spark, d, "alignments"), ids).select("line_no", "qname")
+
+
+def strategy_targets(spark, d):
+    """Targets, contigs or unitigs, that are long enough for a strategy."""
+    targets = mappings(spark, d).groupBy("tname").agg(F.max("tlen").alias("length"))
+    return graph.long_enough(targets)
+
+
+def assembly_totals(spark, d):
+    return graph.assembly_totals(mappings(spark, d).groupBy("tname").agg(F.max("tlen").alias("length")))
+
+
+def reference_sites(spark, d):
+    return graph.assembly_totals(active_contigs(spark, d)).select(F.col("n").alias("n_contigs"), F.col("total").alias("n_sites"))
+
+
+def trim_success(spark, d):
+    """Trims of overlaps, and whether the trimmed read is in a proper overlap."""
+    classified = C.with_class(overlaps(spark, d))
+    return C.trims_by_success(C.trim_coords(classified).select("line_no", "sid"), classified.filter("cls in (4, 5)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -272,7 +299,7 @@ QUERIES = {
         multiline_containments, coverage_passing, links_without_contained, routed_overlaps, target_members, longest_contigs, same_species, repeat_reads, sequence_temperature, unmapped_reads,
         mapped_active, names_apart, target_abundance, abundance_by_barcode, length_stats, ccl_quantiles, depth_stretches,
         depth_blocks, repeat_limit, fastq_reads, truncated_reads, paf_parse, batch_numbers, sampled_batches, last_action, revcomp, kmer_counts,
-        tetramer_scores, tetramer_distance, sequence_chunks,
+        tetramer_scores, tetramer_distance, sequence_chunks, paf_of_reads, strategy_targets, assembly_totals, reference_sites, trim_success,
     )
 }
 
@@ -410,7 +437,7 @@ SELECT greatest(min(depth) FILTER (upto > floor(q)) + (min(depth) FILTER (upto >
     "fastq_reads": rf"""WITH {_FQ} SELECT file_id, read_id, CAST(length(seq) AS INTEGER) AS length, TRY_CAST(nullif(regexp_extract(comment, '\sch=([0-9]+)', 1), '') AS INTEGER) AS channel,
 CAST(CASE regexp_extract(comment, 'barcode=(unclassified|barcode[0-9]+)', 1) WHEN '' THEN 0 WHEN 'unclassified' THEN 99 ELSE TRY_CAST(substring(regexp_extract(comment, 'barcode=(unclassified|barcode[0-9]+)', 1), 8) AS INTEGER) END AS INTEGER) AS barcode,
 nullif(split_part(comment, ' ', -1), '') AS source FROM fq""",
-    "truncated_reads": f"WITH {_FQ} SELECT file_id, k AS ordinal, substring(seq, 1, 60) AS seq FROM fq",
+    "truncated_reads": f"WITH {_FQ} SELECT file_id, k AS ordinal, substring(seq, 1, 400) AS seq FROM fq",
     "paf_parse": f"""WITH {_LINES}, g AS (SELECT *, tags AS t FROM r WHERE reason IS NULL)
 SELECT * FROM (SELECT line_no, p[1] AS qname, CAST(p[7] AS BIGINT) AS tlen, p[5] AS strand, CAST(p[11] AS BIGINT) AS blen,
   coalesce(CAST(substring(list_filter(t, lambda x: x LIKE 'AS:i:%')[1], 6) AS BIGINT), 0) AS align_score,
@@ -434,5 +461,16 @@ SELECT h1, h2, round(sqrt(sum(f * f)), 6) AS distance FROM nr GROUP BY 1, 2""",
 sh AS (SELECT h1, h2, x.n AS na, y.n AS nb FROM pr JOIN kc x ON x.header = h1 AND x.k = 4 JOIN kc y ON y.header = h2 AND y.k = 4 AND y.kmer = x.kmer),
 nr AS (SELECT h1, h2, na / CAST(sum(na) OVER w AS DOUBLE) - nb / CAST(sum(nb) OVER w AS DOUBLE) AS f FROM sh WINDOW w AS (PARTITION BY h1, h2))
 SELECT h1, h2 FROM nr GROUP BY 1, 2 HAVING round(sqrt(sum(f * f)), 6) < 0.036""",
+    "paf_of_reads": f"WITH {_UNIQUE} SELECT line_no, qname FROM alignments WHERE qname IN (SELECT read_id FROM u WHERE channel IN (SELECT channel FROM channels WHERE condition_name = 'treatment'))",
+    "strategy_targets": f"WITH {_MAP} SELECT tname, max(tlen) AS length FROM m GROUP BY 1 HAVING max(tlen) > 10000",
+    "assembly_totals": f"WITH {_MAP}, t AS (SELECT tname, max(tlen) AS length FROM m GROUP BY 1) SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS total, max(length) AS longest FROM t",
+    "reference_sites": "SELECT count(*) AS n_contigs, CAST(sum(length) AS BIGINT) AS n_sites FROM contigs WHERE length >= 100000 AND NOT rejected",
+    "trim_success": f"""WITH {_OVL}, {_classes("o")},
+t AS (SELECT line_no, CASE WHEN qn THEN tname ELSE qname END AS sid, CASE WHEN qn THEN tstart ELSE qstart END AS b, CASE WHEN qn THEN tend ELSE qend END AS f,
+  CASE WHEN qn THEN tlen ELSE qlen END AS l, CASE WHEN qn THEN qlen ELSE tlen END AS ol, blen FROM cl WHERE cls = 6),
+v AS (SELECT *, CASE WHEN b <= l - f THEN 0 ELSE f END AS cut_from, CASE WHEN b <= l - f THEN b END AS cut_to FROM t),
+w AS (SELECT line_no, CASE WHEN ol - blen < coalesce(cut_to, l) - cut_from THEN '0' ELSE sid END AS sid FROM v),
+nm AS (SELECT qname AS n FROM cl WHERE cls IN (4, 5) UNION SELECT tname FROM cl WHERE cls IN (4, 5))
+SELECT line_no, sid, sid IN (SELECT n FROM nm) AS success FROM w""",
     "sequence_chunks": f"WITH {_FQ}, ch AS (SELECT header, seq, unnest(range(0, length(seq), 50)) AS start FROM s) SELECT header, CAST(start AS BIGINT) AS start, substring(seq, CAST(start + 1 AS INTEGER), 50) AS piece FROM ch",
 }

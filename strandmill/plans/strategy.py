@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import scoring
 from strandmill.functions.sequences import cigar_pileup as pileup
+from strandmill.functions.sequences import increments
 from strandmill.model import DEFAULT_CCL
 from strandmill.operators import benefit as B
 from strandmill.operators import classify as C
@@ -112,6 +113,17 @@ def cigar_pileup(spark, d):
     return pileup(placed_reads(spark, d))
 
 
+def pileup_quality(spark, d):
+    """Increments from FASTQ reads of either strand, by the bases of quality 20 and more."""
+    reads = parse_files(table(spark, d, "fastq_files")).filter("length >= 40").withColumn("read_id", F.concat_ws(":", "file_id", "ordinal"))
+    placed = reads.select(
+        F.col("read_id").alias("qname"), F.lit(2).alias("qstart"), (F.col("length") - 1).alias("qend"), F.when(F.col("ordinal") % 2 == 1, "-").otherwise("+").alias("strand"),
+        F.concat(F.lit("c"), F.col("file_id") % 4).alias("tname"), ((F.col("file_id") * 97 + F.col("ordinal") * 31) % 5000).alias("tstart"),
+        F.concat(F.lit("10M2I8M3D"), F.col("length") - 23, F.lit("M")).alias("cigar"), (F.col("file_id") % 2).cast("int").alias("barcode"),
+    )
+    return increments(placed, reads, 20)
+
+
 def _scored(spark, d, ploidy=1):
     cov = cigar_pileup(spark, d).withColumn("ref", F.substring(F.lit("ACGT"), (F.col("pos") % 4 + 1).cast("int"), F.lit(1)))
     return scoring.position_scores(cov, COUNTS, "ref", ploidy).withColumn("total", sum((F.col(x) for x in COUNTS), F.lit(0)))
@@ -190,6 +202,15 @@ def pseudotime(spark, d):
     return D.pseudotime(_simulated(spark, d), "batch_no")
 
 
+def accepted_mappings(spark, d):
+    """After the decisions on anchors: what is mapped of whole reads.  An anchor's record is the begin of the read's."""
+    full = C.best_mapping(C.keep_mappings(on_contigs(spark, d)), ["qlen", "tname", "tstart", "tend", "strand", "line_no"]).drop("qlen").withColumn("qlen", F.col("tend") - F.col("tstart"))
+    cut_off = F.least("tend", F.col("tstart") + 400)
+    truncated = full.withColumn("tend", F.when(F.col("strand") == "+", cut_off).otherwise(F.col("tend"))).withColumn("qlen", F.lit(400))
+    decided = decision_reference_sim(spark, d).withColumnRenamed("qname", "read_id")
+    return D.accepted_mappings(D.full_or_truncated(decided, full, truncated)).select("qname", "line_no", "qlen")
+
+
 def dump_batches(spark, d):
     reads = unique_reads(spark, d, "batch_no", "length").select("batch_no", F.coalesce("length", F.lit(0)).alias("length"), F.col("length").alias("seen_length"), F.lit(True).alias("accepted"))
     times = D.pseudotime(reads, "batch_no")
@@ -240,9 +261,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_start_hist, fhat_pointmass, fhat_bins, dirichlet_priors, bin_depths, bin_scores, bucket_switch, benefit_summary, benefit_bins,
-        threshold_curve, threshold_value, strategy_mask, distribute_strategy, cigar_pileup, posterior_scores,
+        threshold_curve, threshold_value, strategy_mask, distribute_strategy, cigar_pileup, pileup_quality, posterior_scores,
         posterior_scores_diploid, dropout, assembly_score, assembly_benefit, assembly_threshold, decision_reference_sim,
-        decision_assembly_sim, decision_live, decision_barcode, simulated_reads, pseudotime, dump_batches, override_actions, streaming_update,
+        decision_assembly_sim, decision_live, decision_barcode, simulated_reads, accepted_mappings, pseudotime, dump_batches, override_actions, streaming_update,
     )
 }
 
@@ -395,6 +416,14 @@ CAST(sum(CAST(round(additional * 20) AS BIGINT)) AS BIGINT) AS additional, round
     "strategy_mask": f"WITH {_CURVE}, mk AS (SELECT *, additional >= (SELECT bound FROM bo) AS accept FROM ce) {_ACCEPTED} FROM mk GROUP BY 1, 2",
     "distribute_strategy": f"WITH {_STRATEGY} {_ACCEPTED} FROM sg GROUP BY 1, 2",
     "cigar_pileup": f"WITH {_PLACED} SELECT * FROM pu",
+    "accepted_mappings": f"WITH {_STRATEGY}, {_BEST_A}, {_decide('ba', 'false', 'x.tend - 1')} SELECT qname, line_no, tend - tstart AS qlen FROM lk WHERE accept AND tend - tstart <> 400",
+    "pileup_quality": f"""WITH {_FQ}, pl AS (SELECT concat('c', file_id % 4) AS contig, (file_id * 97 + k * 31) % 5000 AS p0, CASE k % 2 WHEN 1 THEN reverse(translate(substring(seq, 3, CAST(length(seq) - 3 AS INTEGER)), 'ACGTacgt', 'TGCAtgca')) ELSE substring(seq, 3, CAST(length(seq) - 3 AS INTEGER)) END AS s,
+  CASE k % 2 WHEN 1 THEN reverse(substring(qual, 3, CAST(length(seq) - 3 AS INTEGER))) ELSE substring(qual, 3, CAST(length(seq) - 3 AS INTEGER)) END AS ql, CAST(file_id % 2 AS INTEGER) AS barcode FROM fq WHERE length(seq) >= 40),
+ba0 AS (SELECT contig, barcode, p0 + CASE WHEN i < 10 THEN i WHEN i < 20 THEN i - 2 ELSE i + 1 END AS pos, upper(substring(s, CAST(i + 1 AS INTEGER), 1)) AS b
+    FROM (SELECT *, unnest(range(0, length(s))) AS i FROM pl) WHERE i NOT IN (10, 11) AND ord(substring(ql, CAST(i + 1 AS INTEGER), 1)) - 33 >= 20
+  UNION ALL SELECT contig, barcode, p0 + 18 + i, '-' FROM pl, range(3) r(i))
+SELECT contig, pos, barcode, count(*) FILTER (b = 'A') AS a, count(*) FILTER (b = 'C') AS c, count(*) FILTER (b = 'G') AS g, count(*) FILTER (b = 'T') AS t, count(*) FILTER (b = '-') AS d
+FROM ba0 WHERE b IN ('A', 'C', 'G', 'T', '-') GROUP BY ALL""",
     "posterior_scores": f"WITH {_PLACED}, {_score_sql(1)} SELECT contig, pos, barcode, round(score, 6) AS score, round(entropy, 6) AS entropy FROM so",
     "posterior_scores_diploid": f"WITH {_PLACED}, {_score_sql(2)} SELECT contig, pos, barcode, round(score, 6) AS score, round(entropy, 6) AS entropy FROM so",
     "dropout": f"""WITH {_PLACED}, {_score_sql(1)}, mn AS (SELECT *, avg(total) OVER (PARTITION BY contig) AS m FROM so)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.operators.decisions import decision_log
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +54,8 @@ def write_links(lines: DataFrame, path: str, line: str = "line") -> None:
 
 
 def append_decisions(log: DataFrame, path: str) -> None:
-    log.write.mode("append").option("sep", "\t").option("header", True).csv(path)
+    """The 14 columns of ``decisions.decision_log``, tab-separated."""
+    decision_log(log).write.mode("append").option("sep", "\t").option("header", True).csv(path)
 
 
 def write_dumps(reads: DataFrame, path: str) -> None:

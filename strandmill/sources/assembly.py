@@ -64,3 +64,32 @@ def read_channels(path: str, condition: str) -> set[int]:
 def keep_channels(reads: DataFrame, channels: DataFrame) -> DataFrame:
     """Reads whose channel is in ``channels`` (channel); a null channel is dropped."""
     return reads.join(channels.select("channel").distinct(), "channel", "left_semi")
+
+
+def check_reference(path: str) -> str:
+    """``path`` if it is a FASTA file (.fa or .fasta, also compressed); else ``FileNotFoundError`` or ``ValueError``."""
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"there is no reference {path}")
+    if not {".fa", ".fasta"} & set(Path(path).suffixes):
+        raise ValueError("a reference is a .fa or .fasta file")
+    return path
+
+
+def check_regions(path: str, name: str) -> list[str]:
+    """The region names of a decision TOML; ``ValueError`` if it has no array of regions or none is called ``name``."""
+    regions = tomllib.loads(Path(path).read_text()).get("regions")
+    if not isinstance(regions, list):
+        raise ValueError("regions must be an array")
+    names = [r["name"] for r in regions]
+    if name not in names:
+        raise ValueError(f"no region is named {name}")
+    return names
+
+
+def reload_if_newer(path: str, seen: float) -> tuple[dict | None, float]:
+    """(content of a TOML file, its time) if it was written after ``seen``; (None, ``seen``) if not, or if it cannot be read yet."""
+    try:
+        at = Path(path).stat().st_mtime
+        return (tomllib.loads(Path(path).read_text()), at) if at > seen else (None, seen)
+    except (OSError, tomllib.TOMLDecodeError):
+        return None, seen

@@ -23,18 +23,19 @@ def merge_counts(before: DataFrame | None, delta: DataFrame, by: list[str], valu
 
 class LiveRun:
     """Keeps under ``folder``, by version: ``depth`` (contig, s, e, bases, dels), ``starts`` (contig, window, strand, n), ``reads``
-    (contig, n), ``lengths`` (length, n), ``buckets`` (contig, bucket, mean_depth, on; once on they stay on), and the published
+    (contig, n), ``lengths`` (length, n), ``bases`` (n), ``buckets`` (contig, bucket, mean_depth, on; once on they stay on), and the published
     ``strategy`` (contig, bin, strand, accept), with ``barcode`` in all but starts and lengths where ``barcodes`` are given."""
 
-    def __init__(self, contigs: DataFrame, folder: str, barcodes: list[int] | None = None, ploidy: int = 1, bucket_threshold: float = 1.0):
+    def __init__(self, contigs: DataFrame, folder: str, barcodes: list[int] | None = None, ploidy: int = 1, bucket_threshold: float = 1.0, data_wait: float = 0.0):
         self.contigs, self.folder, self.barcodes = contigs.select("contig", "length"), folder, barcodes
         self.by = ["contig"] if barcodes is None else ["contig", "barcode"]
-        self.ploidy, self.bucket_threshold = ploidy, bucket_threshold
+        self.ploidy, self.bucket_threshold, self.data_wait = ploidy, bucket_threshold, data_wait
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
         """``batch`` (qname, qlen, tname, tstart, tend, strand, cigar, and barcode where barcodes are told apart).
 
-        An empty batch publishes the state as it was.  No strategy is planned before a bucket is on: all is accepted.
+        An empty batch publishes the state as it was.  No strategy is planned before ``data_wait`` million bases were read and a
+        bucket is on: all is accepted.
         """
         spark = batch.sparkSession
         before = lambda name: latest(spark, f"{self.folder}/{name}", batch_id)
@@ -52,7 +53,9 @@ class LiveRun:
         histogram = put(merge_counts(before("lengths"), length_histogram(once), ["length"], "n"), "lengths")
         sized = self.contigs if self.barcodes is None else by_barcode(self.contigs, self.barcodes)
         buckets = put(switched(depth, sized, self.by, self.bucket_threshold, before("buckets")), "buckets")
-        if buckets.filter("on").isEmpty():
+        bases = merge_counts(before("bases"), once.select(F.lit(0).alias("all"), F.coalesce("length", F.lit(0)).cast("bigint").alias("n")), ["all"], "n")
+        read = put(bases, "bases").agg(F.sum("n")).first()[0] or 0
+        if read < self.data_wait * 1e6 or buckets.filter("on").isEmpty():
             if before("strategy") is not None:
                 put(before("strategy"), "strategy")
             return

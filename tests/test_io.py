@@ -14,6 +14,8 @@ from strandmill.plans import mapping, problems, strategy
 from strandmill.sources import assembly
 from strandmill.sources.fastq import read_fastq
 from strandmill.sources.paf import paf_line, read_paf
+from strandmill.operators.coverage import bin_sums
+from strandmill.operators.decisions import look_up
 from strandmill.streaming.live import LiveRun, new_fastq, new_files
 
 SMALL = "/root/testdata/sf0.001"
@@ -94,23 +96,41 @@ def test_text_sinks(spark, tmp_path):
 
 def test_live_run_replays_and_adds_up(spark, tmp_path):
     contigs = spark.createDataFrame([("c", 5000)], "contig string, length int")
-    schema = "tname string, strand string, tstart int, tend int"
-    parts = [[("c", "+", 0, 150), ("x", "+", 0, 9)], [("c", "-", 100, 300), ("c", "+", 5, 5)], [("c", "+", 4990, 5001)]]
+    schema = "qname string, qlen int, tname string, strand string, tstart int, tend int, cigar string"
+    parts = [[("p", 150, "c", "+", 0, 150, None), ("q", 9, "x", "+", 0, 9, None)], [("r", 1200, "c", "-", 100, 300, "50M20D130M"), ("s", 5, "c", "+", 5, 5, None)], [("t", 11, "c", "+", 4990, 5001, None)]]
     for i, rows in enumerate(parts):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     run = LiveRun(contigs, f"file://{tmp_path}/state")
     stream = new_files(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "*.parquet", 1)
     run.start(stream, f"{tmp_path}/checkpoint", None).awaitTermination()
     want = {0: 100, 1: 150, 2: 100}
-    assert {r.bin: r.total for r in run.state(spark, "bins").collect()} == want
-    assert run.state(spark, "reads").first().n == 2
-    n = len(sinks.versions(spark, f"file://{tmp_path}/state/bins"))
+    depth = lambda: {r.bin: r.total for r in bin_sums(run.state(spark, "depth").withColumn("all", F.col("bases") + F.col("dels")), ["contig"], "all").collect()}
+    assert depth() == want
+    assert {(r.s, r.e) for r in run.state(spark, "depth").filter("dels = 1").collect()} == {(150, 170)}
+    assert run.state(spark, "reads").first().n == 2 and run.state(spark, "bases").first().n == 1375
+    assert {r.length: r.n for r in run.state(spark, "lengths").collect()} == {1200: 1}
+    assert run.state(spark, "strategy") is None  # no bucket is on
+    n = len(sinks.versions(spark, f"file://{tmp_path}/state/depth"))
     run.update(spark.createDataFrame(parts[0], schema), n - 1)  # the last batch once more
-    assert {r.bin: r.total for r in run.state(spark, "bins").collect()} == want
+    assert depth() == want
     run.start(stream, f"{tmp_path}/checkpoint", None).awaitTermination()  # nothing new
     assert run.state(spark, "reads").first().n == 2
 
 
+def test_live_run_publishes_by_barcode(spark, tmp_path):
+    contigs = spark.createDataFrame([("c", 40_000)], "contig string, length int")
+    run = LiveRun(contigs, f"file://{tmp_path}/state", [0, 7], data_wait=0.5)
+    schema = "qname string, qlen int, tname string, strand string, tstart int, tend int, cigar string, barcode int"
+    rows = [(f"r{i}", 4000, "c", "+-"[i % 2], 100 * i, 100 * i + 4000, None, 7 if i % 3 else None) for i in range(100)]
+    run.update(spark.createDataFrame(rows, schema), 0)
+    assert run.state(spark, "strategy") is None  # too few bases
+    run.update(spark.createDataFrame([(f"x{q}", *rest) for q, *rest in rows], schema), 1)
+    strategy = run.state(spark, "strategy")
+    assert strategy.count() == 400 * 2 * 2 and set(strategy.columns) == {"contig", "barcode", "bin", "strand", "accept"}
+    asked = look_up(spark.createDataFrame(rows[:4], schema), strategy, contigs.withColumn("rejected", F.lit(False)), False)
+    assert asked.count() == 4 and look_up(asked.drop("accept"), None, contigs.withColumn("rejected", F.lit(True)), True).filter("accept").count() == 0
+
+
 CORE = {**problems.QUERIES, **mapping.QUERIES, **strategy.QUERIES}
 SQL = {**problems.ORACLE, **mapping.ORACLE, **strategy.ORACLE}
 

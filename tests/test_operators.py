@@ -14,8 +14,10 @@ from strandmill.operators import benefit as B
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths, starts
 from strandmill.operators import decisions as D
+from strandmill.operators import sampling
 from strandmill.operators.sampling import number_rows, read_batches
 from strandmill.plans.update import update_from
+from strandmill.sources import assembly
 
 PAF = "line_no bigint, qname string, qlen int, qstart int, qend int, strand string, tname string, tlen int, tstart int, tend int, num_matches int, blen int, mapq int, align_score int, s1 int, is_primary boolean"
 
@@ -381,3 +383,45 @@ def test_numbers_and_batches(spark):
     a, b = ({r.read_id: r.batch for r in read_batches(df, 40, 10, seed=s).collect()} for s in (1, 2))
     assert a != b and len(a) == len(b) == 400 and a == {r.read_id: r.batch for r in read_batches(df.repartition(3), 40, 10, seed=1).collect()}
     assert number_rows(df.limit(0), "read_id").count() == 0
+
+
+def test_aligned_parts_by_strand_and_quality(spark):
+    maps = spark.createDataFrame(
+        [("a", 1, 5, "+", "c", 10, "4M", 1), ("b", 1, 5, "-", "c", 10, "2M1D2M", None), ("z", 0, 1, "+", "c", 0, "1M", 0), ("n", None, 2, "+", "c", 0, "1M", 0)],
+        "qname string, qstart int, qend int, strand string, tname string, tstart int, cigar string, barcode int",
+    )
+    reads = spark.createDataFrame([("a", "TACGTT", "I!I+II"), ("b", "TACGTT", "IIIIII"), ("n", "A", "I")], "read_id string, seq string, qual string")
+    assert {r.qname: r.seq for r in S.aligned_parts(maps, reads, 20).collect()} == {"a": "NCNT", "b": "ACGT", "n": None}
+    got = {(r.pos, r.barcode): (r.a, r.c, r.g, r.t, r.d) for r in S.increments(maps, reads, 20).collect()}
+    assert got == {(11, 1): (0, 1, 0, 0, 0), (13, 1): (0, 0, 0, 1, 0), (10, 0): (1, 0, 0, 0, 0), (11, 0): (0, 1, 0, 0, 0), (12, 0): (0, 0, 0, 0, 1), (13, 0): (0, 0, 1, 0, 0), (14, 0): (0, 0, 0, 1, 0)}
+    assert S.increments(maps, reads, 25).filter("d > 0").count() == 0
+    twice = S.add_increments(S.increments(maps, reads), S.increments(maps, reads))
+    assert {r.n for r in twice.select((F.col("a") + F.col("c") + F.col("g") + F.col("t") + F.col("d")).alias("n")).collect()} == {2}
+
+
+def test_trimmed_coverage_and_small_parts(spark, tmp_path):
+    seqs = spark.createDataFrame([("a", "ACGTA", [1.0, 2.0, 3.0, 4.0, 5.0])], "header string, seq string, cov array<double>")
+    cuts = spark.createDataFrame([("a", 1, 3), ("a", 2, None)], "sid string, trim_start int, trim_stop int")
+    assert {(r.seq, tuple(r["cov"])) for r in S.remove_stretches(seqs, cuts, cov="cov").collect()} == {("ATA", (1.0, 4.0, 5.0)), ("AC", (1.0, 2.0))}
+    full = spark.createDataFrame([("a", 900, 1), ("b", 800, 2)], "qname string, qlen int, line_no int")
+    cut_off = spark.createDataFrame([("a", 400, 1), ("b", 400, 2)], "qname string, qlen int, line_no int")
+    decided = spark.createDataFrame([("a", True), ("b", False), ("x", True)], "read_id string, accept boolean")
+    mapped = D.full_or_truncated(decided, full, cut_off)
+    assert {(r.qname, r.qlen) for r in mapped.collect()} == {("a", 900), ("b", 400)} and D.accepted_mappings(mapped).count() == 1
+    assert D.decision_log(spark.createDataFrame([("r", 1)], "read_id string, channel int")).columns == D.LOG_COLUMNS
+    reads = spark.createDataFrame([(f"r{i}", i) for i in range(10)], "read_id string, length int")
+    batch, records, _ = sampling.batch_with_records(reads, full.withColumn("qname", F.lit("r4")), cut_off, 4, 1)
+    assert {r.read_id for r in batch.collect()} == {"r4", "r5", "r6", "r7"} and records.count() == 2
+    assert sampling.reads_by_id(reads, reads.filter("length < 2")).count() == 2
+    with pytest.raises(ValueError):
+        sampling.read_batch(reads, 4, 2)
+    with pytest.raises(FileNotFoundError):
+        assembly.check_reference(f"{tmp_path}/no.fa")
+    toml = tmp_path / "d.toml"
+    toml.write_text('[[regions]]\nname = "run"\n')
+    assert assembly.check_regions(str(toml), "run") == ["run"]
+    with pytest.raises(ValueError):
+        assembly.check_regions(str(toml), "other")
+    content, at = assembly.reload_if_newer(str(toml), 0.0)
+    assert content and assembly.reload_if_newer(str(toml), at) == (None, at)
+
