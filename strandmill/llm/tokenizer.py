@@ -45,10 +45,10 @@ class Transducer:
                     self.ends.append(None)
                 node = step[byte]
             self.ends[node] = i
-        self.may_follow: dict[tuple[int | None, int], bool] = {}
         self.forget()
 
     def forget(self) -> None:
+        self.may_follow: dict[tuple[int | None, int], bool] = {}
         start = ((None, ROOT, ()),)
         self.states: dict[tuple, int] = {start: 0}
         self.readings: list[tuple] = [start]
@@ -95,22 +95,30 @@ class Transducer:
         while all(len(p) > sure and p[sure] == first[sure] for _, _, p in live) and sure < len(first):
             sure += 1
         key = tuple(sorted(((last, node, p[sure:]) for last, node, p in live), key=repr))
-        target = self.states.get(key)
-        if target is None:
-            target = self.states[key] = len(self.readings)
-            self.readings.append(key)
-            self.moves.append({})
-            self.finals.append(next((p for _, node, p in key if node == ROOT), None))
-        move = self.moves[state][byte] = (target, first[:sure])
+        move = self.moves[state][byte] = (self.number(key), first[:sure])
         return move
 
+    def number(self, reading: tuple) -> int:
+        """The state of a set of readings, a new one if it is met first."""
+        state = self.states.get(reading)
+        if state is None:
+            state = self.states[reading] = len(self.readings)
+            self.readings.append(reading)
+            self.moves.append({})
+            self.finals.append(next((p for _, node, p in reading if node == ROOT), None))
+        return state
+
     def encode(self, data: bytes) -> tuple[int, ...]:
-        if len(self.readings) > MEMORY:
-            self.forget()
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in data:
-            move = moves[state].get(byte) or self.step(state, byte)
+            move = moves[state].get(byte)
+            if move is None:
+                if len(self.readings) > MEMORY or len(self.may_follow) > MEMORY:  # also within a piece
+                    reading = self.readings[state]
+                    self.forget()
+                    state, moves = self.number(reading), self.moves
+                move = self.step(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from strandmill.llm import abuse as A
@@ -124,6 +125,55 @@ def test_leaks_misread_or_cut_in_two(spark):
     assert {(r.doc_id, r.item_id) for r in L.find_leaks(docs, items, boxes=None).collect()} == {(k, 10) for k in range(5)}
 
 
+def test_leaks_in_edited_copies(spark):
+    """Quotations of 20 to 40 words with misread letters, words torn apart or run together, and adverts set in between."""
+    rng = random.Random(11)
+    text = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    items = {i: text(60) for i in range(30)}
+    pages, want = {}, set()
+    for k in range(120):
+        item = k % 30
+        begin, n = rng.randrange(20), rng.randrange(20, 40)
+        words = []
+        for i, w in enumerate(items[item][begin : begin + n]):
+            r = rng.random()
+            w = w[:2] + rng.choice("aeoun") + w[3:] if r < 0.06 else w[:3] + " " + w[3:] if r < 0.08 else w
+            words.append(w)
+            if i in (9, 19) and k % 2:
+                words += ["FINE", "BOOTS", "sold", "at", "sixpence"]
+        pages[k] = text(40) + words + text(40)
+        want.add((k, item))
+    docs = spark.createDataFrame([(k, " ".join(p)) for k, p in pages.items()], "doc_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in L.find_leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"), boxes=None).collect()}
+    assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.02 * len(want)
+
+
+def test_leaks_with_many_insertions_and_shared_questions(spark):
+    rng = random.Random(12)
+    unlike = ["".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    text = lambda n: [rng.choice(unlike) for _ in range(n)]
+    question = "what did the mayor of the town say to the council that night".split()
+    items = {i: text(25) + question for i in range(1000)}
+    broken = items[5][:24]
+    for at in (20, 15, 10, 5):
+        broken[at:at] = ["BUY", "OUR", "SOAP", "today"]
+    pages = {1: text(30) + broken + text(30), 2: text(30) + items[7][3:22] + text(30), 3: text(30) + question + text(30), 4: text(90)}
+    docs = spark.createDataFrame([(k, " ".join(p)) for k, p in pages.items()], "doc_id bigint, text string")
+    found = L.find_leaks(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id bigint, text string"), boxes=None)
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(1, 5), (2, 7)}
+
+
+def test_rare_seeds_leave_enough(spark):
+    """Of the seeds of any candidate, however common, enough are looked up."""
+    rng = random.Random(13)
+    items = L.Items([(i, " ".join(rng.choice(WORDS) for _ in range(40))) for i in range(20)])
+    items.keep_rare(np.array([rng.randrange(1000) for _ in items.sorted]))
+    kept = set(items.spots.tolist())
+    for start in range(len(items.owner) - L.STRETCH):
+        spots = [x for x in range(start, start + L.STRETCH) if items.seed[x] >= 0]
+        assert len(spots) - len(kept.intersection(spots)) <= L.COMMON
+
+
 # Sentences made up for this test, in other words than those of the given pages.
 ABUSIVE = [
     "You worthless bitch, nobody asked for your opinion!",
