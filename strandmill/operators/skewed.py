@@ -91,8 +91,9 @@ def key_figures(rows: DataFrame, key: str, member: str, order: str, score: str,
     by = ["k", "m", "o"]
     spread = source.repartitionByRange(partitions, *by) if partitions else source.repartitionByRange(*by)
     states = spread.sortWithinPartitions(*by).mapInArrow(_partial_states, STATE)
-    # A key has at most one state for each partition, so this window stays small.
-    line = Window.partitionBy("key").orderBy(F.col("first_member").asc_nulls_first(), "first_order")
+    # A key has at most one state for each partition, so this window stays small; range partitions are numbered in order.
+    states = states.withColumn("part", F.spark_partition_id())
+    line = Window.partitionBy("key").orderBy("part")
     before = F.last("last_member", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
     seam = F.coalesce((before == F.col("first_member")).cast("int"), F.lit(0))
     return (

@@ -166,3 +166,12 @@ def test_checksum_tells_multisets_apart(spark):
 
     assert f([("x", None), ("y", "z")]) == f([("y", "z"), ("x", None)])
     assert f([("x", None)]) != f([(None, "x")]) and f([("x", "y")]) != f([("x", "y"), ("x", "y")])
+
+
+def test_key_figures_with_nulls_over_seams(spark):
+    """Null members of a hot key that span partitions, and a first member that spans the next seam."""
+    rows = [("hot", None, i, 0) for i in range(400)] + [("hot", "a", -i, 1) for i in range(1, 400)] + [("hot", f"b{i % 7}", i, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k string, m string, o bigint, s bigint")
+    for partitions in (1, 5, 16):
+        got = key_figures(df, "k", "m", "o", "s", partitions).first()
+        assert (got.n_rows, got.n_members, got.best_order) == (849, 8, 0)
