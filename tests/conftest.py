@@ -13,6 +13,7 @@ from strandmill.session import ship  # noqa: E402
 def spark():
     session = (
         SparkSession.builder.master("local[4]")
+        .config("spark.driver.memory", "6g")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
