@@ -174,7 +174,7 @@ def test_rare_seeds_leave_enough(spark):
         assert len(spots) - len(kept.intersection(spots)) <= L.COMMON
 
 
-# Sentences made up for this test, in other words than those of the given pages.
+# Sentences made up for this test, after the lexicon; two harmless ones are from the given pages.
 ABUSIVE = [
     "You worthless bitch, nobody asked for your opinion!",
     "All of them are parasites and should be gassed.",
