@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.model import ACQUIRE, ANCHOR, BIN, REJECT
+from strandmill.operators.ordered import PART, carry, spread
 
 c = F.col
 
@@ -90,8 +91,9 @@ def dump_numbers(times: DataFrame, batch: str, total: str, every: int) -> DataFr
 def override_actions(
     chunks: DataFrame, min_chunks: int, max_chunks: int, above: str = "unblock", below: str = "proceed",
     dry_run: bool = False, mid_run: bool = False, duplex: bool = False, possible_duplex: Column | None = None,
+    order: tuple[str, ...] = ("seq_no",),
 ) -> DataFrame:
-    """Adds ``final_action``, ``previous``, ``sent`` and ``overridden`` to (channel, seq_no, seen, control, action).
+    """Adds ``final_action``, ``previous``, ``sent`` and ``overridden`` to (channel, ``order``, seen, control, action).
 
     Control channels always stop receiving.  Else more than ``max_chunks`` seen turns ``proceed`` into ``above``, and then
     fewer than ``min_chunks`` any other action into ``below``.  With ``duplex``, an ``unblock`` right after a read that was
@@ -102,20 +104,22 @@ def override_actions(
     by_max = F.when((c("seen") > max_chunks) & (c("action") == "proceed"), F.lit(above)).otherwise(c("action"))
     out = chunks.withColumn("__a", F.when(c("control"), "stop_receiving").otherwise(by_max))
     by_min = F.when(~c("control") & (c("seen") < min_chunks) & (c("__a") != "proceed"), F.lit(below)).otherwise(c("__a"))
-    order = Window.partitionBy("channel").orderBy("seq_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("__a", by_min).withColumn("__first", (F.row_number().over(order) == 1) & F.lit(mid_run))
+    out = spread(out.withColumn("__a", by_min), "channel", *order)
+    first = F.lit(False)
+    if mid_run:
+        out, first = carry(out, "channel", order, __seen=F.lit(True)), c("__seen").isNull()
+    out = out.withColumn("__first", first)
     # What the last final chunk was for its own sake; one kept by an override lets no other be kept.
     own = F.when(c("__first"), "first").when(c("__a") != "proceed", c("__a"))
-    out = out.withColumn("__last", F.last(own, ignorenulls=True).over(before))
+    out = carry(out, "channel", order, __last=own)
     kept = F.lit(duplex) & (c("__a") == "unblock") & (c("__last") == "stop_receiving") & (F.lit(True) if possible_duplex is None else possible_duplex)
     out = out.withColumn("__kept", F.coalesce(kept, F.lit(False)))
     out = out.withColumn("final_action", F.when(c("__first") | c("__kept"), "stop_receiving").otherwise(c("__a")))
     final = F.when(c("final_action") != "proceed", c("final_action"))
     dry = (c("final_action") == "unblock") & F.lit(dry_run)
     sent = F.when(dry, "stop_receiving").when(c("final_action") != "proceed", c("final_action"))
-    out = out.withColumn("previous", F.last(final, ignorenulls=True).over(before)).withColumn("sent", sent)
-    return out.withColumn("overridden", c("__first") | c("__kept") | dry).drop("__a", "__first", "__last", "__kept")
+    out = carry(out, "channel", order, previous=final).withColumn("sent", sent)
+    return out.withColumn("overridden", c("__first") | c("__kept") | dry).drop("__a", "__first", "__seen", "__last", "__kept", PART)
 
 
 def abundance(best: DataFrame, reads_total: Column) -> DataFrame:

@@ -53,3 +53,12 @@ def batch_with_records(reads: DataFrame, full: DataFrame, truncated: DataFrame,
     """One batch of reads with the mappings of the whole reads and of their anchors."""
     batch = read_batch(reads, batch_size, number, seed=seed)
     return batch, records_of(full, batch), records_of(truncated, batch)
+
+
+def records_by_batch(batches: DataFrame, full: DataFrame, truncated: DataFrame, *keep: str) -> DataFrame:
+    """(batch, kind, ``keep``): of each batch's reads the mappings of the whole reads and of their anchors.
+
+    ``batches``: (read_id, batch), each read once; records of other reads are left out, a read without any has no row.
+    """
+    both = [paf.select("qname", F.lit(kind).alias("kind"), *keep) for kind, paf in (("full", full), ("truncated", truncated))]
+    return both[0].unionByName(both[1]).join(batches.select(F.col("read_id").alias("qname"), "batch"), "qname").select("batch", "kind", *keep)

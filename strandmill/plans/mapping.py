@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as S
@@ -10,12 +10,14 @@ from strandmill.model import ANCHOR, TETRAMER_DISTANCE
 from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths
 from strandmill.operators.decisions import abundance
+from strandmill.operators.ordered import carry, spread
 from strandmill.operators.rejects import valid_records
-from strandmill.operators.sampling import read_batches
+from strandmill.operators.sampling import read_batches, reads_by_id, records_by_batch
 from strandmill.plans.problems import _LINES
 from strandmill.session import table
 from strandmill.sources.assembly import keep_channels
 from strandmill.sources.fastq import parse_files
+from strandmill.sources.paf import paf_line
 
 GOOD = "qname is not null and tname is not null and tname <> '*' and qstart < qend and qend <= qlen and tstart < tend and tend <= tlen"
 
@@ -220,9 +222,9 @@ def sampled_batches(spark, d):
 
 
 def last_action(spark, d):
-    w = Window.partitionBy("channel").orderBy("started_at", "read_id")
-    acts = unique_started(spark, d).filter("channel is not null")
-    return acts.select("read_id", "channel", F.lag("barcode").over(w).alias("previous"))
+    order = ("started_at", "read_id")
+    acts = spread(unique_started(spark, d).filter("channel is not null").select("read_id", "channel", "barcode", "started_at"), "channel", *order)
+    return carry(acts, "channel", order, previous=F.struct("barcode")).select("read_id", "channel", F.col("previous.barcode").alias("previous"))
 
 
 def unique_started(spark, d):
@@ -291,6 +293,30 @@ def trim_success(spark, d):
     return C.trims_by_success(C.trim_coords(classified).select("line_no", "sid"), classified.filter("cls in (4, 5)"))
 
 
+def requested_reads(spark, d):
+    """Random access: the reads that the surest alignments name."""
+    ids = mappings(spark, d).filter("mapq >= 60").select(F.col("qname").alias("read_id"))
+    return reads_by_id(unique_reads(spark, d, "length", "channel"), ids)
+
+
+def batch_records(spark, d):
+    """Of the reads of every batch the mappings of the whole reads, and those that begin within the anchor."""
+    full = C.keep_mappings(mappings(spark, d))
+    return records_by_batch(sampled_batches(spark, d), full, full.filter(F.col("qstart") < ANCHOR), "line_no")
+
+
+def trimmed_reads(spark, d):
+    """Reads with a run of five A without the first such run, and what is left of the places 1, 2, 3 .. as their coverage."""
+    seqs = fastq_seqs(spark, d).filter("instr(seq, 'AAAAA') > 0").withColumn("cov", F.expr("sequence(1, length(seq))"))
+    cuts = seqs.select(F.col("header").alias("sid"), F.expr("instr(seq, 'AAAAA') - 1").alias("trim_start"), F.expr("instr(seq, 'AAAAA') + 4").alias("trim_stop"))
+    cut_out = S.remove_stretches(seqs, cuts, cov="cov")
+    return cut_out.select("header", "seq", F.expr("aggregate(cov, 0L, (x, y) -> x + y)").alias("cov"))
+
+
+def paf_text(spark, d):
+    return mappings(spark, d).select("line_no", paf_line().alias("line"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -300,6 +326,7 @@ QUERIES = {
         mapped_active, names_apart, target_abundance, abundance_by_barcode, length_stats, ccl_quantiles, depth_stretches,
         depth_blocks, repeat_limit, fastq_reads, truncated_reads, paf_parse, batch_numbers, sampled_batches, last_action, revcomp, kmer_counts,
         tetramer_scores, tetramer_distance, sequence_chunks, paf_of_reads, strategy_targets, assembly_totals, reference_sites, trim_success,
+        requested_reads, batch_records, trimmed_reads, paf_text,
     )
 }
 
@@ -472,5 +499,13 @@ v AS (SELECT *, CASE WHEN b <= l - f THEN 0 ELSE f END AS cut_from, CASE WHEN b
 w AS (SELECT line_no, CASE WHEN ol - blen < coalesce(cut_to, l) - cut_from THEN '0' ELSE sid END AS sid FROM v),
 nm AS (SELECT qname AS n FROM cl WHERE cls IN (4, 5) UNION SELECT tname FROM cl WHERE cls IN (4, 5))
 SELECT line_no, sid, sid IN (SELECT n FROM nm) AS success FROM w""",
+    "requested_reads": f"WITH {_MAP}, {_UNIQUE} SELECT read_id, length, channel FROM u WHERE read_id IN (SELECT qname FROM m WHERE mapq >= 60)",
+    "batch_records": f"""WITH {_MAP}, {_UNIQUE}, bt AS (SELECT read_id, CAST((row_number() OVER (ORDER BY read_id) - 1) // 400 AS BIGINT) AS batch FROM u),
+fu AS (SELECT batch, line_no, qstart FROM m JOIN bt ON read_id = qname WHERE is_primary AND blen >= 1)
+SELECT batch, 'full' AS kind, line_no FROM fu UNION ALL SELECT batch, 'truncated', line_no FROM fu WHERE qstart < 400""",
+    "trimmed_reads": f"""WITH {_FQ}, cu AS (SELECT header, seq, instr(seq, 'AAAAA') AS i, length(seq) AS l FROM s WHERE instr(seq, 'AAAAA') > 0)
+SELECT header || '%' AS header, substring(seq, 1, i - 1) || substring(seq, i + 5) AS seq, CAST(l * (l + 1) // 2 - (5 * i + 10) AS BIGINT) AS cov FROM cu""",
+    "paf_text": f"""WITH {_MAP} SELECT line_no, concat_ws(chr(9), qname, coalesce(qlen, 0), qstart, qend, coalesce(strand, '*'), tname, coalesce(tlen, 0), tstart, tend,
+  coalesce(num_matches, 0), coalesce(blen, 0), coalesce(mapq, 255), 's1:i:' || s1) AS line FROM m""",
     "sequence_chunks": f"WITH {_FQ}, ch AS (SELECT header, seq, unnest(range(0, length(seq), 50)) AS start FROM s) SELECT header, CAST(start AS BIGINT) AS start, substring(seq, CAST(start + 1 AS INTEGER), 50) AS piece FROM ch",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import scoring
@@ -217,15 +217,31 @@ def dump_batches(spark, d):
     return D.dump_numbers(times, "batch_no", "control_total", 300_000)
 
 
-def override_actions(spark, d):
+def _chunks(spark, d):
+    """One chunk for each read of a known channel; how many were seen and what is asked for come from length and barcode."""
     reads = unique_started(spark, d).filter("channel is not null and barcode is not null")
-    control = table(spark, d, "channels").select("channel", F.coalesce(F.col("condition_name") == "control", F.lit(False)).alias("control"))
-    chunks = reads.join(control, "channel").select(
-        "read_id", "channel", F.row_number().over(Window.partitionBy("channel").orderBy("started_at", "read_id")).alias("seq_no"), "control",
+    control = table(spark, d, "channels").select("channel", F.coalesce(F.col("condition_name") == "control", F.lit(False)).alias("control"), "condition_name")
+    return reads.join(control, "channel").select(
+        "read_id", "channel", "started_at", "control", "condition_name", "barcode", "length",
         (F.coalesce("length", F.lit(0)) % 12).alias("seen"),
         F.element_at(F.array(F.lit("proceed"), F.lit("unblock"), F.lit("stop_receiving")), F.col("barcode") % 3 + 1).alias("action"),
     )
-    return D.override_actions(chunks, 2, 9, duplex=True).select("read_id", "final_action", "previous", "sent", "overridden")
+
+
+def override_actions(spark, d):
+    acted = D.override_actions(_chunks(spark, d), 2, 9, duplex=True, order=("started_at", "read_id"))
+    return acted.select("read_id", "final_action", "previous", "sent", "overridden")
+
+
+def decision_log(spark, d):
+    """The log of a run that began in mid run and sends no unblocking."""
+    acted = D.override_actions(_chunks(spark, d), 2, 9, dry_run=True, mid_run=True, order=("started_at", "read_id"))
+    return D.decision_log(
+        acted.select(
+            "read_id", "channel", F.col("length").alias("seq_length"), F.col("seen").alias("seen_count"), F.col("action").alias("decision"), F.col("final_action").alias("action"),
+            F.col("condition_name").alias("condition"), "barcode", F.col("previous").alias("previous_action"), F.col("started_at").alias("timestamp"), F.col("overridden").alias("action_overridden"),
+        )
+    )
 
 
 BARCODES = list(range(0, 13))
@@ -263,7 +279,7 @@ QUERIES = {
         read_start_hist, fhat_pointmass, fhat_bins, dirichlet_priors, bin_depths, bin_scores, bucket_switch, benefit_summary, benefit_bins,
         threshold_curve, threshold_value, strategy_mask, distribute_strategy, cigar_pileup, pileup_quality, posterior_scores,
         posterior_scores_diploid, dropout, assembly_score, assembly_benefit, assembly_threshold, decision_reference_sim,
-        decision_assembly_sim, decision_live, decision_barcode, simulated_reads, accepted_mappings, pseudotime, dump_batches, override_actions, streaming_update,
+        decision_assembly_sim, decision_live, decision_barcode, simulated_reads, accepted_mappings, pseudotime, dump_batches, override_actions, decision_log, streaming_update,
     )
 }
 
@@ -390,6 +406,11 @@ py AS (SELECT a.contig, a.i, a.n, a.s0, b.sa AS s1, a.b0, a.b1, sum(a.s0 + b.sa)
 pb AS (SELECT contig, 0 AS strand, smu_sum, greatest(b0 - s0, 0) AS benefit FROM py WHERE i >= {_PAD} AND i < n + {_PAD}
   UNION ALL SELECT contig, 1, smu_sum, greatest(b1 - s1, 0) FROM py WHERE i >= {_PAD} AND i < n + {_PAD})"""
 
+_CHUNKS = f"""{_UNIQUE}, ch AS (SELECT u.read_id, u.channel, row_number() OVER (PARTITION BY u.channel ORDER BY u.started_at, u.read_id) AS i, coalesce(c.condition_name = 'control', false) AS control, c.condition_name, u.barcode, u.length, u.started_at,
+  coalesce(u.length, 0) % 12 AS seen, ['proceed', 'unblock', 'stop_receiving'][u.barcode % 3 + 1] AS action FROM u JOIN channels c ON c.channel = u.channel WHERE u.barcode IS NOT NULL),
+a1 AS (SELECT *, CASE WHEN control THEN 'stop_receiving' WHEN seen > 9 AND action = 'proceed' THEN 'unblock' ELSE action END AS a FROM ch),
+a2 AS (SELECT * REPLACE (CASE WHEN NOT control AND seen < 2 AND a <> 'proceed' THEN 'proceed' ELSE a END AS a) FROM a1)"""
+
 ORACLE = {
     "read_start_hist": f'WITH {_STARTS} SELECT contig, w AS "window", sd AS strand, n FROM sc',
     "fhat_pointmass": f'WITH {_STARTS} SELECT contig, w AS "window", sd AS strand, round(f * 1e6, 6) AS fhat FROM fh',
@@ -398,14 +419,17 @@ ORACLE = {
 SELECT round((count(*) - 1) / (var_pop(x) * CAST(count(*) AS DOUBLE) * count(*) * count(*)) - 1e0 / count(*), 6) AS alpha, round(count(*) FILTER (n = 0) / count(*), 9) AS p_zero FROM x""",
     "bin_depths": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
     "bin_scores": f"WITH {_SCORES} SELECT contig, bin, CAST(t AS BIGINT) AS total FROM db",
-    "override_actions": f"""WITH {_UNIQUE}, ch AS (SELECT u.read_id, u.channel, row_number() OVER (PARTITION BY u.channel ORDER BY u.started_at, u.read_id) AS i, coalesce(c.condition_name = 'control', false) AS control,
-  coalesce(u.length, 0) % 12 AS seen, ['proceed', 'unblock', 'stop_receiving'][u.barcode % 3 + 1] AS action FROM u JOIN channels c ON c.channel = u.channel WHERE u.barcode IS NOT NULL),
-a1 AS (SELECT *, CASE WHEN control THEN 'stop_receiving' WHEN seen > 9 AND action = 'proceed' THEN 'unblock' ELSE action END AS a FROM ch),
-a2 AS (SELECT * REPLACE (CASE WHEN NOT control AND seen < 2 AND a <> 'proceed' THEN 'proceed' ELSE a END AS a) FROM a1),
+    "override_actions": f"""WITH {_CHUNKS},
 a3 AS (SELECT *, CASE WHEN a = 'unblock' AND lag(a) OVER (PARTITION BY channel ORDER BY i) = 'stop_receiving' THEN 'stop_receiving' ELSE a END AS fin FROM a2 WHERE a <> 'proceed'),
 a4 AS (SELECT a2.*, coalesce(a3.fin, 'proceed') AS fin FROM a2 LEFT JOIN a3 ON a3.channel = a2.channel AND a3.i = a2.i)
 SELECT read_id, fin AS final_action, last_value(nullif(fin, 'proceed') IGNORE NULLS) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous,
   nullif(fin, 'proceed') AS sent, fin <> a AS overridden FROM a4""",
+    "decision_log": f"""WITH {_CHUNKS},
+a3 AS (SELECT *, CASE WHEN i = 1 THEN 'stop_receiving' ELSE a END AS fin FROM a2)
+SELECT CAST(NULL AS VARCHAR) AS loop_counter, CAST(NULL AS VARCHAR) AS number_reads, read_id, channel, CAST(NULL AS VARCHAR) AS read_number, length AS seq_length, seen AS seen_count,
+  action AS decision, fin AS action, condition_name AS condition, barcode,
+  last_value(nullif(fin, 'proceed') IGNORE NULLS) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_action,
+  started_at AS timestamp, i = 1 OR fin = 'unblock' AS action_overridden FROM a3""",
     "streaming_update": f"WITH {_BINS} SELECT tname, bin, CAST(total AS BIGINT) AS total FROM tb",
     "bucket_switch": f'WITH {_BINS}, {_BUCKETS} SELECT contig, CAST(bucket AS BIGINT) AS bucket, round(mean_depth, 6) AS mean_depth, mean_depth >= 1 AS "on" FROM bk',
     "benefit_summary": f"""WITH {_CELLS} SELECT contig, CAST(sd AS INTEGER) AS strand, count(*) AS n, CAST(sum(CAST(round(smu * 20) AS BIGINT)) AS BIGINT) AS smu, CAST(sum(CAST(round(expected * 20) AS BIGINT)) AS BIGINT) AS expected,

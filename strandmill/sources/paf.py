@@ -37,4 +37,6 @@ def read_paf(spark: SparkSession, paths: str | list[str], min_len: int = 1) -> D
 
 
 def paf_line(core: tuple[str, ...] = CORE) -> Column:
-    return F.concat_ws("\t", *[F.col(x).cast("string") for x in core], F.concat(F.lit("s1:i:"), F.col("s1")))
+    """A record as a line; a null mapq is 255 (missing), other null numbers are 0 and null texts ``*``, so that no field is lost."""
+    null = {"mapq": "255", "qname": "*", "tname": "*", "strand": "*"}
+    return F.concat_ws("\t", *[F.coalesce(F.col(x).cast("string"), F.lit(null.get(x, "0"))) for x in core], F.concat(F.lit("s1:i:"), F.col("s1")))

@@ -44,6 +44,8 @@ def test_paf_files(spark, tmp_path):
     assert [(r.qname, r.qlen, r.align_score, r.s1, r.cigar) for r in rows] == [("007", None, 0, 0, None), ("007", 100, 7, 0, "90M")]
     back = read_paf(spark, str(tmp_path / "m.paf")).filter("qlen = 100").select(paf_line()).first()[0]
     assert back == good + "\ts1:i:0"
+    bare = read_paf(spark, str(tmp_path / "m.paf")).filter("qlen is null").withColumn("mapq", F.lit(None)).select(paf_line()).first()[0]
+    assert bare == "007\t0\t0\t90\t+\tt\t500\t10\t0\t80\t90\t255\ts1:i:0"
 
 
 def test_channels(spark, tmp_path):

@@ -15,6 +15,7 @@ from strandmill.operators import classify as C
 from strandmill.operators import coverage, graph, lengths, starts
 from strandmill.operators import decisions as D
 from strandmill.operators import sampling
+from strandmill.operators.ordered import PART, carry, spread
 from strandmill.operators.sampling import number_rows, read_batches
 from strandmill.plans.update import update_from
 from strandmill.sources import assembly
@@ -254,12 +255,36 @@ def brute_override(chunks, lo, hi, dry, mid, duplex):
     return out
 
 
+@pytest.fixture
+def narrow_partitions(spark):
+    """Range partitions stay apart, so that keys run over seams."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_values_carried_over_seams(spark, narrow_partitions):
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "hot", "x", None]), i, rng.choice([None, None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    placed = spread(df, "k", "i")
+    assert placed.filter("k = 'hot'").select(PART).distinct().count() > 1
+    got = {r.i: (r.last, r.before) for r in carry(placed, "k", ("i",), last=F.col("v"), before=F.col("i")).collect()}
+    last, before, want = {}, {}, {}
+    for k, i, v in rows:
+        want[i] = (last.get(k), before.get(k))
+        before[k] = i
+        last[k] = v if v is not None else last.get(k)
+    assert got == want
+    assert carry(spread(df.limit(0), "k", "i"), "k", ("i",), last=F.col("v")).count() == 0
+
+
 @pytest.mark.parametrize("dry, mid, duplex", [(False, False, False), (True, True, False), (False, True, True), (True, False, True)])
-def test_overrides_against_the_sequence(spark, dry, mid, duplex):
+def test_overrides_against_the_sequence(spark, narrow_partitions, dry, mid, duplex):
     rng = random.Random(7)
     rows, want = [], {}
     for ch in range(12):
-        chunks = [(rng.randrange(6), ch % 4 == 0, rng.choice(["proceed", "unblock", "stop_receiving"])) for _ in range(30)]
+        chunks = [(rng.randrange(6), ch % 4 == 0, rng.choice(["proceed", "unblock", "stop_receiving"])) for _ in range(300 if ch == 5 else 30)]
         rows += [(ch, i, *x) for i, x in enumerate(chunks)]
         want |= {(ch, i): x for i, x in enumerate(brute_override(chunks, 1, 4, dry, mid, duplex))}
     df = spark.createDataFrame(rows, "channel int, seq_no int, seen int, control boolean, action string")
