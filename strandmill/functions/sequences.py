@@ -104,22 +104,75 @@ def tetramer_scores(seqs: DataFrame, key: str, seq: str) -> DataFrame:
     return seqs.select(F.col(key), F.col(seq).cast("string")).mapInArrow(run, f"`{key}` {kind}, kmer string, n bigint, expected double, z double")
 
 
-def tetramer_distance(counts: DataFrame, pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """(``a``, ``b``, distance): Euclidean distance of the tetramer shares, over the tetramers that both hold.
-
-    Each side is normalised over the shared tetramers.
+_PIECE = 500_000  # letters that are counted at once
+
+
+def _tetramer_tables(seqs: list[str]) -> np.ndarray:
+    """A row of 256 counts for each sequence, as ``_kmer_table(seq, 4)`` gives them; all sequences in one pass."""
+    lens = np.fromiter(map(len, seqs), np.int64, len(seqs))
+    total, starts = int(lens.sum()), np.cumsum(lens) - lens
+    if total < 3:
+        return np.zeros((len(seqs), 256), np.int64)
+    if total > 2 * _PIECE:  # long ones: one at a time takes less memory
+        return np.array([_kmer_table(s, 4) for s in seqs])
+    codes = _UPPER[np.frombuffer("".join(seqs).encode("latin-1", "replace"), np.uint8)].astype(np.int8)
+    at = np.arange(total)
+    both = np.empty(2 * total, np.int8)
+    both[np.repeat(starts, lens) + at] = codes
+    both[np.repeat(3 * starts + 2 * lens - 1, lens) - at] = np.where(codes >= 0, 3 - codes, -1)
+    row, place = np.repeat(np.arange(len(seqs)), 2 * lens)[:-3], np.arange(2 * total - 3)
+    known = place - 2 * starts[row] < 2 * lens[row] - 5
+    index = row * 256
+    for i in range(4):
+        part = both[i : 2 * total - 3 + i]
+        known &= part >= 0
+        index += part.astype(np.int64) << 2 * (3 - i)
+    return np.bincount(index[known], minlength=256 * len(seqs)).reshape(-1, 256)
+
+
+def _distances(a: list[list[str]], b: list[list[str]]) -> np.ndarray:
+    """Of each row; NaN where the two hold no tetramer in common."""
+    rows = [*a, *b]
+    sums = tables = _tetramer_tables([s or "" for row in rows for s in row])
+    if any(len(row) != 1 for row in rows):
+        sums = np.zeros((len(rows), 256), np.int64)
+        np.add.at(sums, np.repeat(np.arange(len(rows)), [len(row) for row in rows]), tables)
+    both = (sums[: len(a)] > 0) & (sums[len(a) :] > 0)
+    left, right = np.where(both, sums[: len(a)], 0), np.where(both, sums[len(a) :], 0)
+    with np.errstate(invalid="ignore"):
+        apart = left / left.sum(1, keepdims=True) - right / right.sum(1, keepdims=True)
+    return np.sqrt((apart * apart).sum(1))
+
+
+def tetramer_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` without ``a`` and ``b``, with distance: Euclidean distance of the tetramer shares, over the tetramers
+    that both hold; pairs that hold none in common are left out.
+
+    ``a`` and ``b`` are arrays of sequences; the tetramers of an array are counted together, as in ``kmer_counts``.  Each
+    side is normalised over the shared tetramers.  One narrow pass: no row for a tetramer is made.
     """
-    tetra = counts.filter("k = 4").select(key, "kmer", "n")
-    left = tetra.select(F.col(key).alias(a), "kmer", F.col("n").alias("na"))
-    right = tetra.select(F.col(key).alias(b), "kmer", F.col("n").alias("nb"))
-    shared = pairs.select(a, b).join(left, a).join(right, [b, "kmer"])
-    # With shares p = na / A and q = nb / B: sum (p - q)^2 = saa / A^2 - 2 sab / (A B) + sbb / B^2.
-    sums = shared.groupBy(a, b).agg(
-        F.sum("na").alias("A"), F.sum("nb").alias("B"), F.sum(F.col("na") * F.col("na")).alias("saa"),
-        F.sum(F.col("na") * F.col("nb")).alias("sab"), F.sum(F.col("nb") * F.col("nb")).alias("sbb"),
-    )
-    square = F.col("saa") / (F.col("A") * F.col("A")) - 2 * F.col("sab") / (F.col("A") * F.col("B")) + F.col("sbb") / (F.col("B") * F.col("B"))
-    return sums.select(a, b, F.sqrt(F.greatest(square, F.lit(0.0))).alias("distance"))
+    rest = [f for f in pairs.schema.fields if f.name not in (a, b)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, one, two, letters = [], [], [], 0
+            for x, y in zip(batch.column(0), batch.column(1)):
+                one.append(x.as_py() or [])
+                two.append(y.as_py() or [])
+                letters += sum(len(s or "") + 256 for side in (one[-1], two[-1]) for s in side)  # a sequence has a table of 256
+                if letters >= _PIECE:
+                    found.append(_distances(one, two))
+                    one, two, letters = [], [], 0
+            if one:
+                found.append(_distances(one, two))
+            if found:
+                distance = np.concatenate(found)
+                keep = pa.array(np.isfinite(distance))
+                columns = [*batch.columns[2:], pa.array(distance)]
+                yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], [*[f.name for f in rest], "distance"])
+
+    kinds = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "distance double"])
+    return pairs.select(a, b, *[f"`{f.name}`" for f in rest]).mapInArrow(run, kinds)
 
 
 _CODES = np.full(128, -1, np.int64)

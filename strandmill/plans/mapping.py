@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequences as S
@@ -251,10 +251,18 @@ def tetramer_scores(spark, d):
 
 
 def tetramer_distance(spark, d):
-    seqs = fastq_seqs(spark, d)
-    pairs = seqs.alias("a").join(seqs.alias("b"), (F.col("a.file_id") == F.col("b.file_id")) & (F.col("a.ordinal") + 1 == F.col("b.ordinal"))).select(F.col("a.header").alias("h1"), F.col("b.header").alias("h2"))
-    dist = S.tetramer_distance(S.kmer_counts(seqs, "header", "seq", (4,)), pairs, "header", "h1", "h2")
-    return dist.select("h1", "h2", F.round("distance", 6).alias("distance"))
+    """Of neighbouring reads of a file.  Copies of a file number have their reads counted together, and as in SQL each copy
+    of a pair holds its part of the shares."""
+    reads = fastq_seqs(spark, d).filter("file_id is not null").select("file_id", "ordinal", "seq")
+    at = Window.partitionBy("file_id").orderBy("ordinal")
+    here, after = (F.collect_list("seq").over(at.rangeBetween(n, n)) for n in (0, 1))
+    pairs = reads.select("file_id", "ordinal", here.alias("a"), after.alias("b"), F.lag("ordinal").over(at).alias("before"))
+    pairs = pairs.filter("size(b) > 0 and (before is null or before < ordinal)").select(
+        F.concat_ws(":", "file_id", "ordinal").alias("h1"), F.concat_ws(":", "file_id", F.col("ordinal") + 1).alias("h2"),
+        F.sqrt(F.size("a") * F.size("b")).alias("copies"), "a", "b",
+    )
+    dist = S.tetramer_distance(pairs, "a", "b")
+    return dist.select("h1", "h2", F.round(F.col("distance") / F.col("copies"), 6).alias("distance"))
 
 
 def same_species(spark, d):

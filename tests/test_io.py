@@ -2,6 +2,7 @@
 
 import gzip
 import os
+import random
 from functools import lru_cache
 
 import duckdb
@@ -174,6 +175,42 @@ def test_other_queries_run(spark, name):
     assert CORE[name](spark, SMALL).agg(F.count("*")).first()[0] >= 0
 
 
+def fastq_table(spark, folder, files):
+    """fastq_files of (file_id, sequences of its reads), and the table in DuckDB."""
+    rows = [(i, f"{n}.fq", "".join(f"@r{n}.{k} ch=1\n{s}\n+\n{'I' * len(s)}\n" for k, s in enumerate(seqs))) for n, (i, seqs) in enumerate(files)]
+    spark.createDataFrame(rows, "file_id bigint, path string, content string").write.parquet(f"{folder}/fastq_files.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW fastq_files AS SELECT * FROM '{folder}/fastq_files.parquet/*.parquet'")
+    return con
+
+
+def moved_rows(df):
+    """Rows that ``df``, which has been collected, wrote to shuffles or broadcast."""
+    names = {"Exchange": "shuffleRecordsWritten", "BroadcastExchange": "numOutputRows"}
+    stack, total = [df._jdf.queryExecution().executedPlan()], 0
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            stack.append(node.plan())
+        else:
+            total += node.metrics().apply(names[node.nodeName()]).value() if node.nodeName() in names else 0
+            stack += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_same_species_moves_reads_only(spark, tmp_path):
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choices("ACGT", k=n))
+    alike = draw(3000)
+    con = fastq_table(spark, tmp_path, [(i, [alike, alike[:-30] + draw(30), "AC" * 60 + draw(90)]) for i in range(40)])
+    df = CORE["same_species"](spark, str(tmp_path))
+    want = values(con.execute(SQL["same_species"]).fetchall())
+    assert len(want) == 40 and values(df.collect()) == want
+    assert 0 < moved_rows(df) <= 120  # one for each read, none for a tetramer
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
