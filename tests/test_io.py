@@ -211,6 +211,20 @@ def test_same_species_moves_reads_only(spark, tmp_path):
     assert 0 < moved_rows(df) <= 120  # one for each read, none for a tetramer
 
 
+def test_tetramer_distance_of_odd_files(spark, tmp_path):
+    """Copies of a file number, also with other reads, none of it, letters without tetramers, reads with none in common."""
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choices("ACGTNacgt", weights=[9, 9, 9, 9, 1, 1, 1, 1, 1], k=n))
+    files = [(i, [draw(rng.choice([1, 2, 3, 5, 60, 400])) for _ in range(rng.choice([1, 2, 5]))]) for i in range(60)]
+    files += [(7, files[7][1]), (3, [draw(80), draw(90), draw(70)]), (3, [draw(50)]), (None, [draw(90), draw(90)]), (None, [draw(90)])]
+    files += [(90, ["A" * 40, "C" * 40, "AC" * 20]), (91, ["N" * 30, draw(300)]), (92, []), (93, [draw(9), "A", draw(200), draw(300)] * 30)]
+    con = fastq_table(spark, tmp_path, files)
+    df = CORE["tetramer_distance"](spark, str(tmp_path))
+    want = values(con.execute(SQL["tetramer_distance"]).fetchall())
+    assert len(want) > 50 and values(df.collect()) == want
+    assert 0 < moved_rows(df) <= sum(len(reads) for _, reads in files)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
